@@ -136,20 +136,21 @@ def dense_months(df: DataFrame, by: Sequence[str] = (), date_col: str = DATE,
 def decomposition(df: DataFrame) -> DataFrame:
     """Additive decomposition of the monthly total: trend = centred
     2x12 moving average (null where the window is incomplete), seasonal =
-    mean detrended value of the calendar month, residual = rest."""
-    s = dense_months(df).select("month", F.col("amount").cast("double").alias("y"))
+    mean detrended value of the calendar month, residual = rest.  The trend
+    is the exact decimal sum of both 12-month windows over 24."""
+    s = dense_months(df).select("month", F.col("amount").alias("y"))
     w1 = Window.orderBy("month").rowsBetween(-6, 5)
     w2 = Window.orderBy("month").rowsBetween(-5, 6)
     full = (F.count(F.lit(1)).over(w1) == 12) & (F.count(F.lit(1)).over(w2) == 12)
-    t = s.withColumn("trend", F.when(full, (F.avg("y").over(w1) + F.avg("y").over(w2)) / 2))
-    t = t.withColumn("detrended", F.col("y") - F.col("trend"))
+    t = s.withColumn("trend", F.when(full, (F.sum("y").over(w1) + F.sum("y").over(w2)).cast("double")
+                                     / F.lit(24.0)))
+    t = t.withColumn("detrended", F.col("y").cast("double") - F.col("trend"))
     seas = (t.where(F.col("trend").isNotNull()).groupBy(F.month("month").alias("__moy"))
             .agg(F.avg("detrended").alias("seasonal")))
-    out = (t.join(seas, F.month("month") == F.col("__moy"), "left")
-           .select("month", F.round("y", 2).alias("amount"), F.round("trend", 2).alias("trend"),
-                   F.round("seasonal", 2).alias("seasonal"),
-                   F.round(F.col("y") - F.col("trend") - F.col("seasonal"), 2).alias("residual")))
-    return out
+    return (t.join(seas, F.month("month") == F.col("__moy"), "left")
+            .select("month", F.col("y").alias("amount"), "trend",
+                    F.round("seasonal", 2).alias("seasonal"),
+                    F.round(F.col("y").cast("double") - F.col("trend") - F.col("seasonal"), 2).alias("residual")))
 
 
 def weekly_pattern(df: DataFrame, date_col: str = DATE) -> DataFrame:

@@ -360,14 +360,13 @@ dm AS (SELECT {", ".join("cal." + c for c in keys) + ", " if keys else ""}cal.mo
 
 
 _T = "CAST((year(month) - 1970) * 12 + month(month) - 1 AS INTEGER)"
-ORACLE["w10_decomposition"] = w(_dense([]), f"""s AS (SELECT month, CAST(amount AS DOUBLE) AS y FROM dm),
-tr AS (SELECT month, y, CASE WHEN count(*) OVER w1 = 12 AND count(*) OVER w2 = 12
-    THEN (avg(y) OVER w1 + avg(y) OVER w2) / 2 END AS trend FROM s
+ORACLE["w10_decomposition"] = w(_dense([]), """tr AS (SELECT month, amount AS y, CASE WHEN count(*) OVER w1 = 12 AND count(*) OVER w2 = 12
+    THEN CAST(sum(amount) OVER w1 + sum(amount) OVER w2 AS DOUBLE) / 24.0::DOUBLE END AS trend FROM dm
   WINDOW w1 AS (ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING),
          w2 AS (ORDER BY month ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)),
-se AS (SELECT month(month) AS moy, avg(y - trend) AS seasonal FROM tr WHERE trend IS NOT NULL GROUP BY 1)""") + """
-SELECT month, round(y, 2) AS amount, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal,
-  round(y - trend - seasonal, 2) AS residual FROM tr LEFT JOIN se ON se.moy = month(tr.month)"""
+se AS (SELECT month(month) AS moy, avg(CAST(y AS DOUBLE) - trend) AS seasonal FROM tr WHERE trend IS NOT NULL GROUP BY 1)""") + """
+SELECT month, y AS amount, trend, round(seasonal, 2) AS seasonal,
+  round(CAST(y AS DOUBLE) - trend - seasonal, 2) AS residual FROM tr LEFT JOIN se ON se.moy = month(tr.month)"""
 ORACLE["w11_weekly_pattern"] = w() + """SELECT CAST(isodow(day) AS INTEGER) AS dow, count(*) AS days,
   CAST(sum(amount) AS DOUBLE) / count(*) AS mean_amount FROM (
   SELECT claim_prov_date AS day, sum(amount) AS amount FROM cl GROUP BY 1) GROUP BY 1"""
@@ -394,3 +393,166 @@ ORACLE["w17_segment_summary"] = w(_SEG) + """SELECT segment, count(*) AS members
   CAST(sum(total_amount) AS DECIMAL(22,2)) AS total_amount FROM seg GROUP BY 1"""
 ORACLE["w18_provider_rank"] = w() + f"""SELECT prov_name, total_amount, dense_rank() OVER (ORDER BY total_amount DESC) AS rank FROM (
   SELECT prov_name, {MONEY} AS total_amount FROM cl GROUP BY 1)"""
+
+# ------------------------------------------------------------------ forecasting
+
+
+def _fit(keys: list[str]) -> str:
+    kc = ", ".join(keys) + ", " if keys else ""
+    gb = ("GROUP BY " + ", ".join(keys)) if keys else ""
+    return f"""ser AS (SELECT {kc}month, CAST(amount AS DOUBLE) AS y, {_T} AS t FROM dm),
+fit AS (SELECT {kc}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, regr_r2(y, t) AS r2,
+  count(*) AS n, max(t) AS last_t, max(month) AS last_month, arg_max(y, month) AS last_y,
+  CASE WHEN count(*) > 2 THEN sqrt(greatest(0.0::DOUBLE, (regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t))
+       / (count(*) - 2))) END AS resid_sd
+  FROM ser {gb})"""
+
+
+def _on(keys: list[str], a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys) if keys else "true"
+
+
+def _forecast(keys: list[str], horizon: int, z: float) -> str:
+    kc = ", ".join(keys) + ", " if keys else ""
+    return w(_dense(keys), _fit(keys)) + f"""SELECT {kc}CAST(last_month + to_months(step) AS DATE) AS month,
+  round(intercept + slope * (last_t + step), 2) AS forecast,
+  round(intercept + slope * (last_t + step) - {z}::DOUBLE * resid_sd, 2) AS lower,
+  round(intercept + slope * (last_t + step) + {z}::DOUBLE * resid_sd, 2) AS upper
+FROM fit CROSS JOIN (SELECT CAST(range AS INTEGER) AS step FROM range(1, {horizon + 1})) s"""
+
+
+_FK = ["benefit"]
+_SK = ["benefit", "prov_region"]
+ORACLE["m01_forecast"] = _forecast(_FK, 6, 1.960)
+ORACLE["m01_forecast_many_series"] = _forecast(_SK, 12, 1.645)
+
+_LAGS = """lf AS (SELECT benefit, month, y, y - lag(y) OVER (PARTITION BY benefit ORDER BY month) AS x FROM ser),
+lg AS (SELECT benefit, month, x, lag(x, 1) OVER (PARTITION BY benefit ORDER BY month) AS lag_1,
+  lag(x, 2) OVER (PARTITION BY benefit ORDER BY month) AS lag_2, lag(x, 3) OVER (PARTITION BY benefit ORDER BY month) AS lag_3 FROM lf),
+ok AS (SELECT * FROM lg WHERE lag_1 IS NOT NULL AND x IS NOT NULL),
+ar AS (SELECT benefit, regr_slope(x, lag_1) AS coef, regr_intercept(x, lag_1) AS intercept, avg(lag_1) AS lag_mean,
+  count(*) AS n, min(lag_1) AS lo, max(lag_1) AS hi FROM ok GROUP BY benefit)"""
+ORACLE["m02_ar1_fit"] = w(_dense(_FK), _fit(_FK), _LAGS) + \
+    "SELECT benefit, round(coef, 6) AS coef, round(intercept, 2) AS intercept, n FROM ar"
+ORACLE["m03_lag_features"] = w(_dense(_FK), _fit(_FK), _LAGS) + \
+    "SELECT benefit, month, round(x, 2) AS x, round(lag_1, 2) AS lag_1, round(lag_2, 2) AS lag_2, round(lag_3, 2) AS lag_3 FROM lg"
+_HIST = """h AS (SELECT ser.benefit, ser.month, ser.y, fit.intercept + fit.slope * ser.t AS fit, fit.resid_sd, fit.last_month, fit.r2
+  FROM ser JOIN fit ON ser.benefit = fit.benefit)"""
+ORACLE["m04_accuracy"] = w(_dense(_FK), _fit(_FK), _HIST) + """SELECT benefit,
+  round(greatest(0.0::DOUBLE, 100.0::DOUBLE - 100.0::DOUBLE * avg(CASE WHEN y <> 0 THEN abs(y - fit) / abs(y) END)), 4) AS accuracy_pct,
+  round(any_value(r2), 6) AS r2, round(avg(abs(y - fit)), 2) AS mae FROM h GROUP BY benefit"""
+
+
+def _ftable(horizon: int) -> str:
+    return f"""fc AS (SELECT benefit, CAST(last_month + to_months(step) AS DATE) AS month,
+  round(intercept + slope * (last_t + step), 2) AS forecast,
+  round(intercept + slope * (last_t + step) - 1.96::DOUBLE * resid_sd, 2) AS lower,
+  round(intercept + slope * (last_t + step) + 1.96::DOUBLE * resid_sd, 2) AS upper, last_y
+  FROM fit CROSS JOIN (SELECT CAST(range AS INTEGER) AS step FROM range(1, {horizon + 1})) s),
+ft AS (SELECT benefit, month, forecast AS amount,
+  round(100.0::DOUBLE * (forecast / nullif(coalesce(lag(forecast) OVER (PARTITION BY benefit ORDER BY month), round(last_y, 2)), 0.0::DOUBLE) - 1.0::DOUBLE), 4) AS growth_pct,
+  lower, upper FROM fc)"""
+
+
+ORACLE["m05_forecast_table"] = w(_dense(_FK), _fit(_FK), _ftable(3)) + "SELECT * FROM ft"
+ORACLE["m05_next_month"] = w(_dense(_FK), _fit(_FK), _ftable(1), _HIST) + """, acc AS (SELECT benefit,
+  round(greatest(0.0::DOUBLE, 100.0::DOUBLE - 100.0::DOUBLE * avg(CASE WHEN y <> 0 THEN abs(y - fit) / abs(y) END)), 4) AS accuracy_pct
+  FROM h GROUP BY benefit)
+SELECT ft.benefit, ft.month AS next_month, ft.amount, ft.growth_pct, acc.accuracy_pct FROM ft JOIN acc ON ft.benefit = acc.benefit"""
+ORACLE["m06_fitted_band"] = w(_dense(_FK), _fit(_FK), _HIST) + """SELECT benefit, month, round(y, 2) AS amount, round(fit, 2) AS fit,
+  round(fit - 2.576::DOUBLE * resid_sd, 2) AS lower, round(fit + 2.576::DOUBLE * resid_sd, 2) AS upper FROM h"""
+ORACLE["m07_band_summary"] = w(_dense(_FK), _fit(_FK)) + "SELECT benefit, round(1.96::DOUBLE * resid_sd, 2) AS half_width FROM fit"
+ORACLE["m07_outside_band"] = w(_dense(_SK), _fit(_SK)) + f""", hh AS (SELECT ser.benefit, ser.prov_region, ser.month, ser.y,
+  f.intercept + f.slope * ser.t AS fit, f.resid_sd, f.last_month FROM ser JOIN fit f ON {_on(_SK, 'ser', 'f')})
+SELECT benefit, prov_region, month AS date, round(y, 2) AS amount FROM hh
+WHERE month > last_month - INTERVAL 12 MONTH
+  AND (y < fit - 1.645::DOUBLE * resid_sd OR y > fit + 1.645::DOUBLE * resid_sd)"""
+ORACLE["m08_lag_contributions"] = w(_dense(_FK), _fit(_FK), _LAGS) + """SELECT ok.benefit, ok.month,
+  round(ar.intercept + ar.coef * ok.lag_1, 2) AS prediction, round(ar.intercept + ar.coef * ar.lag_mean, 2) AS base_value,
+  round(ar.coef * (ok.lag_1 - ar.lag_mean), 2) AS lag_1_contribution FROM ok JOIN ar ON ok.benefit = ar.benefit"""
+ORACLE["m09_partial_dependence"] = w(_dense(_FK), _fit(_FK), _LAGS) + """SELECT benefit, i,
+  round(lo + (hi - lo) * i / 9.0::DOUBLE, 2) AS lag_1_value,
+  round(intercept + coef * (lo + (hi - lo) * i / 9.0::DOUBLE), 2) AS mean_prediction
+FROM ar CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 10)) g"""
+_SCEN = """scen(scenario, copay_pct, deductible_pct, utilization_pct) AS (VALUES
+  ('baseline', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('higher_copay', 20.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE),
+  ('deductible', 0.0::DOUBLE, 30.0::DOUBLE, -5.0::DOUBLE), ('growth', -10.0::DOUBLE, -10.0::DOUBLE, 15.0::DOUBLE)),
+cur AS (SELECT benefit, CAST(sum(amount) AS DECIMAL(22,2)) AS current_total FROM cl GROUP BY 1),
+wi AS (SELECT benefit, scenario, current_total,
+  CAST(current_total AS DOUBLE) * (1.0::DOUBLE + utilization_pct / 100.0::DOUBLE)
+    * (1.0::DOUBLE - 0.2::DOUBLE * copay_pct / 100.0::DOUBLE)
+    * (1.0::DOUBLE - 0.15::DOUBLE * deductible_pct / 100.0::DOUBLE) AS projected_total FROM cur CROSS JOIN scen),
+wis AS (SELECT *, CAST(current_total AS DOUBLE) - projected_total AS savings FROM wi)"""
+ORACLE["m10_what_if"] = w(_SCEN) + """SELECT benefit, scenario, current_total, projected_total, savings,
+  100.0::DOUBLE * (savings / nullif(CAST(current_total AS DOUBLE), 0.0::DOUBLE)) AS savings_percent FROM wis"""
+ORACLE["m11_savings_text"] = w(_SCEN) + """SELECT benefit, scenario,
+  CASE WHEN round(savings, 2) <> 0 THEN 'KES ' || format('{:,.2f}', savings) END AS savings_text FROM wis"""
+
+# ------------------------------------------------------------------ fraud
+_CT = """ct AS (SELECT claim_ce, CAST(sum(amount) AS DECIMAL(22,2)) AS claim_total, min(pol_name) AS pol_name,
+  count(*) AS line_count FROM cl GROUP BY 1),
+fq AS (SELECT quantile_cont(CAST(claim_total AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(claim_total AS DOUBLE), 0.75) AS q3 FROM ct),
+fb AS (SELECT q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS lower, q3 + 1.5::DOUBLE * (q3 - q1) AS upper FROM fq),
+cto AS (SELECT ct.*, CAST(claim_total AS DOUBLE) < lower OR CAST(claim_total AS DOUBLE) > upper AS is_outlier FROM ct, fb)"""
+ORACLE["r01_iqr_bounds"] = w(_CT) + "SELECT round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper FROM fb"
+ORACLE["r02_suspicious_claims"] = w(_CT) + "SELECT claim_ce AS claim_id, claim_total AS amount, pol_name, line_count FROM cto WHERE is_outlier"
+ORACLE["r03_fraud_statistics"] = w(_CT) + """SELECT count(*) AS total_claims, count(*) FILTER (WHERE is_outlier) AS suspicious_claims,
+  100.0::DOUBLE * (CAST(count(*) FILTER (WHERE is_outlier) AS DOUBLE) / count(*)) AS fraud_percentage FROM cto"""
+ORACLE["r04_rule_score"] = w(SC) + """SELECT line_id, fraud_score, rule_claim_total_outlier, rule_member_diagnosis_repeat,
+  rule_member_month_lines, rule_quantity_p99, rule_amount_vs_diagnosis_mean FROM sc"""
+_FLAG = "fraud_score >= 0.35"
+ORACLE["r05_run_summary"] = w(SC) + f"""SELECT count(*) FILTER (WHERE {_FLAG}) AS fraud_count, count(*) AS total_claims,
+  CAST(sum(CASE WHEN {_FLAG} THEN amount END) AS DECIMAL(22,2)) AS fraud_amount,
+  100.0::DOUBLE * (CAST(count(*) FILTER (WHERE {_FLAG}) AS DOUBLE) / count(*)) AS fraud_rate_pct FROM sc"""
+ORACLE["r06_dashboard_summary"] = w(SC) + f"""SELECT *, 100.0::DOUBLE * (CAST(fraud_count AS DOUBLE) / total_claims) AS fraud_rate_pct,
+  100.0::DOUBLE * (CAST(fraud_amount AS DOUBLE) / CAST(total_amount AS DOUBLE)) AS fraud_amount_pct FROM (
+  SELECT count(*) FILTER (WHERE {_FLAG}) AS fraud_count, count(*) AS total_claims,
+    CAST(sum(CASE WHEN {_FLAG} THEN amount END) AS DECIMAL(22,2)) AS fraud_amount,
+    count(*) FILTER (WHERE fraud_score >= 0.70) AS high_risk_claims,
+    CAST(sum(fraud_score) AS DOUBLE) / count(fraud_score) AS avg_fraud_score,
+    CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount FROM sc)"""
+ORACLE["r07_score_histogram"] = w(SC) + """SELECT b.bin, b.label, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count FROM
+  (VALUES (0, '0.0-0.2'), (1, '0.2-0.4'), (2, '0.4-0.6'), (3, '0.6-0.8'), (4, '0.8-1.0')) b(bin, label)
+  LEFT JOIN (SELECT CAST(least(floor(fraud_score * 5), 4) AS INTEGER) AS bin, count(*) AS cnt FROM sc GROUP BY 1) c ON c.bin = b.bin"""
+ORACLE["r08_high_risk"] = w(SC) + _HR
+ORACLE["r08_high_risk_page1"] = w(SC) + _HR + " ORDER BY fraud_score DESC, claim_id LIMIT 10"
+ORACLE["r09_high_risk_details"] = w(SC) + f"""SELECT line_id AS claim_id, claim_prov_date AS date, amount, prov_name AS provider,
+  icd10_code, fraud_score, service_code AS service_type, {AGE} AS patient_age FROM sc WHERE {_FLAG}"""
+
+
+def _fraud_by(col: str) -> str:
+    return f"""SELECT {col}, count(*) AS total_claims, count(*) FILTER (WHERE {_FLAG}) AS fraud_count,
+  CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, CAST(sum(CASE WHEN {_FLAG} THEN amount END) AS DECIMAL(22,2)) AS fraud_amount,
+  100.0::DOUBLE * (CAST(count(*) FILTER (WHERE {_FLAG}) AS DOUBLE) / count(*)) AS fraud_rate_pct FROM sc GROUP BY 1"""
+
+
+_PF = f"""pf AS ({_fraud_by('prov_name')}),
+pfc AS (SELECT *, CASE WHEN fraud_rate_pct > 20.0 THEN 'High' WHEN fraud_rate_pct > 10.0 THEN 'Medium' ELSE 'Low' END AS risk_class FROM pf)"""
+ORACLE["r10_provider_fraud"] = w(SC, _PF) + "SELECT * FROM pfc"
+ORACLE["r12_provider_summary"] = w(SC, _PF) + """SELECT count(*) AS total_providers, count(*) FILTER (WHERE risk_class = 'High') AS high_risk_providers,
+  round(avg(fraud_rate_pct), 6) AS avg_fraud_rate_pct, CAST(sum(fraud_count) AS BIGINT) AS total_fraud_cases FROM pfc"""
+ORACLE["r13_provider_vs_average"] = w(SC, _PF) + """SELECT prov_name, fraud_rate_pct, round((SELECT avg(fraud_rate_pct) FROM pf), 6) AS avg_rate_pct FROM pf"""
+ORACLE["r14_diagnosis_fraud"] = w(SC) + _fraud_by("icd10_code")
+ORACLE["r15_fraud_by_hour"] = """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+b AS (SELECT q1 - 1.5::DOUBLE * (q3 - q1) AS lower, q3 + 1.5::DOUBLE * (q3 - q1) AS upper FROM q),
+e AS (SELECT ts, CAST(value AS DOUBLE) < lower OR CAST(value AS DOUBLE) > upper AS is_outlier FROM events, b)
+SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS event_count, count(*) FILTER (WHERE is_outlier) AS flagged,
+  100.0::DOUBLE * count(*) FILTER (WHERE is_outlier) / count(*) AS flag_rate_pct FROM e GROUP BY 1"""
+ORACLE["r16_by_location"] = w(SC) + _fraud_by("prov_location")
+ORACLE["r17_by_service"] = w(SC) + _fraud_by("service_code")
+ORACLE["r18_region_hotspots"] = w(SC) + _fraud_by("prov_region")
+ORACLE["r19_provider_mean_risk"] = w(SC) + """SELECT prov_name AS provider, CAST(sum(fraud_score) AS DOUBLE) / count(fraud_score) AS fraud_risk_avg,
+  CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount, count(*) AS claim_count FROM sc GROUP BY 1"""
+for _d, _expr in (("benefit", "benefit"), ("gender", "gender"), ("month", MON)):
+    ORACLE[f"r20_risk_by_{_d}"] = w(SC) + f"""SELECT {_expr} AS {_d}, CAST(sum(fraud_score) AS DOUBLE) / count(fraud_score) AS avg_score,
+  count(*) AS line_count FROM sc GROUP BY 1"""
+ORACLE["r20_amount_by_risk_level"] = w(SC) + """SELECT CASE WHEN fraud_score < 0.4 THEN 'Low' WHEN fraud_score < 0.7 THEN 'Medium' ELSE 'High' END AS risk_level,
+  count(*) AS line_count, CAST(sum(amount) AS DECIMAL(22,2)) AS total_amount FROM sc GROUP BY 1"""
+_DEC = f"""dec AS (SELECT CAST(1 AS BIGINT) AS decision_id, line_id, 'Flagged' AS status, CAST(claim_prov_date AS TIMESTAMP) AS decided_at FROM sc WHERE {_FLAG}
+  UNION ALL SELECT CAST(2 AS BIGINT), line_id, 'Approved', CAST(claim_prov_date + INTERVAL 7 DAY AS TIMESTAMP) FROM sc WHERE {_FLAG} AND quantity >= 45),
+lat AS (SELECT line_id, status FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY decided_at DESC, decision_id DESC) AS rn FROM dec) WHERE rn = 1),
+rv AS (SELECT sc.*, coalesce(lat.status, 'Pending') AS status FROM sc LEFT JOIN lat ON lat.line_id = sc.line_id)"""
+ORACLE["r21_potential_cases"] = w(SC, _DEC) + """SELECT line_id AS claim_id, claim_prov_date AS date, claim_me, prov_name AS provider_name,
+  amount, fraud_score, status FROM rv
+WHERE claim_prov_date >= DATE '1996-01-01' AND claim_prov_date <= DATE '2000-12-31' AND fraud_score >= 0.4 AND fraud_score < 0.7"""
+ORACLE["r22_review_status"] = w(SC, _DEC) + "SELECT status, count(*) AS line_count FROM rv GROUP BY 1"
