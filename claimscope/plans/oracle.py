@@ -556,3 +556,15 @@ ORACLE["r21_potential_cases"] = w(SC, _DEC) + """SELECT line_id AS claim_id, cla
   amount, fraud_score, status FROM rv
 WHERE claim_prov_date >= DATE '1996-01-01' AND claim_prov_date <= DATE '2000-12-31' AND fraud_score >= 0.4 AND fraud_score < 0.7"""
 ORACLE["r22_review_status"] = w(SC, _DEC) + "SELECT status, count(*) AS line_count FROM rv GROUP BY 1"
+
+# ------------------------------------------------------------------ machine learning (SQL-expressible parts)
+ORACLE["l02_binary_target"] = w() + """SELECT CAST(CAST(amount AS DOUBLE) > (SELECT quantile_cont(CAST(amount AS DOUBLE), 0.75) FROM cl) AS INTEGER) AS label,
+  count(*) AS line_count FROM cl GROUP BY 1"""
+ORACLE["l05_robust_z"] = w("""md AS (SELECT quantile_cont(CAST(amount AS DOUBLE), 0.5) AS med FROM cl),
+dv AS (SELECT abs(CAST(amount AS DOUBLE) - med) AS dev FROM cl, md),
+mad AS (SELECT quantile_cont(dev, 0.5) AS mad FROM dv),
+z AS (SELECT dev / (1.4826::DOUBLE * mad) AS s FROM dv, mad)""") + """SELECT 'robust_z' AS detector,
+  round(avg(s), 6) AS anomaly_score_mean, round(stddev_samp(s), 6) AS anomaly_score_std,
+  count(*) FILTER (WHERE s > 3.5::DOUBLE) AS n_anomalies FROM z"""
+ORACLE["l07_class_balance"] = w() + """SELECT count(*) AS sample_size, CAST(sum(label) AS BIGINT) AS positives,
+  100.0::DOUBLE * CAST(sum(label) AS DOUBLE) / count(*) AS positive_pct FROM cl"""

@@ -747,3 +747,88 @@ def _r22(spark, sf):
     s = scored(spark, sf)
     return R.with_review_status(s, R.derived_decisions(s, THRESHOLD)).groupBy("status").agg(
         F.count(F.lit(1)).alias("line_count"))
+
+
+# ------------------------------------------------------------------ machine learning
+def _fitted(spark, sf):
+    from claimscope.operators import ml as L
+    return L.fit_models(claims(spark, sf))
+
+
+@q("l01_train_metrics")
+def _l01(spark, sf):
+    from claimscope.operators import ml as L
+    models, test = _fitted(spark, sf)
+    return L.evaluate(models, test)
+
+
+@q("l02_binary_target")
+def _l02(spark, sf):
+    from claimscope.operators import ml as L
+    c = claims(spark, sf).drop("label")
+    return L.binary_target(c, "amount", 0.75).groupBy("label").agg(F.count(F.lit(1)).alias("line_count"))
+
+
+@q("l04_best_model")
+def _l04(spark, sf):
+    from claimscope.operators import ml as L
+    models, test = _fitted(spark, sf)
+    return L.best_model(L.evaluate(models, test))
+
+
+@q("l05_robust_z")
+def _l05(spark, sf):
+    from claimscope.operators import ml as L
+    return L.anomaly_summary(L.robust_z(claims(spark, sf), "amount"), "robust_z")
+
+
+@q("l05_kmeans_distance")
+def _l05b(spark, sf):
+    from claimscope.operators import ml as L
+    s = L.kmeans_distance(claims(spark, sf))
+    return s.agg(F.lit("kmeans").alias("detector"),
+                 F.round(F.avg("anomaly_score"), 6).alias("anomaly_score_mean"),
+                 F.round(F.stddev_samp("anomaly_score"), 6).alias("anomaly_score_std"),
+                 F.count_if("is_anomaly").alias("n_anomalies"))
+
+
+@q("l06_feature_importance")
+def _l06(spark, sf):
+    from claimscope.operators import ml as L
+    models, test = _fitted(spark, sf)
+    return L.feature_importance(models, test)
+
+
+@q("l07_class_balance")
+def _l07(spark, sf):
+    from claimscope.operators import ml as L
+    return L.class_balance(claims(spark, sf))
+
+
+@q("l08_claims_regression")
+def _l08(spark, sf):
+    from claimscope.operators import ml as L
+    return L.train_claims_regression(claims(spark, sf))
+
+
+@q("m02_pooled_ar3")
+def _m02p(spark, sf):
+    from claimscope.operators import ml as L
+    return L.pooled_ar(M.lag_features(claims(spark, sf), SERIES_KEYS, 3), 3)
+
+
+@q("m12_claim_predictions")
+def _m12(spark, sf):
+    from claimscope.operators import ml as L
+    models, _ = _fitted(spark, sf)
+    return L.predict_claims(models["logistic_regression"], claims(spark, sf))
+
+
+@q("m13_batch_predict")
+def _m13(spark, sf):
+    from claimscope.operators import ml as L
+    from claimscope.session import scratch_path
+    import uuid
+    models, _ = L.fit_models(claims(spark, sf), models={"logistic_regression": L.classifiers()["logistic_regression"]})
+    path = L.save_model(models["logistic_regression"], scratch_path(spark, f"model-{uuid.uuid4().hex}"))
+    return L.batch_predict(path, claims(spark, sf))
