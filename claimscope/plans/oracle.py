@@ -568,3 +568,9 @@ z AS (SELECT dev / (1.4826::DOUBLE * mad) AS s FROM dv, mad)""") + """SELECT 'ro
   count(*) FILTER (WHERE s > 3.5::DOUBLE) AS n_anomalies FROM z"""
 ORACLE["l07_class_balance"] = w() + """SELECT count(*) AS sample_size, CAST(sum(label) AS BIGINT) AS positives,
   100.0::DOUBLE * CAST(sum(label) AS DOUBLE) / count(*) AS positive_pct FROM cl"""
+
+# ------------------------------------------------------------------ streaming (same answer as batch)
+_EV_DAILY = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS event_count, round(sum(value), 4) AS total_value
+FROM events GROUP BY 1, 2"""
+ORACLE["st_w01_daily_event_rollup"] = _EV_DAILY
+ORACLE["w01_daily_event_rollup_batch"] = _EV_DAILY

@@ -832,3 +832,17 @@ def _m13(spark, sf):
     models, _ = L.fit_models(claims(spark, sf), models={"logistic_regression": L.classifiers()["logistic_regression"]})
     path = L.save_model(models["logistic_regression"], scratch_path(spark, f"model-{uuid.uuid4().hex}"))
     return L.batch_predict(path, claims(spark, sf))
+
+
+# ------------------------------------------------------------------ streaming
+@q("st_w01_daily_event_rollup")
+def _stream(spark, sf):
+    from claimscope.streaming.daily_rollup import run_daily_rollup
+    return run_daily_rollup(spark, f"{sf.rstrip('/')}/events*.parquet")
+
+
+@q("w01_daily_event_rollup_batch")
+def _stream_batch(spark, sf):
+    e = T.events(spark, sf)
+    return (e.groupBy(F.col("ts").cast("date").alias("day"), "event_type")
+            .agg(F.count(F.lit(1)).alias("event_count"), F.round(F.sum("value"), 4).alias("total_value")))
