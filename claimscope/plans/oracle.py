@@ -574,3 +574,8 @@ _EV_DAILY = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS event_cou
 FROM events GROUP BY 1, 2"""
 ORACLE["st_w01_daily_event_rollup"] = _EV_DAILY
 ORACLE["w01_daily_event_rollup_batch"] = _EV_DAILY
+
+# ------------------------------------------------------------------ CSV import round trip
+from claimscope.definitions import CSV_HEADER_MAP as _HDR  # noqa: E402
+
+ORACLE["s01_csv_import_roundtrip"] = w() + "SELECT " + ", ".join(d for _, d in _HDR) + " FROM cl"

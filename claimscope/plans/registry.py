@@ -846,3 +846,16 @@ def _stream_batch(spark, sf):
     e = T.events(spark, sf)
     return (e.groupBy(F.col("ts").cast("date").alias("day"), "event_type")
             .agg(F.count(F.lit(1)).alias("event_count"), F.round(F.sum("value"), 4).alias("total_value")))
+
+
+# ------------------------------------------------------------------ CSV import round trip
+@q("s01_csv_import_roundtrip")
+def _s01(spark, sf):
+    """The claims table exported in the source
+    CSV layout, then imported by the import job."""
+    import uuid
+    from claimscope.session import scratch_path
+    from claimscope.sources.csv_import import export_source_csv, import_claims
+    path = export_source_csv(claims(spark, sf), scratch_path(spark, f"csv-{uuid.uuid4().hex}"))
+    typed, _ = import_claims(spark, path)
+    return typed

@@ -42,7 +42,7 @@ def convert_amount(c: Column) -> Column:
     """C4: blanks and dashes -> 0; any other non-number also 0 (the import
     message promises 0.0); exponent text such as ``1e5`` is read as a number."""
     txt = F.when(normalise_amount(c).isin(D.AMOUNT_BLANKS), F.lit(None)).otherwise(normalise_amount(c))
-    return F.coalesce(txt.try_cast("double").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    return F.coalesce(txt.try_cast("double").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
 
 
 def typed_claims(raw: DataFrame) -> DataFrame:
@@ -82,3 +82,20 @@ def write_claims(df: DataFrame, path: str) -> str:
 def load_claims(spark: SparkSession, path: str) -> DataFrame:
     """The stored claims table."""
     return spark.read.parquet(path)
+
+
+def export_source_csv(claims: DataFrame, path: str, encoding: str = "ISO-8859-1") -> str:
+    """S8 in the source layout: the claims table written back as the import
+    file (source headers, day/month/year dates, amounts with thousands
+    commas), e.g. to hand a cleaned extract to the upstream system."""
+    cols = []
+    for src, dst in D.CSV_HEADER_MAP:
+        c = F.col(dst)
+        if dst in ("claim_prov_date", "dob"):
+            c = F.date_format(c, "dd/MM/yyyy")
+        elif dst == "amount":
+            c = F.format_number(c.cast("double"), 2)
+        cols.append(c.cast("string").alias(src))
+    (claims.select(*cols).write.mode("overwrite").option("header", True)
+     .option("encoding", encoding).csv(path))
+    return path
