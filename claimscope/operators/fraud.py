@@ -91,15 +91,21 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
                         .select((F.col("__q3") + F.lit(iqr_k) * (F.col("__q3") - F.col("__q1")))
                                 .alias("__fence")))
     q99 = F.broadcast(quantile_row(base, "quantity", {"__qp": qty_pct}))
-    repeat = base.groupBy("claim_me", "icd10_code", "__mon").agg(F.count(F.lit(1)).alias("__rep_n"))
-    member_month = base.groupBy("claim_me", "__mon").agg(F.count(F.lit(1)).alias("__mm_n"))
-    diag = base.groupBy("icd10_code").agg(
-        (F.sum("amount").cast("double") / F.count("amount")).alias("__diag_mean"))
+    # One pre-aggregate per (member, diagnosis, month) feeds three rules:
+    # its own count (repeats), the member-month line count (sum over
+    # diagnoses) and the diagnosis mean (sum and count over members).  Its
+    # rows are then joined back to the lines once.
+    mdm = base.groupBy("claim_me", "icd10_code", "__mon").agg(
+        F.count(F.lit(1)).alias("__rep_n"), F.sum("amount").alias("__amt"))
+    member_month = mdm.groupBy("claim_me", "__mon").agg(F.sum("__rep_n").alias("__mm_n"))
+    diag = mdm.groupBy("icd10_code").agg(
+        (F.sum("__amt").cast("double") / F.sum("__rep_n")).alias("__diag_mean"))
+    keyed = (mdm.join(member_month, ["claim_me", "__mon"])
+             .join(diag, "icd10_code")
+             .select("claim_me", "icd10_code", "__mon", "__rep_n", "__mm_n", "__diag_mean"))
 
     j = (base.join(totals, "claim_ce", "left")
-         .join(repeat, ["claim_me", "icd10_code", "__mon"], "left")
-         .join(member_month, ["claim_me", "__mon"], "left")
-         .join(diag, "icd10_code", "left")
+         .join(keyed, ["claim_me", "icd10_code", "__mon"], "left")
          .crossJoin(fence).crossJoin(q99))
 
     rules = {

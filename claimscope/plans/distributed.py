@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 
 from claimscope.session import ensure_checkpoint_dir
 
+# Largest per-task working set the in-task paths may use: distinct values
+# of one group (exact percentile buffer) or rows of one ordered window.
+IN_TASK_LIMIT = 200_000
+
 _PID = "__pid"
 _MID = "__mid"
 _SHIFT = 1 << 33   # monotonically_increasing_id = partition << 33 | row
@@ -46,19 +50,6 @@ def _numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Data
     return numbered.checkpoint(eager=True)
 
 
-def _segments(numbered: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per (partition, group): where the group's rows start there and
-    how many rows of the group precede them in earlier partitions."""
-    seg = numbered.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("__cnt"),
-                                          F.min(_MID).alias("__first"))
-    w = Window.partitionBy(*by).orderBy(_PID) if by else Window.orderBy(_PID)
-    # Without group keys this window holds one row per partition: bounded.
-    return (seg.withColumn("__start", F.coalesce(
-                F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("__n", F.sum("__cnt").over(
-                Window.partitionBy(*by) if by else Window.partitionBy())))
-
-
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                     by: Sequence[str] = (), prob_col: str = "p",
                     out_col: str = "q") -> DataFrame:
@@ -66,40 +57,59 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     ``percentile``, pandas' default ``quantile`` and DuckDB's
     ``quantile_cont``), per group of ``by``; nulls ignored.
 
-    Returns ``by + [prob_col, out_col]`` with one row per group and
-    probability.  Work: one range shuffle of (by, value) and a sort; what is
-    joined back is one row per group and probability.
+    Rows are first counted per distinct (group, value) -- a map-side
+    combined aggregate, so repeated values cost nothing -- then the
+    distinct values get global rank ranges from :func:`running_total`, and
+    the wanted ranks (two per group and probability) are looked up by range.
+    Returns ``by + [prob_col, out_col]``.
     """
+    by = list(by)
     v = value if isinstance(value, Column) else F.col(value)
-    base = df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    numbered = _numbered(base, by, [F.col("__v")])
-    seg = _segments(numbered, by)
+    hist = (df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__w")))
+    # Size check (one small job over the histogram): when every group has
+    # few distinct values, Spark's exact percentile with frequencies keeps
+    # at most that many entries per buffer -- bounded, and one stage.
+    widest = hist.groupBy(*by).agg(F.count(F.lit(1)).alias("__d")).agg(F.max("__d")).first()[0]
+    if widest is None or widest <= IN_TASK_LIMIT:
+        pcts = [float(p) for p in probs]
+        agg = hist.groupBy(*by).agg(F.percentile("__v", pcts, F.col("__w")).alias("__qs"))
+        return agg.select(*by, F.posexplode("__qs").alias("__i", out_col)).join(
+            F.broadcast(df.sparkSession.createDataFrame(list(enumerate(pcts)), f"__i int, {prob_col} double")),
+            "__i").select(*by, prob_col, out_col)
+    cum = running_total(hist, by + ["__v"], ["__w"], force_distributed=True)
+    # Rank range of each distinct value inside its group: [end - w, end).
+    gstart = cum.groupBy(*by).agg(F.min(F.col("__w_cum") - F.col("__w")).alias("__g0"),
+                                  F.sum("__w").alias("__n"))
+    # Without groups gstart is one row; with groups it is one row per group.
+    ranges = cum.join(gstart, by) if by else cum.crossJoin(F.broadcast(gstart))
+    ranges = ranges.select(*by, "__v", "__n", (F.col("__w_cum") - F.col("__w") - F.col("__g0")).alias("__r0"),
+                           (F.col("__w_cum") - F.col("__g0")).alias("__r1"))
 
     probs_df = df.sparkSession.createDataFrame([(float(p),) for p in probs], f"{prob_col} double")
-    groups = seg.select(*by, "__n").distinct()
-    targets = (groups.crossJoin(F.broadcast(probs_df))
+    targets = (gstart.select(*by, "__n").crossJoin(F.broadcast(probs_df))
                .withColumn("__pos", F.col(prob_col) * (F.col("__n") - 1))
                .withColumn("__lo", F.floor("__pos"))
                .withColumn("__hi", F.ceil("__pos"))
                .withColumn("__frac", F.col("__pos") - F.col("__lo")))
-    wanted = (targets.select(*by, prob_col, F.explode(F.array(
+    wanted = (targets.select(*by, prob_col, "__frac", F.explode(F.array(
                   F.struct(F.lit("lo").alias("side"), F.col("__lo").alias("rank")),
                   F.struct(F.lit("hi").alias("side"), F.col("__hi").alias("rank")))).alias("t"))
-              .select(*by, prob_col, "t.side", "t.rank"))
-    # Which partition segment holds each wanted rank -> the row's position id.
-    located = (wanted.join(seg, on=list(by)) if by else wanted.crossJoin(F.broadcast(seg)))
-    located = (located.where((F.col("rank") >= F.col("__start")) &
-                             (F.col("rank") < F.col("__start") + F.col("__cnt")))
-               .select(*by, prob_col, "side",
-                       (F.col("__first") + F.col("rank") - F.col("__start")).alias(_MID)))
-    values = numbered.select(_MID, "__v").join(located, on=_MID)
-    picked = (values.groupBy(*by, prob_col)
-              .agg(F.max(F.when(F.col("side") == "lo", F.col("__v"))).alias("__lov"),
+              .select(*by, prob_col, "__frac", "t.side", "t.rank"))
+    hit = (F.col("rank") >= F.col("__r0")) & (F.col("rank") < F.col("__r1"))
+    if by:
+        cond = [ranges[c] == wanted[c] for c in by]
+        located = ranges.join(wanted, cond + [hit]).select(*[ranges[c] for c in by], prob_col,
+                                                           "__frac", "side", "__v")
+    else:
+        # Without groups the targets are 2 x len(probs) rows: broadcast.
+        located = ranges.join(F.broadcast(wanted), hit).select(prob_col, "__frac", "side", "__v")
+    picked = (located.groupBy(*by, prob_col)
+              .agg(F.max("__frac").alias("__frac"),
+                   F.max(F.when(F.col("side") == "lo", F.col("__v"))).alias("__lov"),
                    F.max(F.when(F.col("side") == "hi", F.col("__v"))).alias("__hiv")))
-    out = (picked.join(targets.select(*by, prob_col, "__frac"), on=list(by) + [prob_col])
-           .select(*by, prob_col,
-                   (F.col("__lov") + (F.col("__hiv") - F.col("__lov")) * F.col("__frac")).alias(out_col)))
-    return out
+    return picked.select(*by, prob_col,
+                         (F.col("__lov") + (F.col("__hiv") - F.col("__lov")) * F.col("__frac")).alias(out_col))
 
 
 def quantile_row(df: DataFrame, value: str | Column, probs: dict[str, float],
@@ -113,14 +123,21 @@ def quantile_row(df: DataFrame, value: str | Column, probs: dict[str, float],
 
 
 def running_total(df: DataFrame, order: Sequence[str], values: Sequence[str],
-                  suffix: str = "_cum") -> DataFrame:
+                  suffix: str = "_cum", force_distributed: bool = False) -> DataFrame:
     """Running sums of ``values`` over a total order of the whole DataFrame
     (``order`` must end in a unique key), plus ``row_pos`` (1-based).
 
     Equivalent to ``sum(v).over(Window.orderBy(*order))`` with rows framing,
     but partitioned: per-partition running sums plus the totals of earlier
-    partitions (one row per partition, broadcast).
+    partitions (one row per partition, broadcast).  Inputs of at most
+    ``IN_TASK_LIMIT`` rows (checked with a count) use the plain window.
     """
+    if not force_distributed and df.count() <= IN_TASK_LIMIT:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn("row_pos", F.row_number().over(Window.orderBy(*order)))
+        for c in values:
+            out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w))
+        return out.select(*df.columns, "row_pos", *[f"{c}{suffix}" for c in values])
     numbered = _numbered(df, [], _cols(order))
     local_w = (Window.partitionBy(_PID).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

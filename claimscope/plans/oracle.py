@@ -110,6 +110,7 @@ GROUP BY 1, 2"""
 
 # ------------------------------------------------------------------ sources
 ORACLE["s04_claims_scan"] = w() + "SELECT * FROM cl"
+ORACLE["s04_stored_claims_scan"] = w() + "SELECT * FROM cl"
 ORACLE["s05_dataset_aliases"] = w() + """
 SELECT coalesce(claim_ce, line_id) AS claim_id, claim_prov_date AS date, prov_name AS provider_name, amount FROM cl"""
 ORACLE["s07_filter_values"] = w() + "SELECT DISTINCT benefit AS value FROM cl WHERE benefit IS NOT NULL"

@@ -75,6 +75,7 @@ def write_claims(df: DataFrame, path: str) -> str:
     """S3: full replace of the claims table, partitioned by service month
     so month filters prune whole folders."""
     (df.withColumn("claim_month", F.date_format("claim_prov_date", "yyyy-MM"))
+     .repartitionByRange("claim_prov_date").sortWithinPartitions("claim_prov_date")
      .write.mode("overwrite").partitionBy("claim_month").parquet(path))
     return path
 

@@ -69,7 +69,10 @@ def test_empty_input_keeps_schema(claims):
         assert df.columns
 
 
-def test_exact_quantiles_match_percentile(spark):
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_exact_quantiles_match_percentile(spark, monkeypatch, limit):
+    import claimscope.plans.distributed as dist
+    monkeypatch.setattr(dist, "IN_TASK_LIMIT", limit)
     import random
     rnd = random.Random(7)
     rows = [(rnd.choice("abc"), float(rnd.randint(-50, 50)) + rnd.random()) for _ in range(3000)]
@@ -83,7 +86,10 @@ def test_exact_quantiles_match_percentile(spark):
             assert abs(mine[(r.g, p)] - r[str(p)]) < 1e-9
 
 
-def test_running_total_matches_window(spark):
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_running_total_matches_window(spark, monkeypatch, limit):
+    import claimscope.plans.distributed as dist
+    monkeypatch.setattr(dist, "IN_TASK_LIMIT", limit)
     from pyspark.sql import Window
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id").alias("k")).repartition(7)
     mine = {r.k: (r.row_pos, r.v_cum) for r in running_total(df, ["v", "k"], ["v"]).collect()}
