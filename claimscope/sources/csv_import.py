@@ -73,9 +73,13 @@ def import_claims(spark: SparkSession, path: str, encoding: str = "ISO-8859-1"):
 
 def write_claims(df: DataFrame, path: str) -> str:
     """S3: full replace of the claims table, partitioned by service month
-    so month filters prune whole folders."""
+    so month filters prune whole folders.  Rows are range-partitioned on
+    (date, line id) -- the id splits a date that holds a large share of all
+    lines over several tasks -- and sorted by date inside each file, so
+    parquet min/max statistics skip row groups for date filters."""
+    order = [F.col("claim_prov_date")] + ([F.col("line_id")] if "line_id" in df.columns else [])
     (df.withColumn("claim_month", F.date_format("claim_prov_date", "yyyy-MM"))
-     .repartitionByRange("claim_prov_date").sortWithinPartitions("claim_prov_date")
+     .repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("claim_month").parquet(path))
     return path
 
