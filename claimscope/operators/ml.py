@@ -131,8 +131,7 @@ def feature_importance(models: dict[str, PipelineModel], test: DataFrame) -> Dat
     spark = test.sparkSession
     rows = []
     for name, m in models.items():
-        feats = m.stages[-2].transform(m.stages[-3].transform(
-            _apply(m.stages[:-3], test.limit(1))))
+        feats = _apply(m.stages[:-1], test.limit(1))
         names = _feature_names(m, feats)
         last = m.stages[-1]
         if hasattr(last, "featureImportances"):

@@ -25,7 +25,7 @@ from claimscope.session import ensure_checkpoint_dir
 
 # Largest per-task working set the in-task paths may use: distinct values
 # of one group (exact percentile buffer) or rows of one ordered window.
-IN_TASK_LIMIT = 200_000
+IN_TASK_LIMIT = 1_000_000
 
 _PID = "__pid"
 _MID = "__mid"

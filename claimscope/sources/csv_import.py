@@ -47,7 +47,6 @@ def convert_amount(c: Column) -> Column:
 
 def typed_claims(raw: DataFrame) -> DataFrame:
     """Source headers -> claims columns and types."""
-    m = dict(D.CSV_HEADER_MAP)
     cols = []
     for src, dst in D.CSV_HEADER_MAP:
         c = F.col(f"`{src}`") if src in raw.columns else F.lit(None).cast("string")
@@ -59,7 +58,6 @@ def typed_claims(raw: DataFrame) -> DataFrame:
             cols.append(F.trim(c).try_cast("double").cast("int").alias(dst))
         else:
             cols.append(c.alias(dst))
-    del m
     return raw.select(*cols)
 
 

@@ -9,9 +9,7 @@ what the registered queries use, so each query reads the given tables.
 
 from __future__ import annotations
 
-import hashlib
 import os
-import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,24 +112,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-_STORED: dict[tuple[str, str], str] = {}
-_LOCK = threading.Lock()
-
-
 def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims table, derived from the given tables once per Spark
     application and stored (S3: parquet partitioned by service month, rows
     range-ordered by date) in the shared checkpoint folder; later queries
     read it like the dashboard reads its stored claims table.  Storing also
     cuts the seven-table join out of every downstream plan and lineage."""
-    from claimscope.session import scratch_path
+    from claimscope.plans.stored import stored
     from claimscope.sources.csv_import import write_claims
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    with _LOCK:
-        path = _STORED.get(key)
-        if path is None:
-            tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
-            path = scratch_path(spark, f"claims-{tag}")
-            write_claims(claims_view(spark, sf_dir), path)
-            _STORED[key] = path
-    return spark.read.parquet(path).select(*CLAIM_COLUMNS)
+    key = "claims|" + os.path.abspath(sf_dir)
+    return stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims).select(*CLAIM_COLUMNS)
