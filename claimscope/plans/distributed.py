@@ -134,7 +134,7 @@ def running_total(df: DataFrame, order: Sequence[str], values: Sequence[str],
     """
     if not force_distributed and df.count() <= IN_TASK_LIMIT:
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn("row_pos", F.row_number().over(Window.orderBy(*order)))
+        out = df.withColumn("row_pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
         for c in values:
             out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w))
         return out.select(*df.columns, "row_pos", *[f"{c}{suffix}" for c in values])
