@@ -67,6 +67,11 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     v = value if isinstance(value, Column) else F.col(value)
     hist = (df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
             .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__w")))
+    # The histogram is written once to the shared checkpoint folder: the
+    # size check and the quantile step read it instead of re-aggregating
+    # the source, and its lineage ends there.
+    ensure_checkpoint_dir(df.sparkSession)
+    hist = hist.checkpoint(eager=True)
     # Size check (one small job over the histogram): when every group has
     # few distinct values, Spark's exact percentile with frequencies keeps
     # at most that many entries per buffer -- bounded, and one stage.
