@@ -134,6 +134,8 @@ def by_risk_level(df: DataFrame, level: str | None, score: str = "fraud_score")
 
 def score_at_least(df: DataFrame, threshold: float, score: str = "fraud_score") -> DataFrame:
     """``score >= t``; t in 0.1..1.0 by 0.05."""
+    if not 0.0 <= threshold <= 1.0:
+        raise ValueError("threshold must be within [0, 1]")
     return df.where(F.col(score) >= F.lit(threshold).cast("decimal(3,2)"))
 
 
