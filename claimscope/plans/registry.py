@@ -768,9 +768,19 @@ def _r22(spark, sf):
 
 
 # ------------------------------------------------------------------ machine learning
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(spark, sf):
+    """The three fraud classifiers, trained once per application and data
+    set; the metric, best-model, importance and prediction queries share
+    them (the training itself runs on Spark)."""
+    import os
     from claimscope.operators import ml as L
-    return L.fit_models(claims(spark, sf))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key not in _MODELS:
+        _MODELS[key] = L.fit_models(claims(spark, sf))
+    return _MODELS[key]
 
 
 @q("l01_train_metrics")
