@@ -19,6 +19,7 @@ from claimscope import definitions as D
 from claimscope.operators.filters import date_range, equals_or_all, risk_level
 from claimscope.operators.stats import age_years
 from claimscope.plans.distributed import quantile_row
+from claimscope.session import ensure_checkpoint_dir
 
 MONEY = "decimal(22,2)"
 SCORE = "decimal(3,2)"
@@ -97,6 +98,10 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
     # rows are then joined back to the lines once.
     mdm = base.groupBy("claim_me", "icd10_code", "__mon").agg(
         F.count(F.lit(1)).alias("__rep_n"), F.sum("amount").alias("__amt"))
+    # Three consumers below; Catalyst would prune and plan it three times.
+    # Written once to the shared checkpoint folder instead.
+    ensure_checkpoint_dir(df.sparkSession)
+    mdm = mdm.checkpoint(eager=True)
     member_month = mdm.groupBy("claim_me", "__mon").agg(F.sum("__rep_n").alias("__mm_n"))
     diag = mdm.groupBy("icd10_code").agg(
         (F.sum("__amt").cast("double") / F.sum("__rep_n")).alias("__diag_mean"))
