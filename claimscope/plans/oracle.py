@@ -580,3 +580,7 @@ ORACLE["w01_daily_event_rollup_batch"] = _EV_DAILY
 from claimscope.definitions import CSV_HEADER_MAP as _HDR  # noqa: E402
 
 ORACLE["s01_csv_import_roundtrip"] = w() + "SELECT " + ", ".join(d for _, d in _HDR) + " FROM cl"
+
+_SERVICES = ["F-1", "F-2", "F-3", "F-4", "F-5", "O-1", "O-2", "O-3", "O-4", "O-5"]
+ORACLE["a18_diagnosis_treatment_wide"] = w() + "SELECT icd10_code, " + ", ".join(
+    f"count(*) FILTER (WHERE service_code = '{v}') AS \"{v}\"" for v in _SERVICES) + " FROM cl GROUP BY icd10_code"

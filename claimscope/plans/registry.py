@@ -887,3 +887,12 @@ def _s01(spark, sf):
     path = export_source_csv(claims(spark, sf), scratch_path(spark, f"csv-{uuid.uuid4().hex}"))
     typed, _ = import_claims(spark, path)
     return typed
+
+
+# Service codes of the test data: line status F/O x priority 1-5 (fixed values).
+SERVICE_CODES = ["F-1", "F-2", "F-3", "F-4", "F-5", "O-1", "O-2", "O-3", "O-4", "O-5"]
+
+
+@q("a18_diagnosis_treatment_wide")
+def _a18w(spark, sf):
+    return A.diagnosis_treatment(claims(spark, sf), wide=True, services=SERVICE_CODES)
