@@ -97,6 +97,15 @@ def heatmap(df: DataFrame, date_col: str = DATE) -> DataFrame:
                  F.sum("amount").cast(MONEY).alias("total_amount")))
 
 
+def heatmap_wide(df: DataFrame, date_col: str = DATE) -> DataFrame:
+    """W7 wide: one row per calendar month, one line-count column per day
+    of week (1 = Monday ... 7 = Sunday); the pivot values are given, so no
+    distinct-values job runs first."""
+    return (df.withColumn("dow", F.weekday(date_col) + 1)
+            .groupBy(F.month(date_col).alias("month_of_year"))
+            .pivot("dow", list(range(1, 8))).count().na.fill(0))
+
+
 def rolling_average(df: DataFrame, unit: str = "month", periods: int = D.ROLLING_PERIODS) -> DataFrame:
     """Mean of the last ``periods`` period totals (shorter at the start)."""
     per = rollup(df, unit).select("period", "total_amount")

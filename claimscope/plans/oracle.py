@@ -584,3 +584,5 @@ ORACLE["s01_csv_import_roundtrip"] = w() + "SELECT " + ", ".join(d for _, d in _
 _SERVICES = ["F-1", "F-2", "F-3", "F-4", "F-5", "O-1", "O-2", "O-3", "O-4", "O-5"]
 ORACLE["a18_diagnosis_treatment_wide"] = w() + "SELECT icd10_code, " + ", ".join(
     f"count(*) FILTER (WHERE service_code = '{v}') AS \"{v}\"" for v in _SERVICES) + " FROM cl GROUP BY icd10_code"
+ORACLE["w07_heatmap_wide"] = w() + "SELECT CAST(month(claim_prov_date) AS INTEGER) AS month_of_year, " + ", ".join(
+    f"count(*) FILTER (WHERE isodow(claim_prov_date) = {d}) AS \"{d}\"" for d in range(1, 8)) + " FROM cl GROUP BY 1"

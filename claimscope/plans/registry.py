@@ -896,3 +896,8 @@ SERVICE_CODES = ["F-1", "F-2", "F-3", "F-4", "F-5", "O-1", "O-2", "O-3", "O-4",
 @q("a18_diagnosis_treatment_wide")
 def _a18w(spark, sf):
     return A.diagnosis_treatment(claims(spark, sf), wide=True, services=SERVICE_CODES)
+
+
+@q("w07_heatmap_wide")
+def _w07w(spark, sf):
+    return W.heatmap_wide(claims(spark, sf))
