@@ -586,3 +586,10 @@ ORACLE["a18_diagnosis_treatment_wide"] = w() + "SELECT icd10_code, " + ", ".join
     f"count(*) FILTER (WHERE service_code = '{v}') AS \"{v}\"" for v in _SERVICES) + " FROM cl GROUP BY icd10_code"
 ORACLE["w07_heatmap_wide"] = w() + "SELECT CAST(month(claim_prov_date) AS INTEGER) AS month_of_year, " + ", ".join(
     f"count(*) FILTER (WHERE isodow(claim_prov_date) = {d}) AS \"{d}\"" for d in range(1, 8)) + " FROM cl GROUP BY 1"
+ORACLE["a23_least_efficient"] = w() + _EFF + " ORDER BY efficiency_score ASC, prov_name LIMIT 10"
+ORACLE["m07_outside_band_count"] = w(_dense(_SK), _fit(_SK)) + f""", hh AS (SELECT ser.benefit, ser.prov_region, ser.month, ser.y,
+  f.intercept + f.slope * ser.t AS fit, f.resid_sd, f.last_month FROM ser JOIN fit f ON {_on(_SK, 'ser', 'f')})
+SELECT benefit, prov_region, count(*) AS months_outside FROM hh
+WHERE month > last_month - INTERVAL 12 MONTH
+  AND (y < fit - 1.645::DOUBLE * resid_sd OR y > fit + 1.645::DOUBLE * resid_sd)
+GROUP BY 1, 2"""

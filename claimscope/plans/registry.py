@@ -901,3 +901,14 @@ def _a18w(spark, sf):
 @q("w07_heatmap_wide")
 def _w07w(spark, sf):
     return W.heatmap_wide(claims(spark, sf))
+
+
+@q("a23_least_efficient")
+def _a23c(spark, sf):
+    return A.efficiency_extremes(claims(spark, sf), 10, most=False)
+
+
+@q("m07_outside_band_count")
+def _m07c(spark, sf):
+    o = M.outside_band(claims(spark, sf), SERIES_KEYS, level=90)
+    return o.groupBy(*SERIES_KEYS).agg(F.count(F.lit(1)).alias("months_outside"))
