@@ -49,9 +49,8 @@ def score_fresh(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """One scoring run (R4) per application and parameter set, stored; the
     fraud pages aggregate the stored run (score once, read many)."""
-    import os
-    from claimscope.plans.stored import stored
-    key = (f"scored|{os.path.abspath(sf)}|{D.TEST_RULE_MAX_LINES}|{D.TEST_RULE_AMOUNT_FACTOR}"
+    from claimscope.plans.stored import data_key, stored
+    key = (f"scored|{data_key(sf)}|{D.TEST_RULE_MAX_LINES}|{D.TEST_RULE_AMOUNT_FACTOR}"
            f"|{THRESHOLD}")
     return stored(spark, key, lambda: score_fresh(spark, sf))
 
@@ -775,9 +774,9 @@ def _fitted(spark, sf):
     """The three fraud classifiers, trained once per application and data
     set; the metric, best-model, importance and prediction queries share
     them (the training itself runs on Spark)."""
-    import os
     from claimscope.operators import ml as L
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    from claimscope.plans.stored import data_key
+    key = (spark.sparkContext.applicationId, data_key(sf))
     if key not in _MODELS:
         _MODELS[key] = L.fit_models(claims(spark, sf))
     return _MODELS[key]

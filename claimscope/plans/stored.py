@@ -22,6 +22,13 @@ _PATHS: dict[tuple[str, str], str] = {}
 _LOCK = threading.RLock()  # builders may call stored() for their inputs
 
 
+def data_key(path: str) -> str:
+    """A stable key for a data location: URIs as given, local paths made
+    absolute."""
+    import os
+    return path.rstrip("/") if "://" in path else os.path.abspath(path)
+
+
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame],
            write: Callable[[DataFrame, str], object] | None = None) -> DataFrame:
     """Build-and-write once per (application, key), then read."""

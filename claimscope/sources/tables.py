@@ -9,8 +9,6 @@ what the registered queries use, so each query reads the given tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +116,7 @@ def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     range-ordered by date) in the shared checkpoint folder; later queries
     read it like the dashboard reads its stored claims table.  Storing also
     cuts the seven-table join out of every downstream plan and lineage."""
-    from claimscope.plans.stored import stored
+    from claimscope.plans.stored import data_key, stored
     from claimscope.sources.csv_import import write_claims
-    key = "claims|" + os.path.abspath(sf_dir)
+    key = "claims|" + data_key(sf_dir)
     return stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims).select(*CLAIM_COLUMNS)
