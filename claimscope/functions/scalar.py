@@ -162,7 +162,7 @@ def mask_member(member) -> Column:
 
 
 def default_text(c, default: str = "N/A") -> Column:
-    """Django ``default``: null, '' and 0 are replaced."""
+    """the template ``default``: null, '' and 0 are replaced."""
     v = col_of(c).cast("string")
     return F.when(v.isNull() | (v == "") | (v == "0"), F.lit(default)).otherwise(v)
 
