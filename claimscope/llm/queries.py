@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, packing
+from claimscope.llm import bpe, packing, simhash, warc
 from claimscope.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,12 +16,21 @@ def op2_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op7_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_concat_cut_packing, op10_forced_boundary_bpe,
+    op2_concat_cut_packing, op7_gph_simhash, op9_warc_salvage, op10_forced_boundary_bpe,
 )}
 
 ORACLE: dict[str, str] = {}
