@@ -5,17 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, packing, simhash, warc
+from claimscope.llm import bpe, imi, langid, lm, packing, simhash, warc
 from claimscope.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op3_multi_index_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -30,7 +42,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_concat_cut_packing, op7_gph_simhash, op9_warc_salvage, op10_forced_boundary_bpe,
+    op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op7_gph_simhash, op9_warc_salvage, op10_forced_boundary_bpe,
 )}
 
 ORACLE: dict[str, str] = {}
