@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, imi, langid, lm, packing, simhash, warc
+from claimscope.llm import bpe, imi, langid, lm, packing, quality, simhash, warc
 from claimscope.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,11 @@ def op7_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op8_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "loss")
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.round_trip(table(spark, sf_dir, "pages")))
 
@@ -42,7 +47,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op7_gph_simhash, op9_warc_salvage, op10_forced_boundary_bpe,
+    op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
 )}
 
 ORACLE: dict[str, str] = {}
