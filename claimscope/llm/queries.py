@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import bpe, imi, langid, lm, packing, quality, simhash, warc
+from claimscope.llm import bpe, imi, langid, license, lm, packing, pii, quality, simhash, warc
 from claimscope.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,15 @@ def op4_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
+def op6_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -47,7 +56,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
+    op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op5_boosted_pii, op6_license_compression, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
 )}
 
 ORACLE: dict[str, str] = {}
