@@ -3,8 +3,8 @@
 Method.  From the vocabulary we take every pair of neighbouring bytes that
 occurs inside some token.  A pair that occurs inside none can never be
 crossed by a merge, so the text may be cut there for certain.  Every such
-fragment is encoded on its own by the tokenizers library's BPE model and the
-ids are concatenated.  Two kinds of certain cuts are used:
+fragment is encoded on its own by the vocabulary's merges and the ids are
+concatenated.  Two kinds of certain cuts are used:
 
 * between a non-space character and a space, tab, line feed or carriage
   return: the table marks these pairs (but for the tail byte of a no-break
@@ -31,24 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 400_000  # per Python worker, about 60 MB
-MEMO_CHARS = 64         # longer fragments are not memoised
+from claimscope.llm.merges import Memo, Merges, byte_symbols
 
 _FRAGMENT = re.compile(r"\s*\S+|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#-&(-/:-;=-@\\[-`{-~]*)")  # marks but " ' and <
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _LOADED: dict[str, "ForcedBoundaryBpe"] = {}
 
 
-def byte_symbols() -> dict[int, str]:
-    """Byte -> printable symbol of byte-level BPE vocabularies: printable
-    Latin-1 stands for itself, the rest is numbered from U+0100 on."""
-    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(keep)]
-    return {b: chr(b) for b in keep} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
-
-class ForcedBoundaryBpe(dict):
+class ForcedBoundaryBpe(Memo):
     """fragment -> ids as little-endian unsigned 32-bit bytes (the memo)."""
 
     def __init__(self, vocabulary: str):
@@ -62,8 +54,10 @@ class ForcedBoundaryBpe(dict):
                 ("BPE", "ByteLevel", True, False, None) or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("forced-boundary splitting needs a byte-level BPE vocabulary without normalizer")
         symbols = byte_symbols()
-        back = {s: b for b, s in symbols.items()}
-        self.inside = {t[i:i + 2] for t in model["vocab"] for i in range(len(t) - 1)}
+        self.back = back = {s: b for b, s in symbols.items()}
+        raw = [bytes(map(back.__getitem__, t)) for t in model["vocab"]]
+        self.inside = {t[i:i + 2] for t in raw for i in range(len(t) - 1)}
+        self.merges = Merges(spec, self.lib)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         # Added tokens that hold or take up spaces forbid the cuts before spaces.
@@ -77,38 +71,32 @@ class ForcedBoundaryBpe(dict):
         for t, i in self.added.items():
             self.raw[i] = t.encode()
 
-    def _piece(self, piece: str, out: list[int]) -> None:
-        out.extend(t.id for t in self.lib.model.tokenize(piece))
-
-    def _fragment(self, text: str) -> bytes:
-        out: list[int] = []
-        inside = self.inside
-        for part in self.added_split.split(text) if self.added_split else (text,):
+    def _forced(self, word: bytes) -> bytes:
+        """Ids of one pre-token: cut at every uncrossable pair, each fragment
+        encoded independently, concatenated."""
+        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.inside]
+        if not cuts:
+            return self.merges.encode(word)
+        return b"".join(self.merges.encode(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)]))
+
+    def make(self, fragment: str) -> bytes:
+        simple = _SIMPLE.fullmatch(fragment)
+        if simple:  # two pre-tokens at most: [space] letters, marks
+            return b"".join(self._forced(g.encode()) for g in simple.groups() if g)
+        out = []
+        for part in self.added_split.split(fragment) if self.added_split else (fragment,):
             if part in self.added:
-                out.append(self.added[part])
+                out.append(self.added[part].to_bytes(4, "little"))
             elif part:
                 for word, _ in self.lib.pre_tokenizer.pre_tokenize_str(part):
-                    start = 0
-                    for i in range(1, len(word)):
-                        if word[i - 1:i + 1] not in inside:
-                            self._piece(word[start:i], out)
-                            start = i
-                    self._piece(word[start:], out)
-        return b"".join(i.to_bytes(4, "little") for i in out)
-
-    def __missing__(self, fragment: str) -> bytes:
-        ids = self._fragment(fragment)
-        if len(fragment) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[fragment] = ids
-        return ids
+                    out.append(self._forced(bytes(map(self.back.__getitem__, word))))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.cut_before_space:
-            return self._fragment(text)
+            return self.make(text)
         parts = _CUT.split(text) if _OTHER_SPACE.search(text) else _FRAGMENT.findall(text)
         return b"".join(map(self.__getitem__, parts))
 
