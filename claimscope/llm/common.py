@@ -51,8 +51,8 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (longs).
 
-    Returns ``(node, component)`` with the smallest node of each component,
-    one row for each node that has an edge to another node.  Alternates
+    Returns ``(node, component)`` with the smallest node of each component;
+    a node without a row is its own component.  Alternates
     large-star and small-star steps: every step is an aggregate (minimum per
     node, map-side combined) and one join on the node, which AQE splits when
     a node is hot.  Each round is written to the shared folder; it stops when

@@ -168,15 +168,15 @@ def _row_counts(classes: DataFrame, grid) -> tuple[dict[int, int], dict[int, int
     return {r.i: r.m for r in rows}, {r.i: r.q for r in rows}
 
 
-def _probe_rows(classes: DataFrame, grid, members: dict[int, int], visitors: dict[int, int]) -> DataFrame:
+def _probe_rows(classes: DataFrame, grid, members: dict[int, int], visitors: dict[int, int], block: int) -> DataFrame:
     """Index rows and query rows by (grid row, index block, query block)."""
     schema = "i int, ib int, qb int, query boolean, uid long, n long, v binary"
 
     def run(batches):
         import numpy as np
         g = grid.value
-        nib = {i: -(-m // BLOCK) for i, m in members.items()}
-        nqb = {i: -(-q // BLOCK) for i, q in visitors.items()}
+        nib = {i: -(-m // block) for i, m in members.items()}
+        nqb = {i: -(-q // block) for i, q in visitors.items()}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -219,7 +219,7 @@ def _local_roots(a, b, n: int):
         lab = m
 
 
-def links(classes: DataFrame, grid, cosine: float = COSINE) -> DataFrame:
+def links(classes: DataFrame, grid, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """``(uid, credit, root)``: link counts and forest edges of each block."""
     members, visitors = _row_counts(classes, grid)
 
@@ -257,12 +257,12 @@ def links(classes: DataFrame, grid, cosine: float = COSINE) -> DataFrame:
         root = ids[_local_roots(ia, ib, len(ids))]
         return pa.table({"uid": pa.array(ids), "credit": pa.array(credit.astype(np.int64)), "root": pa.array(root)})
 
-    rows = _probe_rows(classes, grid, members, visitors)
+    rows = _probe_rows(classes, grid, members, visitors, block)
     return rows.groupBy("i", "ib", "qb").applyInArrow(verify, "uid long, credit long, root long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE,
-                    target: float = TARGET_RECALL) -> DataFrame:
+                    target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row."""
     import numpy as np
     spark = df.sparkSession
@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     usable = classes.where(F.octet_length("v") == width.w)
     sample = usable.select("v").orderBy(F.xxhash64("h"), "uid").limit(SAMPLE).collect()
     grid = spark.sparkContext.broadcast(fit(np.frombuffer(b"".join(r.v for r in sample)).reshape(len(sample), -1), width["count"], cosine, target))
-    found = written(links(usable, grid, cosine), "imi-links")
+    found = written(links(usable, grid, cosine, block), "imi-links")
     credit = found.groupBy("uid").agg(F.sum("credit").alias("credit"))
     comp = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     member = (classes.join(credit, "uid", "left").join(comp, F.col("uid") == F.col("node"), "left")
