@@ -172,12 +172,16 @@ def provider_analysis(df: DataFrame) -> DataFrame:
 
 def diagnosis_treatment(df: DataFrame, wide: bool = False,
                         services: Sequence[str] | None = None) -> DataFrame:
-    """Diagnosis x service line counts; long form, or wide with the
-    service values given (spares the distinct-values job)."""
+    """Diagnosis x service line counts; long form, or wide with one
+    column for every service code in the data.  ``services`` restricts the
+    wide form on purpose; every other code then counts under ``other``."""
     if not wide:
         return df.groupBy("icd10_code", "service_code").agg(line_count())
-    return (df.groupBy("icd10_code").pivot("service_code", list(services) if services else None)
-            .count().na.fill(0))
+    if services is None:
+        return df.groupBy("icd10_code").pivot("service_code").count().na.fill(0)
+    code = F.when(F.col("service_code").isin(list(services)), F.col("service_code")).otherwise("other")
+    return (df.withColumn("service_code", code).groupBy("icd10_code")
+            .pivot("service_code", [*services, "other"]).count().na.fill(0))
 
 
 def age_service(df: DataFrame) -> DataFrame:
@@ -205,11 +209,12 @@ def provider_efficiency(df: DataFrame) -> DataFrame:
     """Provider totals with score = overall average / provider average
     (> 1: cheaper than average)."""
     per = df.groupBy("prov_name").agg(line_count().alias("total_claims"), total_amount(),
-                                      avg_amount())
-    overall = F.broadcast(df.agg(avg_amount().alias("__overall")))
+                                      avg_amount(), F.count("amount").alias("__n"))
+    # The overall average comes from the providers' totals: the lines are read once.
+    overall = F.broadcast(per.agg((F.sum("total_amount").cast("double") / F.sum("__n")).alias("__overall")))
     return (per.crossJoin(overall)
             .withColumn("efficiency_score", F.try_divide(F.col("__overall"), F.col("avg_amount")))
-            .drop("__overall"))
+            .drop("__overall", "__n"))
 
 
 def efficiency_extremes(df: DataFrame, k: int = 10, most: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimscope import definitions as D
 from claimscope.operators.temporal import dense_months, month_index
+from claimscope.plans.distributed import null_safe_join
 
 MONEY = "decimal(22,2)"
 
@@ -71,9 +72,7 @@ def fitted(df: DataFrame, keys: Sequence[str] = (), level: int = 95) -> DataFram
     fit = fit_trend(s, keys)
     z = _z(level)
     f = F.col("intercept") + F.col("slope") * F.col("t")
-    return (s.join(fit.select(*keys, "slope", "intercept", "resid_sd", "last_month"), list(keys))
-            if keys else s.crossJoin(F.broadcast(fit.select("slope", "intercept", "resid_sd", "last_month")))
-            ).select(*keys, "month", "y", f.alias("fit"),
+    return null_safe_join(s, fit.select(*keys, "slope", "intercept", "resid_sd", "last_month"), keys).select(*keys, "month", "y", f.alias("fit"),
                      (f - z * F.col("resid_sd")).alias("lower"),
                      (f + z * F.col("resid_sd")).alias("upper"), "last_month")
 
@@ -86,7 +85,7 @@ def accuracy(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ape = F.when(F.col("y") != 0, err / F.abs(F.col("y")))
     fit = fit_trend(monthly_series(df, keys), keys)
     acc = (h.groupBy(*keys).agg(F.avg(ape).alias("__mape"), F.avg(err).alias("__mae")))
-    joined = acc.join(fit.select(*keys, "r2"), list(keys)) if keys else acc.crossJoin(fit.select("r2"))
+    joined = null_safe_join(acc, fit.select(*keys, "r2"), keys)
     return joined.select(*keys,
                          F.round(F.greatest(F.lit(0.0), F.lit(100.0) - F.lit(100.0) * F.col("__mape")), 4).alias("accuracy_pct"),
                          F.round("r2", 6).alias("r2"), F.round("__mae", 2).alias("mae"))
@@ -99,7 +98,7 @@ def forecast_table(df: DataFrame, keys: Sequence[str] = (), horizon: int = 6,
     fc = forecast(df, keys, horizon, level)
     last = (monthly_series(df, keys).groupBy(*keys)
             .agg(F.max_by("y", "month").alias("__last_y")))
-    j = fc.join(last, list(keys)) if keys else fc.crossJoin(F.broadcast(last))
+    j = null_safe_join(fc, last, keys)
     w = (Window.partitionBy(*keys).orderBy("month") if keys else Window.orderBy("month"))
     prev = F.coalesce(F.lag("forecast", 1).over(w), F.round("__last_y", 2))
     return j.select(*keys, "month", F.col("forecast").alias("amount"),
@@ -112,7 +111,7 @@ def next_month(df: DataFrame, keys: Sequence[str] = (), level: int = 95) -> Data
     t = forecast_table(df, keys, 1, level).select(*keys, F.col("month").alias("next_month"),
                                                  "amount", "growth_pct")
     a = accuracy(df, keys).select(*keys, "accuracy_pct")
-    return t.join(a, list(keys)) if keys else t.crossJoin(a)
+    return null_safe_join(t, a, keys)
 
 
 def band_summary(df: DataFrame, keys: Sequence[str] = (), level: int = 95) -> DataFrame:
@@ -159,7 +158,7 @@ def lag_contributions(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     linear model base + contribution = prediction exactly."""
     lf = lag_features(df, keys, 1).where(F.col("lag_1").isNotNull() & F.col("x").isNotNull())
     fit = ar1_fit(df, keys)
-    j = lf.join(fit, list(keys)) if keys else lf.crossJoin(F.broadcast(fit))
+    j = null_safe_join(lf, fit, keys)
     pred = F.col("intercept") + F.col("coef") * F.col("lag_1")
     base = F.col("intercept") + F.col("coef") * F.col("lag_mean")
     return j.select(*keys, "month", F.round(pred, 2).alias("prediction"),
@@ -173,7 +172,7 @@ def partial_dependence(df: DataFrame, keys: Sequence[str] = (), points: int = 10
     lf = lag_features(df, keys, 1).where(F.col("lag_1").isNotNull() & F.col("x").isNotNull())
     rng = lf.groupBy(*keys).agg(F.min("lag_1").alias("__lo"), F.max("lag_1").alias("__hi"))
     fit = ar1_fit(df, keys)
-    g = rng.join(fit, list(keys)) if keys else rng.crossJoin(fit)
+    g = null_safe_join(rng, fit, keys)
     grid = g.select(*keys, "coef", "intercept", "__lo", "__hi",
                     F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     val = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("i") / F.lit(float(points - 1))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from claimscope import definitions as D
 from claimscope.operators.filters import date_range, equals_or_all, risk_level
 from claimscope.operators.stats import age_years
-from claimscope.plans.distributed import quantile_row
-from claimscope.session import ensure_checkpoint_dir
+from claimscope.plans.distributed import null_safe_join, quantile_row
+from claimscope.plans.stored import cut
 
 MONEY = "decimal(22,2)"
 SCORE = "decimal(3,2)"
@@ -39,7 +39,8 @@ def claim_totals(df: DataFrame) -> DataFrame:
     """Claim-level amounts (lines summed per claim)."""
     return (df.groupBy("claim_ce")
             .agg(F.sum("amount").cast(MONEY).alias("claim_total"),
-                 F.min("pol_name").alias("pol_name"), F.count(F.lit(1)).alias("line_count")))
+                 F.min("pol_name").alias("pol_name"), F.min("benefit_desc").alias("benefit_desc"),
+                 F.count(F.lit(1)).alias("line_count")))
 
 
 def flag_outliers(df: DataFrame, col: str, k: float = D.IQR_K) -> DataFrame:
@@ -55,7 +56,7 @@ def suspicious_claims(df: DataFrame, k: int | None = 10) -> DataFrame:
     """R2: claims whose total lies outside the IQR fences, largest first."""
     out = (flag_outliers(claim_totals(df), "claim_total").where("is_outlier")
            .select(F.col("claim_ce").alias("claim_id"), F.col("claim_total").alias("amount"),
-                   "pol_name", "line_count"))
+                   "pol_name", "benefit_desc", "line_count"))
     return out.orderBy(F.desc("amount"), F.asc("claim_id")).limit(k) if k else out
 
 
@@ -81,7 +82,9 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
     3. more than ``max_lines`` lines of a member in a month;
     4. quantity at or above the ``qty_pct`` percentile of quantities;
     5. amount above ``amount_factor`` x the diagnosis' mean amount.
-    With ``threshold``, ``fraud_flag`` marks ``score >= threshold``.
+    With ``threshold``, ``fraud_flag`` marks ``score >= threshold``.  Every
+    line comes back; a rule whose input or key is null does not fire.  The
+    member-diagnosis-month counts are written when this is called.
     """
     w = dict(D.RULE_WEIGHTS if weights is None else weights)
     month = F.date_trunc("month", F.col(DATE)).cast("date")
@@ -92,26 +95,25 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
                         .select((F.col("__q3") + F.lit(iqr_k) * (F.col("__q3") - F.col("__q1")))
                                 .alias("__fence")))
     q99 = F.broadcast(quantile_row(base, "quantity", {"__qp": qty_pct}))
-    # One pre-aggregate per (member, diagnosis, month) feeds three rules:
-    # its own count (repeats), the member-month line count (sum over
-    # diagnoses) and the diagnosis mean (sum and count over members).  Its
-    # rows are then joined back to the lines once.
-    mdm = base.groupBy("claim_me", "icd10_code", "__mon").agg(
-        F.count(F.lit(1)).alias("__rep_n"), F.sum("amount").alias("__amt"))
-    # Three consumers below; Catalyst would prune and plan it three times.
-    # Written once to the shared checkpoint folder instead.
-    ensure_checkpoint_dir(df.sparkSession)
-    mdm = mdm.checkpoint(eager=True)
-    member_month = mdm.groupBy("claim_me", "__mon").agg(F.sum("__rep_n").alias("__mm_n"))
-    diag = mdm.groupBy("icd10_code").agg(
-        (F.sum("__amt").cast("double") / F.sum("__rep_n")).alias("__diag_mean"))
-    keyed = (mdm.join(member_month, ["claim_me", "__mon"])
-             .join(diag, "icd10_code")
-             .select("claim_me", "icd10_code", "__mon", "__rep_n", "__mm_n", "__diag_mean"))
-
-    j = (base.join(totals, "claim_ce", "left")
-         .join(keyed, ["claim_me", "icd10_code", "__mon"], "left")
-         .crossJoin(fence).crossJoin(q99))
+    # One narrow pre-aggregate per (member, diagnosis, month) feeds three
+    # rules: its own count (repeats), the member-month line count (sum over
+    # diagnoses) and the diagnosis mean (sum and count over members).  It is
+    # written once as parquet, because Catalyst would plan it three times.
+    mdm = cut(base.groupBy("claim_me", "icd10_code", "__mon").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("amount").alias("__amt"),
+        F.count("amount").alias("__amt_n")), "r04-member-diagnosis-month")
+    member_month = (mdm.where(F.col("claim_me").isNotNull() & F.col("__mon").isNotNull())
+                    .groupBy("claim_me", "__mon").agg(F.sum("__n").alias("__mm_n")))
+    diag = (mdm.where(F.col("icd10_code").isNotNull()).groupBy("icd10_code")
+            .agg((F.sum("__amt").cast("double") / F.sum("__amt_n")).alias("__diag_mean")))
+    whole = F.col("claim_me").isNotNull() & F.col("icd10_code").isNotNull() & F.col("__mon").isNotNull()
+    # A null key is no group: its own rule stays silent, the others count on.
+    keyed = (mdm.join(member_month, ["claim_me", "__mon"], "left").join(diag, "icd10_code", "left")
+             .select("claim_me", "icd10_code", "__mon", F.when(whole, F.col("__n")).alias("__rep_n"),
+                     "__mm_n", "__diag_mean"))
+
+    j = null_safe_join(base.join(totals, "claim_ce", "left"), keyed, ["claim_me", "icd10_code", "__mon"], "left")
+    j = j.crossJoin(fence).crossJoin(q99)
 
     rules = {
         "claim_total_outlier": F.col("__claim_total").cast("double") > F.col("__fence"),
@@ -174,7 +176,8 @@ def score_histogram(scored: DataFrame, bins: int = D.SCORE_BINS) -> DataFrame:
 
 
 def high_risk_claims(scored: DataFrame, threshold: float, with_details: bool = False) -> DataFrame:
-    """Lines at or above the threshold, score desc then id."""
+    """Lines at or above the threshold; a listing orders them by
+    :func:`high_risk_order`."""
     cols = [F.col("line_id").alias("claim_id"), F.col(DATE).alias("date"), "amount",
             F.col("prov_name").alias("provider"), "icd10_code", "fraud_score"]
     if with_details:

@@ -131,13 +131,13 @@ def age_years(dob, on) -> Column:
 
 
 def age_band(age) -> Column:
-    """0-17, 18-34, 35-49, 50-64, 65+."""
+    """0-17, 18-34, 35-49, 50-64, 65+; ``Unknown`` without an age."""
     a = col_of(age)
-    out = None
+    out = F.when(a.isNull(), "Unknown")
     for lo, hi, name in D.AGE_BANDS:
         if hi is None:
-            return (out.otherwise(name) if out is not None else F.lit(name))
-        out = F.when(a <= hi, name) if out is None else out.when(a <= hi, name)
+            return out.otherwise(name)
+        out = out.when(a <= hi, name)
     return out
 
 

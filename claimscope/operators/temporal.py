@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope import definitions as D
-from claimscope.plans.distributed import dense_rank_desc, quantile_row
+from claimscope.plans.distributed import dense_rank_desc, null_safe_join, quantile_row
 
 DATE = "claim_prov_date"
 MONEY = "decimal(22,2)"
@@ -86,7 +86,7 @@ def monthly_box(df: DataFrame, date_col: str = DATE, col: str = "amount") -> Dat
     q = quantile_row(m, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["month"])
     ext = m.groupBy("month").agg(F.min(col).cast("double").alias("min"),
                                  F.max(col).cast("double").alias("max"))
-    return ext.join(q, "month").select("month", "min", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "max")
+    return null_safe_join(ext, q, ["month"], "left").select("month", "min", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "max")
 
 
 def heatmap(df: DataFrame, date_col: str = DATE) -> DataFrame:
@@ -129,7 +129,8 @@ def anomalies(df: DataFrame, unit: str = "month", z: float = D.ANOMALY_Z) -> Dat
 def dense_months(df: DataFrame, by: Sequence[str] = (), date_col: str = DATE,
                  value: str = "amount") -> DataFrame:
     """Monthly totals per series with empty months filled with 0,
-    from each series' first to its last month."""
+    from each series' first to its last month.  A null key is a series of its
+    own; lines without a date belong to no month."""
     by = list(by)
     actual = (df.groupBy(*by, F.date_trunc("month", F.col(date_col)).cast("date").alias("month"))
               .agg(F.sum(value).cast(MONEY).alias("amount"),
@@ -137,7 +138,7 @@ def dense_months(df: DataFrame, by: Sequence[str] = (), date_col: str = DATE,
     bounds = actual.groupBy(*by).agg(F.min("month").alias("__a"), F.max("month").alias("__b"))
     cal = bounds.select(*by, F.explode(F.sequence("__a", "__b", F.expr("interval 1 month")))
                         .alias("month"))
-    return (cal.join(actual, by + ["month"], "left")
+    return (null_safe_join(cal, actual, by + ["month"], "left")
             .select(*by, "month", F.coalesce("amount", F.lit(0).cast(MONEY)).alias("amount"),
                     F.coalesce("line_count", F.lit(0)).cast("long").alias("line_count")))
 
@@ -191,12 +192,13 @@ def growth_rate(x: str | Column, order: Sequence[str], by: Sequence[str] = ()) -
 
 def member_segments(df: DataFrame) -> DataFrame:
     """Member spending segments by the quartiles of member totals:
-    Low <= p25 < Medium <= p50 < High <= p75 < Very High (ties share)."""
+    Low <= p25 < Medium <= p50 < High <= p75 < Very High (ties share);
+    members without any amount are ``Unknown``."""
     members = df.groupBy("claim_me").agg(F.sum("amount").cast(MONEY).alias("total_amount"))
     cuts = F.broadcast(quantile_row(members, "total_amount",
                                     {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}))
     v = F.col("total_amount").cast("double")
-    seg = (F.when(v <= F.col("__q1"), "Low").when(v <= F.col("__q2"), "Medium")
+    seg = (F.when(v.isNull(), "Unknown").when(v <= F.col("__q1"), "Low").when(v <= F.col("__q2"), "Medium")
            .when(v <= F.col("__q3"), "High").otherwise("Very High"))
     return members.crossJoin(cuts).select("claim_me", "total_amount", seg.alias("segment"))
 

@@ -2,52 +2,45 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer and a window without ``partitionBy`` moves all rows to one
-partition.  Both are fine on a few hundred rows and wrong on a table that one
-key may dominate.  The helpers here range-partition the rows on the order
-key, number them inside each partition, and add the counts of the preceding
-partitions (a table with one row per partition, or per partition and group),
-so every row learns its global position with bounded per-task memory.
-
-Positions come from ``monotonically_increasing_id`` taken right after a
-``sortWithinPartitions``: inside one partition it counts rows in sort order.
-Rows that tie on the full sort key are interchangeable for the values we
-read, so a recomputed partition (lost executor) yields the same answer.
+partition.  The helpers here put every number into a *bucket* that never
+decreases with it (:func:`order_bucket`), total the buckets, and add the totals
+of the buckets before.  The bucket table has at most a few million rows
+whatever the data size (a few thousand in practice), so ordering it in one
+task is safe; rows are only ever ordered inside their bucket.
+
+Everything is one lazy plan with one path for all sizes: nothing is counted,
+collected or written first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import ensure_checkpoint_dir
+BUCKETS_PER_E = 4096   # buckets for each factor e of a value: 0.024 % wide
+_LAST = 1 << 62
 
-# Largest per-task working set the in-task paths may use: distinct values
-# of one group (exact percentile buffer) or rows of one ordered window.
-IN_TASK_LIMIT = 1_000_000
 
-_PID = "__pid"
-_MID = "__mid"
-_SHIFT = 1 << 33   # monotonically_increasing_id = partition << 33 | row
+def order_bucket(c: Column) -> Column:
+    """A long that never decreases with the number ``c``; nulls and NaN last.
+    It lies within +-710 * ``BUCKETS_PER_E`` for every finite double."""
+    v = c.cast("double")
+    b = F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKETS_PER_E)
+    return F.when(v.isNull() | F.isnan(v), F.lit(_LAST)).otherwise(b.cast("long"))
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in names]
-
-
-def _numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Range-partition on (by, order), sort inside partitions, tag positions."""
-    keys = _cols(by) + list(order)
-    ensure_checkpoint_dir(df.sparkSession)
-    numbered = (df.repartitionByRange(*keys)
-                .sortWithinPartitions(*keys)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_MID, F.monotonically_increasing_id()))
-    # Both the per-partition counts and the final lookup read these ids, so
-    # they are written once to the shared checkpoint folder: every reader
-    # sees the same numbering, and a lost executor cannot renumber them.
-    return numbered.checkpoint(eager=True)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key is a value like any other; without
+    keys ``right`` is one row."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
@@ -55,66 +48,44 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                     out_col: str = "q") -> DataFrame:
     """Exact quantiles with linear interpolation (the definition of Spark's
     ``percentile``, pandas' default ``quantile`` and DuckDB's
-    ``quantile_cont``), per group of ``by``; nulls ignored.
+    ``quantile_cont``), per group of ``by`` (null is a group); null values
+    ignored.  Returns ``by + [prob_col, out_col]``.
 
-    Rows are first counted per distinct (group, value) -- a map-side
-    combined aggregate, so repeated values cost nothing -- then the
-    distinct values get global rank ranges from :func:`running_total`, and
-    the wanted ranks (two per group and probability) are looked up by range.
-    Returns ``by + [prob_col, out_col]``.
+    Rows are counted per distinct (group, value), a map-side combined
+    aggregate.  The totals of the value buckets tell in which bucket each
+    wanted rank lies (two ranks for a group and probability); only those
+    buckets' values are ordered to read the ranks.
     """
     by = list(by)
     v = value if isinstance(value, Column) else F.col(value)
     hist = (df.select(*by, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__w")))
-    # The histogram is written once to the shared checkpoint folder: the
-    # size check and the quantile step read it instead of re-aggregating
-    # the source, and its lineage ends there.
-    ensure_checkpoint_dir(df.sparkSession)
-    hist = hist.checkpoint(eager=True)
-    # Size check (one small job over the histogram): when every group has
-    # few distinct values, Spark's exact percentile with frequencies keeps
-    # at most that many entries per buffer -- bounded, and one stage.
-    widest = hist.groupBy(*by).agg(F.count(F.lit(1)).alias("__d")).agg(F.max("__d")).first()[0]
-    if widest is None or widest <= IN_TASK_LIMIT:
-        pcts = [float(p) for p in probs]
-        agg = hist.groupBy(*by).agg(F.percentile("__v", pcts, F.col("__w")).alias("__qs"))
-        return agg.select(*by, F.posexplode("__qs").alias("__i", out_col)).join(
-            F.broadcast(df.sparkSession.createDataFrame(list(enumerate(pcts)), f"__i int, {prob_col} double")),
-            "__i").select(*by, prob_col, out_col)
-    cum = running_total(hist, by + ["__v"], ["__w"], force_distributed=True)
-    # Rank range of each distinct value inside its group: [end - w, end).
-    gstart = cum.groupBy(*by).agg(F.min(F.col("__w_cum") - F.col("__w")).alias("__g0"),
-                                  F.sum("__w").alias("__n"))
-    # Without groups gstart is one row; with groups it is one row per group.
-    ranges = cum.join(gstart, by) if by else cum.crossJoin(F.broadcast(gstart))
-    ranges = ranges.select(*by, "__v", "__n", (F.col("__w_cum") - F.col("__w") - F.col("__g0")).alias("__r0"),
-                           (F.col("__w_cum") - F.col("__g0")).alias("__r1"))
-
-    probs_df = df.sparkSession.createDataFrame([(float(p),) for p in probs], f"{prob_col} double")
-    targets = (gstart.select(*by, "__n").crossJoin(F.broadcast(probs_df))
-               .withColumn("__pos", F.col(prob_col) * (F.col("__n") - 1))
-               .withColumn("__lo", F.floor("__pos"))
-               .withColumn("__hi", F.ceil("__pos"))
-               .withColumn("__frac", F.col("__pos") - F.col("__lo")))
-    wanted = (targets.select(*by, prob_col, "__frac", F.explode(F.array(
-                  F.struct(F.lit("lo").alias("side"), F.col("__lo").alias("rank")),
-                  F.struct(F.lit("hi").alias("side"), F.col("__hi").alias("rank")))).alias("t"))
-              .select(*by, prob_col, "__frac", "t.side", "t.rank"))
-    hit = (F.col("rank") >= F.col("__r0")) & (F.col("rank") < F.col("__r1"))
-    if by:
-        cond = [ranges[c] == wanted[c] for c in by]
-        located = ranges.join(wanted, cond + [hit]).select(*[ranges[c] for c in by], prob_col,
-                                                           "__frac", "side", "__v")
-    else:
-        # Without groups the targets are 2 x len(probs) rows: broadcast.
-        located = ranges.join(F.broadcast(wanted), hit).select(prob_col, "__frac", "side", "__v")
-    picked = (located.groupBy(*by, prob_col)
-              .agg(F.max("__frac").alias("__frac"),
-                   F.max(F.when(F.col("side") == "lo", F.col("__v"))).alias("__lov"),
-                   F.max(F.when(F.col("side") == "hi", F.col("__v"))).alias("__hiv")))
-    return picked.select(*by, prob_col,
-                         (F.col("__lov") + (F.col("__hiv") - F.col("__lov")) * F.col("__frac")).alias(out_col))
+            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__w"))
+            .withColumn("__b", order_bucket(F.col("__v"))))
+    group = Window.partitionBy(*[F.col(c) for c in by])
+    cells = (hist.groupBy(*by, "__b").agg(F.sum("__w").alias("__n"))
+             .withColumn("__end", F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("__all", F.sum("__n").over(group)))
+
+    def rank(p: float, side: str) -> Column:
+        pos = F.lit(p) * (F.col("__all") - 1)
+        low = F.floor(pos)
+        return F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), (pos - low).alias("frac"),
+                        (low if side == "lo" else F.ceil(pos)).alias("rank"))
+
+    ranks = F.array(*[rank(float(p), side) for p in probs for side in ("lo", "hi")])
+    start = F.col("__end") - F.col("__n")
+    cells = (cells.withColumn("__hits", F.filter(ranks, lambda r: (r.rank >= start) & (r.rank < F.col("__end"))))
+             .where(F.size("__hits") > 0).select(*by, "__b", start.alias("__c0"), "__hits"))
+    inside = (Window.partitionBy(*by, "__b").orderBy("__v")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = (null_safe_join(hist, cells, [*by, "__b"])
+              .withColumn("__e", F.col("__c0") + F.sum("__w").over(inside)))
+    found = placed.select(*by, "__v", F.explode(F.filter(
+        "__hits", lambda r: (r.rank >= F.col("__e") - F.col("__w")) & (r.rank < F.col("__e")))).alias("t"))
+    side = lambda s: F.max(F.when(F.col("t.side") == s, F.col("__v")))
+    out = found.groupBy(*by, F.col("t.p").alias(prob_col)).agg(
+        F.max("t.frac").alias("__frac"), side("lo").alias("__lo"), side("hi").alias("__hi"))
+    return out.select(*by, prob_col, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(out_col))
 
 
 def quantile_row(df: DataFrame, value: str | Column, probs: dict[str, float],
@@ -128,45 +99,36 @@ def quantile_row(df: DataFrame, value: str | Column, probs: dict[str, float],
 
 
 def running_total(df: DataFrame, order: Sequence[str], values: Sequence[str],
-                  suffix: str = "_cum", force_distributed: bool = False) -> DataFrame:
+                  suffix: str = "_cum") -> DataFrame:
     """Running sums of ``values`` over a total order of the whole DataFrame
-    (``order`` must end in a unique key), plus ``row_pos`` (1-based).
+    plus ``row_pos`` (1-based).  ``order`` begins with a number (nulls last)
+    and ends in a unique key.
 
-    Equivalent to ``sum(v).over(Window.orderBy(*order))`` with rows framing,
-    but partitioned: per-partition running sums plus the totals of earlier
-    partitions (one row per partition, broadcast).  Inputs of at most
-    ``IN_TASK_LIMIT`` rows (checked with a count) use the plain window.
+    Equivalent to ``sum(v).over(Window.orderBy(*order))`` with rows framing:
+    running sums inside each bucket of the first order column plus the totals
+    of the buckets before.  Rows that tie in a bucket are ordered in one
+    task's (spilling) sort.
     """
-    if not force_distributed and df.count() <= IN_TASK_LIMIT:
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn("row_pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        for c in values:
-            out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w))
-        return out.select(*df.columns, "row_pos", *[f"{c}{suffix}" for c in values])
-    numbered = _numbered(df, [], _cols(order))
-    local_w = (Window.partitionBy(_PID).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = numbered.withColumn("__one", F.lit(1))
-    for c in ["__one", *values]:
-        local = local.withColumn(f"{c}__l", F.sum(c).over(local_w))
-    part = local.groupBy(_PID).agg(*[F.sum(c).alias(f"{c}__p") for c in ["__one", *values]])
-    pw = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    for c in ["__one", *values]:
-        part = part.withColumn(f"{c}__o", F.coalesce(F.sum(f"{c}__p").over(pw), F.lit(0)))
-    joined = local.join(F.broadcast(part.select(_PID, *[f"{c}__o" for c in ["__one", *values]])),
-                        on=_PID)
-    out = joined.withColumn("row_pos", F.col("__one__l") + F.col("__one__o"))
-    for c in values:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}__l") + F.col(f"{c}__o"))
-    return out.select(*df.columns, "row_pos", *[f"{c}{suffix}" for c in values])
+    keys = [F.col(order[0]).asc_nulls_last(), *[F.col(c) for c in order[1:]]]
+    rows = df.withColumn("__b", order_bucket(F.col(order[0]))).withColumn("__one", F.lit(1).cast("long"))
+    sums = ["__one", *values]
+    inside = Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("__b").agg(*[F.sum(c).alias(f"{c}__t") for c in sums])
+    cells = cells.select(F.col("__b").alias("__cb"), *[F.coalesce(F.sum(f"{c}__t").over(before), F.lit(0)).alias(f"{c}__o") for c in sums])
+    local = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}__l") for c in sums])
+    out = local.join(cells, F.col("__b") == F.col("__cb"))
+    total = lambda c: F.col(f"{c}__l") + F.col(f"{c}__o")
+    return out.select(*df.columns, total("__one").alias("row_pos"), *[total(c).alias(f"{c}{suffix}") for c in values])
 
 
 def dense_rank_desc(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """``dense_rank() over (order by value desc)`` for any number of rows:
-    rank the distinct values with :func:`running_total`, join back."""
-    distinct = df.select(F.col(value).alias("__dv")).distinct().withColumn("__neg", -F.col("__dv"))
-    ranked = running_total(distinct, ["__neg"], []).select("__dv", F.col("row_pos").alias(out))
-    return df.join(ranked, df[value] == ranked["__dv"]).drop("__dv")
+    """``dense_rank() over (order by value desc nulls last)`` for any number
+    of rows: rank the distinct values with :func:`running_total`, join back;
+    a null value is ranked last, not lost."""
+    distinct = df.select(F.col(value)).distinct().withColumn("__neg", -F.col(value))
+    ranked = running_total(distinct, ["__neg"], []).select(value, F.col("row_pos").alias(out))
+    return null_safe_join(df, ranked, [value])
 
 
 def one_row(df: DataFrame, *aggs: Column) -> DataFrame:

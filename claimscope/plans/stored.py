@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,14 @@ def data_key(path: str) -> str:
     return path.rstrip("/") if "://" in path else os.path.abspath(path)
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet below the shared checkpoint folder and read it
+    back: columns and statistics are kept, the lineage ends there."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame],
            write: Callable[[DataFrame, str], object] | None = None) -> DataFrame:
     """Build-and-write once per (application, key), then read."""
