@@ -63,8 +63,10 @@ def valid_range(df: DataFrame, date_col: str = DATE) -> DataFrame:
 
 
 def invalid_amounts(raw: DataFrame, amount_col: str = "AMOUNT", id_col: str = "ADMIT_ID") -> DataFrame:
-    """Rows whose normalised amount text is not a plain number (all of
-    them; the import report shows the first 10)."""
+    """Rows whose normalised amount text is not a plain number, or is one
+    that the amount type cannot hold (all of them; the import report shows the
+    first 10)."""
     norm = F.trim(F.regexp_replace(F.col(amount_col).cast("string"), ",", ""))
     return (raw.select(F.col(id_col).alias(id_col), norm.alias(amount_col))
-            .where(~F.coalesce(F.col(amount_col).rlike(D.AMOUNT_PATTERN), F.lit(False))))
+            .where(~F.coalesce(F.col(amount_col).rlike(D.AMOUNT_PATTERN), F.lit(False))
+                   | F.col(amount_col).try_cast("double").try_cast("decimal(12,2)").isNull()))

@@ -32,16 +32,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (HDFS/S3/...) folder and is used
-    as is.  Only when it is unset (unit tests) do we create a scratch folder.
+    as is.  Only when it is unset and the session is local (unit tests) do we create
+    a scratch folder; any other master without it is refused.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not _one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="claimscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)

@@ -57,10 +57,10 @@ def filter_ranges(df: DataFrame, date_col: str = "claim_prov_date", amount_col:
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """CSV with a header, values quoted where needed.  Output is one
+    """CSV with a header, values quoted where needed, quotes doubled.  Output is one
     file per partition; ``single_file`` only for small results."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escapeQuotes", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

@@ -14,11 +14,16 @@ from claimscope import definitions as D
 from claimscope.operators.clean import invalid_amounts
 
 
-def read_claims_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_claims_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
+                    multi_line: bool = False) -> DataFrame:
     """S1 + S2: every column as string, header names trimmed, pandas'
-    missing tokens nulled (C10: Latin-1 text decoded by ``encoding``)."""
+    missing tokens nulled (C10: Latin-1 text decoded by ``encoding``).  A
+    doubled quote inside quotes is one quote.  ``multi_line`` lets quoted
+    fields hold line ends; such a file cannot be split, so one task reads it:
+    leave it off for files without them."""
     raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("inferSchema", False).option("multiLine", False)
+           .option("inferSchema", False).option("multiLine", multi_line)
+           .option("quote", '"').option("escape", '"')
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
@@ -40,11 +45,18 @@ def normalise_amount(c: Column) -> Column:
 
 def convert_amount(c: Column) -> Column:
     """C4: blanks and dashes -> 0; any other non-number also 0 (the import
-    message promises 0.0); exponent text such as ``1e5`` is read as a number."""
+    message promises 0.0); exponent text such as ``1e5`` is read as a number.
+    A number that ``decimal(12,2)`` cannot hold is 0 too and is one of the
+    rejects."""
     txt = F.when(normalise_amount(c).isin(D.AMOUNT_BLANKS), F.lit(None)).otherwise(normalise_amount(c))
     return F.coalesce(txt.try_cast("double").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
 
 
+def convert_quantity(c: Column) -> Column:
+    """A whole number; any other text, or one out of range, is null."""
+    return F.trim(c).try_cast("double").try_cast("int")
+
+
 def typed_claims(raw: DataFrame) -> DataFrame:
     """Source headers -> claims columns and types."""
     cols = []
@@ -55,16 +67,16 @@ def typed_claims(raw: DataFrame) -> DataFrame:
         elif dst == "amount":
             cols.append(convert_amount(c).alias(dst))
         elif dst == "quantity":
-            cols.append(F.trim(c).try_cast("double").cast("int").alias(dst))
+            cols.append(convert_quantity(c).alias(dst))
         else:
             cols.append(c.alias(dst))
     return raw.select(*cols)
 
 
-def import_claims(spark: SparkSession, path: str, encoding: str = "ISO-8859-1"):
+def import_claims(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False):
     """Returns ``(claims, rejects)``; rejects are every row
-    whose amount text is not a plain number (C3)."""
-    raw = read_claims_csv(spark, path, encoding)
+    whose amount text is not a plain number (C3) or does not fit."""
+    raw = read_claims_csv(spark, path, encoding, multi_line)
     rejects = invalid_amounts(raw) if "AMOUNT" in raw.columns else None
     return typed_claims(raw), rejects
 
@@ -100,5 +112,5 @@ def export_source_csv(claims: DataFrame, path: str, encoding: str = "ISO-8859-1"
             c = F.format_number(c.cast("double"), 2)
         cols.append(c.cast("string").alias(src))
     (claims.select(*cols).write.mode("overwrite").option("header", True)
-     .option("encoding", encoding).csv(path))
+     .option("encoding", encoding).option("escape", '"').csv(path))
     return path
