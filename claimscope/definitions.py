@@ -38,8 +38,17 @@ DATASET_ALIASES = {
     "provider_name": ["provider_name", "prov_name"],
 }
 # Display titles for result keys; other keys: '_' -> ' ', words capitalised.
-KEY_TITLES = {"avg_fraud_score": "Average Fraud Score",
-              "fraud_percentage": "Fraud Percentage"}
+# The chart titles of the page.
+KEY_TITLES = {
+    "fraud_pie": "Fraud Risk Distribution",
+    "amount_hist": "Claim Amount Distribution by Risk Level",
+    "suspicious_bar": "Top Suspicious Claims by Amount",
+    "providers_bar": "Top Suspicious Providers by Fraud Risk",
+    "benefit_risk_bar": "Fraud Risk by Benefit Type",
+    "amount_scatter": "Claim Amount vs Risk Level",
+    "fraud_trend": "Monthly Fraud Risk Trend",
+    "gender_risk_bar": "Fraud Risk by Gender",
+}
 CURRENCY_PREFIX = "KES "
 MASK_SUFFIX = "****"
 MASK_KEEP = 4

@@ -111,8 +111,9 @@ def dict_sum(map_of_maps, key: str) -> Column:
 
 
 def number_text(x, decimals: int = 2) -> Column:
-    """X11 ``floatformat:n|intcomma``: grouped thousands, n decimals."""
-    return F.format_number(col_of(x).cast("double"), decimals)
+    """X11 ``floatformat:n|intcomma``: grouped thousands, n decimals, ties
+    away from zero (``format_number`` alone would round them to even)."""
+    return F.format_number(F.round(col_of(x).cast("double"), decimals), decimals)
 
 
 def money_text(x, decimals: int = 2) -> Column:
@@ -162,9 +163,12 @@ def mask_member(member) -> Column:
 
 
 def default_text(c, default: str = "N/A") -> Column:
-    """the template ``default``: null, '' and 0 are replaced."""
-    v = col_of(c).cast("string")
-    return F.when(v.isNull() | (v == "") | (v == "0"), F.lit(default)).otherwise(v)
+    """the template ``default``: null, '' and the number 0 (in any
+    scale) are replaced; the text ``"0"`` is not."""
+    col = col_of(c)
+    v = col.cast("string")
+    falsy = F.typeof(col).isin("string", "varchar", "char", "date", "timestamp")
+    return F.when(v.isNull() | (v == "") | (~falsy & (v.try_cast("double") == 0)) | (v == "false"), F.lit(default)).otherwise(v)
 
 
 def status_from_flag(flag) -> Column:

@@ -24,24 +24,35 @@ from pyspark.sql import functions as F
 from claimscope import definitions as D
 from claimscope.operators.stats import age_years
 from claimscope.plans.distributed import quantile_row
+from claimscope.plans.stored import cut
 
 NUMERIC = ["quantity", "amount_d", "age"]
 CATEGORICAL = ["benefit", "gender", "dependent_type", "encounter", "cost_center"]
 SEED = 42
 
 
-def features(df: DataFrame) -> DataFrame:
-    """Model inputs from the claims table (numeric + categorical)."""
-    return df.withColumn("amount_d", F.col("amount").cast("double")).withColumn(
+def features(df: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFrame:
+    """Model inputs from the claims table.  A missing number becomes 0 with a
+    ``<name>_missing`` indicator of 1 beside it (a missing category is a
+    category of its own), so no line is ever skipped."""
+    out = df.withColumn("amount_d", F.col("amount").cast("double")).withColumn(
         "age", age_years("dob", "claim_prov_date").cast("double"))
+    for c in numeric:
+        out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("double")).withColumn(
+            c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    return out
+
+
+def _inputs(numeric: Sequence[str], categorical: Sequence[str]) -> list[str]:
+    return [*numeric, *[f"{c}_missing" for c in numeric], *categorical]
 
 
 def _prep(numeric: Sequence[str], categorical: Sequence[str]):
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical],
                         outputCols=[f"{c}_vec" for c in categorical], handleInvalid="keep")
-    asm = VectorAssembler(inputCols=list(numeric) + [f"{c}_vec" for c in categorical],
-                          outputCol="features", handleInvalid="skip")
+    asm = VectorAssembler(inputCols=[*numeric, *[f"{c}_missing" for c in numeric], *[f"{c}_vec" for c in categorical]],
+                          outputCol="features", handleInvalid="error")
     return idx + [ohe, asm]
 
 
@@ -69,20 +80,26 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
                    / F.count(F.lit(1))).alias("positive_pct"))
 
 
-def split(df: DataFrame, test_fraction: float = 0.3):
-    return df.randomSplit([1.0 - test_fraction, test_fraction], seed=SEED)
+def split(df: DataFrame, test_fraction: float = 0.3, key: str = "line_id"):
+    """Train and test rows by a hash of ``key``: the same row falls on the same
+    side whatever the partitioning; rows without the key are split by all
+    columns."""
+    dice = F.pmod(F.xxhash64(*([key] if key in df.columns else df.columns), F.lit(SEED)), F.lit(10_000))
+    test = dice < int(test_fraction * 10_000)
+    return df.where(~test), df.where(test)
 
 
 def fit_models(df: DataFrame, numeric: Sequence[str] = NUMERIC,
                categorical: Sequence[str] = CATEGORICAL, models: dict | None = None):
-    """L1: fit each classifier in a pipeline; returns ``{name: model}`` and
-    the held-out test set."""
-    data = features(df).select(*numeric, *categorical, F.col("label").cast("double").alias("label"))
-    train, test = split(data)
-    fitted = {}
-    for name, est in (models or classifiers()).items():
-        fitted[name] = Pipeline(stages=_prep(numeric, categorical) + [est]).fit(train)
-    return fitted, test
+    """L1: fit each classifier; returns ``{name: pipeline}`` and the held-out
+    test set.  Lines without a label are left out.  The preparation is fitted
+    once and the prepared train set is written once for all models."""
+    data = features(df, numeric).where(F.col("label").isNotNull())
+    keyed = ["line_id"] if "line_id" in data.columns else []
+    train, test = split(data.select(*keyed, *_inputs(numeric, categorical), F.col("label").cast("double").alias("label")))
+    prep = Pipeline(stages=_prep(numeric, categorical)).fit(train)
+    ready = cut(prep.transform(train).select("features", "label"), "l01-train")
+    return {name: PipelineModel([*prep.stages, est.fit(ready)]) for name, est in (models or classifiers()).items()}, test
 
 
 def evaluate(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
@@ -151,9 +168,9 @@ def _apply(stages, df: DataFrame) -> DataFrame:
 
 def predict_claims(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Per line the predicted class and its probability in percent."""
-    pred = model.transform(features(df).select("line_id", *NUMERIC, *CATEGORICAL))
+    pred = model.transform(features(df).select("line_id", F.col("amount").cast("double").alias("__amount"), *_inputs(NUMERIC, CATEGORICAL)))
     prob = vector_to_array("probability")
-    return pred.select(F.col("line_id").alias("claim_id"), F.col("amount_d").alias("amount"),
+    return pred.select(F.col("line_id").alias("claim_id"), F.col("__amount").alias("amount"),
                        F.col("prediction").cast("int").alias("predicted_label"),
                        F.round(F.array_max(prob) * 100, 2).alias("confidence_pct"))
 
@@ -193,8 +210,12 @@ def kmeans_distance(df: DataFrame, k: int = 4, top_pct: float = 0.99) -> DataFra
     """Distance to the nearest k-means centre (standardised numeric
     features); anomalies are the farthest 1 %."""
     from pyspark.ml.feature import StandardScaler
-    data = features(df).select("line_id", *NUMERIC)
-    asm = VectorAssembler(inputCols=NUMERIC, outputCol="raw", handleInvalid="skip")
+    # A missing number is put at the mean, so that it adds no distance.
+    raw = df.select("line_id", F.col("amount").cast("double").alias("amount_d"), F.col("quantity").cast("double").alias("quantity"),
+                    age_years("dob", "claim_prov_date").cast("double").alias("age"))
+    mean = F.broadcast(raw.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__{c}") for c in NUMERIC]))
+    data = raw.crossJoin(mean).select("line_id", *[F.coalesce(c, f"__{c}").alias(c) for c in NUMERIC])
+    asm = VectorAssembler(inputCols=NUMERIC, outputCol="raw", handleInvalid="error")
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     km = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster")
     model = Pipeline(stages=[asm, sc, km]).fit(data)
@@ -217,8 +238,10 @@ def train_claims_regression(df: DataFrame, target: str = "amount_d",
                             numeric: Sequence[str] = ("quantity", "age"),
                             categorical: Sequence[str] = ("benefit", "gender", "encounter")) -> DataFrame:
     """Linear regression of a claims column; returns rmse, r2, n."""
-    data = features(df).select(*numeric, *categorical, F.col(target).alias("label"))
-    train, test = split(data)
+    target_col = F.col("amount").cast("double") if target == "amount_d" else F.col(target).cast("double")
+    data = features(df.withColumn("__target", target_col), numeric).where(F.col("__target").isNotNull())
+    keyed = ["line_id"] if "line_id" in data.columns else []
+    train, test = split(data.select(*keyed, *_inputs(numeric, categorical), F.col("__target").alias("label")))
     model = Pipeline(stages=_prep(numeric, categorical) + [LinearRegression(labelCol="label")]).fit(train)
     pred = model.transform(test)
     rmse = RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(pred)
