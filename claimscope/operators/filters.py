@@ -2,12 +2,13 @@
 
 Date filters compare the raw date column with a bound (never ``year(d) = y``)
 so Catalyst can push them into the parquet scan and prune month partitions.
-Relative periods anchor on the latest date in the data, a one-row aggregate
-joined as a broadcast, so results repeat run after run.
+Relative periods anchor on the latest date in the data (:func:`latest_date`),
+read first and used as a literal, so the scan is pruned.
 """
 
 from __future__ import annotations
 
+import calendar
 import datetime as _dt
 from collections.abc import Iterable, Sequence
 
@@ -20,9 +21,30 @@ from claimscope.functions.scalar import status_from_flag
 DATE = "claim_prov_date"
 
 
-def _with_anchor(df: DataFrame, date_col: str) -> DataFrame:
-    anchor = F.broadcast(df.agg(F.max(date_col).alias("__max_d")))
-    return df.crossJoin(anchor)
+MONTH = "claim_month"  # partition column of the stored claims, ``yyyy-MM``
+
+
+def _months(df: DataFrame, start: _dt.date | None, end: _dt.date | None) -> DataFrame:
+    """Restrict the partition column, where there is one, to the months of a
+    date range, so that the scan opens no other folder; drop it then."""
+    if MONTH not in df.columns:
+        return df
+    if start is not None:
+        df = df.where(F.col(MONTH) >= f"{start:%Y-%m}")
+    if end is not None:
+        df = df.where(F.col(MONTH) <= f"{end:%Y-%m}")
+    return df.drop(MONTH)
+
+
+def latest_date(df: DataFrame, date_col: str = DATE) -> _dt.date | None:
+    """The latest date of a table: one row read on the driver.  With a month
+    column the latest month comes from the folder names and only that folder
+    is read."""
+    if MONTH in df.columns:
+        # a line without a date lies in Hive's default folder, which is null here
+        last = df.agg(F.max(MONTH)).first()[0]
+        df = df.where(F.col(MONTH) == last) if last is not None else df
+    return df.agg(F.max(date_col)).first()[0]
 
 
 def relative_period(df: DataFrame, period: str = "12m", date_col: str = DATE) -> DataFrame:
@@ -31,23 +53,28 @@ def relative_period(df: DataFrame, period: str = "12m", date_col: str = DATE) ->
         raise ValueError(f"unknown period {period!r}; one of {list(D.RELATIVE_MONTHS)}")
     months = D.RELATIVE_MONTHS[period]
     if months is None:
-        return df
-    return (_with_anchor(df, date_col)
-            .where(F.col(date_col) > F.add_months("__max_d", -months))
-            .drop("__max_d"))
+        return df.drop(MONTH)
+    last = latest_date(df, date_col)
+    if last is None:
+        return df.drop(MONTH).limit(0)
+    y, m = divmod(last.year * 12 + last.month - 1 - months, 12)
+    start = _dt.date(y, m + 1, min(last.day, calendar.monthrange(y, m + 1)[1]))
+    return _months(df, start, last).where(F.col(date_col) > F.lit(start))
 
 
 def calendar_year(df: DataFrame, year: int, date_col: str = DATE) -> DataFrame:
     """one calendar year, as a range on the raw column."""
-    return df.where((F.col(date_col) >= F.lit(_dt.date(year, 1, 1))) &
-                    (F.col(date_col) < F.lit(_dt.date(year + 1, 1, 1))))
+    return _months(df, _dt.date(year, 1, 1), _dt.date(year, 12, 31)).where(
+        (F.col(date_col) >= F.lit(_dt.date(year, 1, 1))) & (F.col(date_col) < F.lit(_dt.date(year + 1, 1, 1))))
 
 
 def recent_days(df: DataFrame, days: int = 30, date_col: str = DATE) -> DataFrame:
     """the last ``days`` days up to the latest date."""
-    return (_with_anchor(df, date_col)
-            .where(F.col(date_col) > F.date_sub("__max_d", days))
-            .drop("__max_d"))
+    last = latest_date(df, date_col)
+    if last is None:
+        return df.drop(MONTH).limit(0)
+    start = last - _dt.timedelta(days=days)
+    return _months(df, start, last).where(F.col(date_col) > F.lit(start))
 
 
 def date_range(df: DataFrame, start=None, end=None, date_col: str = DATE) -> DataFrame:
@@ -56,6 +83,7 @@ def date_range(df: DataFrame, start=None, end=None, date_col: str = DATE) -> Dat
     e = _dt.date.fromisoformat(end) if isinstance(end, str) else end
     if s is not None and e is not None and s > e:
         raise ValueError("start date is after end date")
+    df = _months(df, s, e)
     cond = F.lit(True)
     if s is not None:
         cond = cond & (F.col(date_col) >= F.lit(s))
@@ -118,11 +146,11 @@ def filter_count(df: DataFrame) -> DataFrame:
 
 
 def risk_level(score: str | Column = "fraud_score") -> Column:
-    """Low < .4 <= Medium < .7 <= High."""
+    """Low < .4 <= Medium < .7 <= High; ``Unknown`` without a score."""
     s = F.col(score) if isinstance(score, str) else score
-    out = None
+    out = F.when(s.isNull(), "Unknown")
     for bound, name in D.RISK_BANDS:
-        out = F.when(s < F.lit(bound), name) if out is None else out.when(s < F.lit(bound), name)
+        out = out.when(s < F.lit(bound), name)
     return out.otherwise("High")
 
 

@@ -179,7 +179,7 @@ _PCTS = [0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 0.95, 0.99]
 ORACLE["p07_cost_percentiles"] = w() + " UNION ALL ".join(
     f"SELECT CAST({round(p * 100)} AS INTEGER) AS percentile, round(quantile_cont(CAST(amount AS DOUBLE), {p}), 4) AS value FROM cl"
     for p in _PCTS)
-_BAND = (f"CASE WHEN {AGE} <= 17 THEN '0-17' WHEN {AGE} <= 34 THEN '18-34' WHEN {AGE} <= 49 THEN '35-49' "
+_BAND = (f"CASE WHEN {AGE} IS NULL THEN 'Unknown' WHEN {AGE} <= 17 THEN '0-17' WHEN {AGE} <= 34 THEN '18-34' WHEN {AGE} <= 49 THEN '35-49' "
          f"WHEN {AGE} <= 64 THEN '50-64' ELSE '65+' END")
 ORACLE["p08_age_profile"] = w() + f"""
 SELECT {_BAND} AS age_band, count(*) AS line_count, count(DISTINCT claim_me) AS unique_members, {MONEY} AS total_amount
@@ -237,7 +237,7 @@ ORACLE["x_text_functions"] = w() + f"""SELECT line_id,
   CAST(claim_ce AS VARCHAR) IS NOT DISTINCT FROM CAST(admit_id AS VARCHAR) AS x_equals,
   substring(claim_me, 1, 4) || '****' AS x_mask,
   CASE WHEN CAST(CASE WHEN quantity > 25 THEN quantity END AS VARCHAR) IS NULL
-         OR CAST(CASE WHEN quantity > 25 THEN quantity END AS VARCHAR) IN ('', '0') THEN 'N/A'
+         OR CASE WHEN quantity > 25 THEN quantity END = 0 THEN 'N/A'
        ELSE CAST(CASE WHEN quantity > 25 THEN quantity END AS VARCHAR) END AS x_default,
   upper(substring(lower(benefit_desc), 1, 1)) || substring(lower(benefit_desc), 2, 1073741824) AS x_capfirst,
   {_initcap('cost_center')} AS x_title,
@@ -351,7 +351,7 @@ def _dense(keys: list[str]) -> str:
     """Dense monthly series per key set."""
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
-    jk = " AND ".join([f"a.{c} = cal.{c}" for c in keys] + ["a.month = cal.month"])
+    jk = " AND ".join([f"a.{c} IS NOT DISTINCT FROM cal.{c}" for c in keys] + ["a.month = cal.month"])
     return f"""act AS (SELECT {kc}{MON} AS month, {MONEY} AS amount, count(*) AS line_count FROM cl GROUP BY ALL),
 bnd AS (SELECT {kc}min(month) AS a, max(month) AS b FROM act {"GROUP BY " + k if keys else ""}),
 cal AS (SELECT {kc}CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS month FROM bnd),
@@ -386,7 +386,7 @@ ORACLE["w16_trend_summary"] = w(SC) + """SELECT count(*) AS total_claims, count(
 _SEG = f"""mb AS (SELECT claim_me, {MONEY} AS total_amount FROM cl GROUP BY 1),
 cuts AS (SELECT quantile_cont(CAST(total_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(total_amount AS DOUBLE), 0.5) AS q2,
   quantile_cont(CAST(total_amount AS DOUBLE), 0.75) AS q3 FROM mb),
-seg AS (SELECT claim_me, total_amount, CASE WHEN CAST(total_amount AS DOUBLE) <= q1 THEN 'Low'
+seg AS (SELECT claim_me, total_amount, CASE WHEN total_amount IS NULL THEN 'Unknown' WHEN CAST(total_amount AS DOUBLE) <= q1 THEN 'Low'
   WHEN CAST(total_amount AS DOUBLE) <= q2 THEN 'Medium' WHEN CAST(total_amount AS DOUBLE) <= q3 THEN 'High'
   ELSE 'Very High' END AS segment FROM mb, cuts)"""
 ORACLE["w17_member_segments"] = w(_SEG) + "SELECT * FROM seg"
@@ -410,7 +410,7 @@ fit AS (SELECT {kc}regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept,
 
 
 def _on(keys: list[str], a: str, b: str) -> str:
-    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys) if keys else "true"
+    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys) if keys else "true"
 
 
 def _forecast(keys: list[str], horizon: int, z: float) -> str:
@@ -438,7 +438,7 @@ ORACLE["m02_ar1_fit"] = w(_dense(_FK), _fit(_FK), _LAGS) + \
 ORACLE["m03_lag_features"] = w(_dense(_FK), _fit(_FK), _LAGS) + \
     "SELECT benefit, month, round(x, 2) AS x, round(lag_1, 2) AS lag_1, round(lag_2, 2) AS lag_2, round(lag_3, 2) AS lag_3 FROM lg"
 _HIST = """h AS (SELECT ser.benefit, ser.month, ser.y, fit.intercept + fit.slope * ser.t AS fit, fit.resid_sd, fit.last_month, fit.r2
-  FROM ser JOIN fit ON ser.benefit = fit.benefit)"""
+  FROM ser JOIN fit ON ser.benefit IS NOT DISTINCT FROM fit.benefit)"""
 ORACLE["m04_accuracy"] = w(_dense(_FK), _fit(_FK), _HIST) + """SELECT benefit,
   round(greatest(0.0::DOUBLE, 100.0::DOUBLE - 100.0::DOUBLE * avg(CASE WHEN y <> 0 THEN abs(y - fit) / abs(y) END)), 4) AS accuracy_pct,
   round(any_value(r2), 6) AS r2, round(avg(abs(y - fit)), 2) AS mae FROM h GROUP BY benefit"""
@@ -459,7 +459,7 @@ ORACLE["m05_forecast_table"] = w(_dense(_FK), _fit(_FK), _ftable(3)) + "SELECT *
 ORACLE["m05_next_month"] = w(_dense(_FK), _fit(_FK), _ftable(1), _HIST) + """, acc AS (SELECT benefit,
   round(greatest(0.0::DOUBLE, 100.0::DOUBLE - 100.0::DOUBLE * avg(CASE WHEN y <> 0 THEN abs(y - fit) / abs(y) END)), 4) AS accuracy_pct
   FROM h GROUP BY benefit)
-SELECT ft.benefit, ft.month AS next_month, ft.amount, ft.growth_pct, acc.accuracy_pct FROM ft JOIN acc ON ft.benefit = acc.benefit"""
+SELECT ft.benefit, ft.month AS next_month, ft.amount, ft.growth_pct, acc.accuracy_pct FROM ft JOIN acc ON ft.benefit IS NOT DISTINCT FROM acc.benefit"""
 ORACLE["m06_fitted_band"] = w(_dense(_FK), _fit(_FK), _HIST) + """SELECT benefit, month, round(y, 2) AS amount, round(fit, 2) AS fit,
   round(fit - 2.576::DOUBLE * resid_sd, 2) AS lower, round(fit + 2.576::DOUBLE * resid_sd, 2) AS upper FROM h"""
 ORACLE["m07_band_summary"] = w(_dense(_FK), _fit(_FK)) + "SELECT benefit, round(1.96::DOUBLE * resid_sd, 2) AS half_width FROM fit"
@@ -470,7 +470,7 @@ WHERE month > last_month - INTERVAL 12 MONTH
   AND (y < fit - 1.645::DOUBLE * resid_sd OR y > fit + 1.645::DOUBLE * resid_sd)"""
 ORACLE["m08_lag_contributions"] = w(_dense(_FK), _fit(_FK), _LAGS) + """SELECT ok.benefit, ok.month,
   round(ar.intercept + ar.coef * ok.lag_1, 2) AS prediction, round(ar.intercept + ar.coef * ar.lag_mean, 2) AS base_value,
-  round(ar.coef * (ok.lag_1 - ar.lag_mean), 2) AS lag_1_contribution FROM ok JOIN ar ON ok.benefit = ar.benefit"""
+  round(ar.coef * (ok.lag_1 - ar.lag_mean), 2) AS lag_1_contribution FROM ok JOIN ar ON ok.benefit IS NOT DISTINCT FROM ar.benefit"""
 ORACLE["m09_partial_dependence"] = w(_dense(_FK), _fit(_FK), _LAGS) + """SELECT benefit, i,
   round(lo + (hi - lo) * i / 9.0::DOUBLE, 2) AS lag_1_value,
   round(intercept + coef * (lo + (hi - lo) * i / 9.0::DOUBLE), 2) AS mean_prediction
@@ -491,12 +491,12 @@ ORACLE["m11_savings_text"] = w(_SCEN) + """SELECT benefit, scenario,
 
 # ------------------------------------------------------------------ fraud
 _CT = """ct AS (SELECT claim_ce, CAST(sum(amount) AS DECIMAL(22,2)) AS claim_total, min(pol_name) AS pol_name,
-  count(*) AS line_count FROM cl GROUP BY 1),
+  min(benefit_desc) AS benefit_desc, count(*) AS line_count FROM cl GROUP BY 1),
 fq AS (SELECT quantile_cont(CAST(claim_total AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(claim_total AS DOUBLE), 0.75) AS q3 FROM ct),
 fb AS (SELECT q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS lower, q3 + 1.5::DOUBLE * (q3 - q1) AS upper FROM fq),
 cto AS (SELECT ct.*, CAST(claim_total AS DOUBLE) < lower OR CAST(claim_total AS DOUBLE) > upper AS is_outlier FROM ct, fb)"""
 ORACLE["r01_iqr_bounds"] = w(_CT) + "SELECT round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper FROM fb"
-ORACLE["r02_suspicious_claims"] = w(_CT) + "SELECT claim_ce AS claim_id, claim_total AS amount, pol_name, line_count FROM cto WHERE is_outlier"
+ORACLE["r02_suspicious_claims"] = w(_CT) + "SELECT claim_ce AS claim_id, claim_total AS amount, pol_name, benefit_desc, line_count FROM cto WHERE is_outlier ORDER BY 2 DESC, 1"
 ORACLE["r03_fraud_statistics"] = w(_CT) + """SELECT count(*) AS total_claims, count(*) FILTER (WHERE is_outlier) AS suspicious_claims,
   100.0::DOUBLE * (CAST(count(*) FILTER (WHERE is_outlier) AS DOUBLE) / count(*)) AS fraud_percentage FROM cto"""
 ORACLE["r04_rule_score"] = w(SC) + """SELECT line_id, fraud_score, rule_claim_total_outlier, rule_member_diagnosis_repeat,
@@ -593,3 +593,25 @@ SELECT benefit, prov_region, count(*) AS months_outside FROM hh
 WHERE month > last_month - INTERVAL 12 MONTH
   AND (y < fit - 1.645::DOUBLE * resid_sd OR y > fit + 1.645::DOUBLE * resid_sd)
 GROUP BY 1, 2"""
+
+# ------------------------------------------------------------------ the same over claims with nulls
+CL_NULLS = CL.replace("cl AS (", "cl0 AS (", 1) + """,
+cl AS (SELECT * REPLACE (
+  CASE WHEN quantity % 7 <> 0 THEN icd10_code END AS icd10_code,
+  CASE WHEN quantity % 5 <> 0 THEN benefit END AS benefit,
+  CASE WHEN quantity % 4 <> 1 THEN dob END AS dob,
+  CASE WHEN quantity <> 31 THEN claim_prov_date END AS claim_prov_date,
+  CASE WHEN quantity <> 13 AND right(prov_name, 1) <> '3' AND right(claim_me, 2) <> '07' THEN amount END AS amount) FROM cl0)"""
+WITH_NULLS = ("p01_describe", "p07_cost_percentiles", "p08_age_profile", "a13_lorenz", "a20_age_service", "a23_provider_efficiency",
+              "w06_monthly_box", "w14_dense_months", "w17_member_segments", "w17_segment_summary", "w18_provider_rank",
+              "m01_forecast_many_series", "m04_accuracy", "m05_forecast_table", "m05_next_month", "m06_fitted_band", "m07_band_summary",
+              "m08_lag_contributions", "m09_partial_dependence", "r02_suspicious_claims", "r03_fraud_statistics", "r04_rule_score")
+for _n in WITH_NULLS:
+    ORACLE[f"{_n}_with_nulls"] = ORACLE[_n].replace(CL, CL_NULLS, 1)
+
+ORACLE["c06_clean_dirty_claims"] = w("""di AS (
+  SELECT CASE WHEN quantity % 9 <> 0 THEN claim_prov_date END AS claim_prov_date, CASE WHEN quantity % 11 <> 0 THEN amount END AS amount,
+    icd10_code, CASE WHEN quantity = 50 THEN claim_pod END AS mostly_missing FROM cl)""") + """
+SELECT DISTINCT claim_prov_date, amount, icd10_code FROM di WHERE claim_prov_date IS NOT NULL AND amount IS NOT NULL"""
+ORACLE["x_map_functions"] = w() + """SELECT encounter, CAST(coalesce(sum(CASE WHEN service_code = 'F-1' THEN CAST(amount AS DOUBLE) END), 0) AS DECIMAL(22,2)) AS f1_total,
+  count(DISTINCT service_code) AS services FROM cl GROUP BY 1"""

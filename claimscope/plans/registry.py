@@ -8,6 +8,7 @@ and repeated in :mod:`claimscope.plans.oracle`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from claimscope.operators import forecast as M
 from claimscope.operators import fraud as R
 from claimscope.operators import stats as P
 from claimscope.operators import temporal as W
+from claimscope.plans.oracle import WITH_NULLS
 from claimscope.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +39,24 @@ def q(name: str):
     return deco
 
 
-def claims(spark: SparkSession, sf: str) -> DataFrame:
-    return T.claims_table(spark, sf)
+_NULLS: ContextVar[bool] = ContextVar("nulls", default=False)
+
+
+def claims(spark: SparkSession, sf: str, month: bool = False) -> DataFrame:
+    """The stored claims; inside a ``*_with_nulls`` query with null keys,
+    dates, births and amounts.  ``month`` adds the partition column for the
+    date filters."""
+    c = T.claims_table(spark, sf, month)
+    return nulled(c) if _NULLS.get() else c
+
+
+def nulled(c: DataFrame) -> DataFrame:
+    """Claims as imported files have them: missing values in key columns."""
+    n = F.col("quantity")
+    amount = (n != 13) & (F.right("prov_name", F.lit(1)) != "3") & (F.right("claim_me", F.lit(2)) != "07")
+    return c.withColumns({"icd10_code": F.when(n % 7 != 0, F.col("icd10_code")), "benefit": F.when(n % 5 != 0, F.col("benefit")),
+                          "dob": F.when(n % 4 != 1, F.col("dob")), "claim_prov_date": F.when(n != 31, F.col("claim_prov_date")),
+                          "amount": F.when(amount, F.col("amount"))})
 
 
 def score_fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +76,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ slice
 @q("flagship_monthly_by_benefit_12m")
 def _flagship(spark, sf):
-    c = Fl.relative_period(claims(spark, sf), "12m")
+    c = Fl.relative_period(claims(spark, sf, month=True), "12m")
     return (c.groupBy(F.col("benefit"), F.date_trunc("month", "claim_prov_date").cast("date").alias("month"))
             .agg(F.count(F.lit(1)).alias("line_count"),
                  F.count_distinct("claim_ce").alias("claim_count"),
@@ -179,22 +197,22 @@ def _rows(df: DataFrame) -> DataFrame:
 
 @q("f01_period_12m")
 def _f01(spark, sf):
-    return _rows(Fl.relative_period(claims(spark, sf), "12m"))
+    return _rows(Fl.relative_period(claims(spark, sf, month=True), "12m"))
 
 
 @q("f02_calendar_year")
 def _f02(spark, sf):
-    return _rows(Fl.calendar_year(claims(spark, sf), 1998))
+    return _rows(Fl.calendar_year(claims(spark, sf, month=True), 1998))
 
 
 @q("f03_last_90_days")
 def _f03(spark, sf):
-    return _rows(Fl.recent_days(claims(spark, sf), 90))
+    return _rows(Fl.recent_days(claims(spark, sf, month=True), 90))
 
 
 @q("f04_date_range")
 def _f04(spark, sf):
-    return _rows(Fl.date_range(claims(spark, sf), "1996-02-01", "1996-03-31"))
+    return _rows(Fl.date_range(claims(spark, sf, month=True), "1996-02-01", "1996-03-31"))
 
 
 @q("f05_equals_or_all")
@@ -215,7 +233,7 @@ def _f07(spark, sf):
 
 @q("f08_custom_filter")
 def _f08(spark, sf):
-    return Fl.custom_filter(claims(spark, sf), "1997-01-01", "1998-12-31", 5000, 60000,
+    return Fl.custom_filter(claims(spark, sf, month=True), "1997-01-01", "1998-12-31", 5000, 60000,
                             ["PROMO", "SMALL"], None)
 
 
@@ -326,7 +344,7 @@ def _a03(spark, sf):
 
 @q("a04_period_summary")
 def _a04(spark, sf):
-    return A.period_summary(Fl.calendar_year(claims(spark, sf), 2000))
+    return A.period_summary(Fl.calendar_year(claims(spark, sf, month=True), 2000))
 
 
 @q("a05_overview")
@@ -446,7 +464,7 @@ def _a24(spark, sf):
 
 @q("a26_period_breakdown")
 def _a26(spark, sf):
-    return A.breakdown(Fl.relative_period(claims(spark, sf), "24m"), "benefit", "Count")
+    return A.breakdown(Fl.relative_period(claims(spark, sf, month=True), "24m"), "benefit", "Count")
 
 
 # ------------------------------------------------------------------ temporal
@@ -642,7 +660,7 @@ def _r01(spark, sf):
 
 @q("r02_suspicious_claims")
 def _r02(spark, sf):
-    return R.suspicious_claims(claims(spark, sf), k=None)
+    return R.suspicious_claims(claims(spark, sf), k=None).orderBy(F.desc("amount"), F.asc("claim_id"))
 
 
 @q("r03_fraud_statistics")
@@ -674,7 +692,7 @@ def _r07(spark, sf):
 
 @q("r08_high_risk")
 def _r08(spark, sf):
-    return R.high_risk_claims(scored(spark, sf), THRESHOLD)
+    return R.high_risk_claims(scored(spark, sf), THRESHOLD).orderBy(*R.high_risk_order())
 
 
 @q("r08_high_risk_page1")
@@ -684,7 +702,7 @@ def _r08b(spark, sf):
 
 @q("r09_high_risk_details")
 def _r09(spark, sf):
-    return R.high_risk_claims(scored(spark, sf), THRESHOLD, with_details=True)
+    return R.high_risk_claims(scored(spark, sf), THRESHOLD, with_details=True).orderBy(*R.high_risk_order())
 
 
 @q("r10_provider_fraud")
@@ -756,7 +774,7 @@ def _r20d(spark, sf):
 def _r21(spark, sf):
     s = scored(spark, sf)
     return R.potential_cases(s, R.derived_decisions(s, THRESHOLD), start="1996-01-01",
-                             end="2000-12-31", level="Medium")
+                             end="2000-12-31", level="Medium").orderBy(*R.high_risk_order())
 
 
 @q("r22_review_status")
@@ -889,12 +907,11 @@ def _s01(spark, sf):
 
 
 # Service codes of the test data: line status F/O x priority 1-5 (fixed values).
-SERVICE_CODES = ["F-1", "F-2", "F-3", "F-4", "F-5", "O-1", "O-2", "O-3", "O-4", "O-5"]
 
 
 @q("a18_diagnosis_treatment_wide")
 def _a18w(spark, sf):
-    return A.diagnosis_treatment(claims(spark, sf), wide=True, services=SERVICE_CODES)
+    return A.diagnosis_treatment(claims(spark, sf), wide=True)
 
 
 @q("w07_heatmap_wide")
@@ -911,3 +928,39 @@ def _a23c(spark, sf):
 def _m07c(spark, sf):
     o = M.outside_band(claims(spark, sf), SERIES_KEYS, level=90)
     return o.groupBy(*SERIES_KEYS).agg(F.count(F.lit(1)).alias("months_outside"))
+
+
+@q("c06_clean_dirty_claims")
+def _c06(spark, sf):
+    """C5 + C6 over claims with missing values, a sparse column and repeated
+    rows."""
+    from claimscope.operators.clean import clean
+    n = F.col("quantity")
+    dirty = claims(spark, sf).select(
+        F.when(n % 9 != 0, F.col("claim_prov_date")).alias("claim_prov_date"), F.when(n % 11 != 0, F.col("amount")).alias("amount"),
+        "icd10_code", F.when(n == 50, F.col("claim_pod")).alias("mostly_missing"))
+    return clean(dirty)
+
+
+@q("x_map_functions")
+def _xmap(spark, sf):
+    """X6 / A25 over maps of maps built from the claims."""
+    per = (claims(spark, sf).groupBy("encounter", "service_code").agg(F.sum("amount").cast("double").alias("total")))
+    maps = per.groupBy("encounter").agg(F.map_from_entries(F.collect_list(F.struct(
+        "service_code", F.create_map("service_code", "total")))).alias("m"))  # one entry for each service code
+    return maps.select("encounter", F.round(X.dict_sum("m", "F-1"), 2).cast("decimal(22,2)").alias("f1_total"),
+                       F.size("m").cast("long").alias("services"))
+
+
+def _with_nulls(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        token = _NULLS.set(True)
+        try:
+            return REGISTRY[name](spark, sf)
+        finally:
+            _NULLS.reset(token)
+    return run
+
+
+for _name in WITH_NULLS:
+    REGISTRY[f"{_name}_with_nulls"] = _with_nulls(_name)

@@ -2,9 +2,8 @@
 
 The claims table is one wide row per billed service line.  With the test
 tables it is the star join ``lineitem - orders - customer - part - supplier -
-nation - region``.  At scale this join is run once and written (see
-:func:`claimscope.sources.claims_store.write_claims`); the lazy view below is
-what the registered queries use, so each query reads the given tables.
+nation - region``.  The join is run once for an application and written (see
+:func:`claims_table`); the registered queries read that table.
 """
 
 from __future__ import annotations
@@ -110,13 +109,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims_table(spark: SparkSession, sf_dir: str, month: bool = False) -> DataFrame:
     """The claims table, derived from the given tables once per Spark
     application and stored (S3: parquet partitioned by service month, rows
     range-ordered by date) in the shared checkpoint folder; later queries
     read it like the dashboard reads its stored claims table.  Storing also
-    cuts the seven-table join out of every downstream plan and lineage."""
+    cuts the seven-table join out of every downstream plan and lineage.
+    ``month`` keeps the partition column ``claim_month``, which the date
+    filters use to skip whole folders."""
     from claimscope.plans.stored import data_key, stored
     from claimscope.sources.csv_import import write_claims
     key = "claims|" + data_key(sf_dir)
-    return stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims).select(*CLAIM_COLUMNS)
+    return stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims).select(*CLAIM_COLUMNS, *(["claim_month"] if month else []))
