@@ -28,7 +28,7 @@ exploded n-grams with a count table, summed per document:
 
 n-grams travel as packed arrays (one row for a bucket and a few thousand
 documents), which keeps the shuffle near 8 bytes an n-gram.  Sums are in
-millionths of a nat as integers, so their order does not matter.
+billionths of a nat as integers, so their order does not matter.
 
 Defined results.  Null, empty and wordless texts have no tokens, score 0 and
 a null mean.  Repeated rows are scored one by one (and counted one by one).
@@ -52,7 +52,7 @@ ORDER = 2             # production order; 3 is supported
 MIN_COUNT = 2         # n-grams (n > 1) seen less often back off
 ALPHA = 0.4
 VOCAB_BITS = 20
-UNIT = 1_000_000      # integer parts of a nat
+UNIT = 10 ** 9         # integer parts of a nat
 FLUSH = 2_000_000     # tokens packed together in a task
 PER_BUCKET = 4_000_000  # tokens a bucket is made for
 MEMO_WORDS = 400_000
@@ -106,21 +106,20 @@ class Vocabulary:
 
 
 class WordIds(dict):
-    """word -> id, memoised (bounded)."""
+    """word -> id.  Known words are memoised (at most as many as the
+    vocabulary has); an unknown word costs a hash and a look-up each time."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         import numpy as np
         import xxhash
-        self.v, self.hash, self.np = vocab, xxhash.xxh64_intdigest, np
+        self.hash, self.np = xxhash.xxh64_intdigest, np
+        self.ids = dict(zip(vocab.hashes.view(np.uint64).tolist(), range(1, len(vocab.hashes) + 1)))
 
     def __missing__(self, word: bytes) -> int:
-        h = self.np.uint64(self.hash(word)).view(self.np.int64)
-        at = int(self.np.searchsorted(self.v.hashes, h))
-        out = at + 1 if at < len(self.v.hashes) and self.v.hashes[at] == h else 0
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = out
+        out = self.ids.get(self.hash(word), 0)
+        if out:
+            self[word] = out
         return out
 
     def of(self, text: bytes | None):
@@ -128,15 +127,15 @@ class WordIds(dict):
         return self.np.fromiter(map(self.__getitem__, words), self.np.int64, len(words))
 
 
-def vocabulary(df: DataFrame, text: str = "text") -> Vocabulary:
+def vocabulary(df: DataFrame, text: str = "text", bits: int = VOCAB_BITS) -> Vocabulary:
     import numpy as np
     counts = written(word_counts(df, text), "lm-words")
     total = counts.agg(F.sum("c")).first()[0] or 0
-    kept = counts.where(F.col("c") >= max(2, -(-total // (1 << VOCAB_BITS)))).toArrow()  # at most 2^VOCAB_BITS rows
+    kept = counts.where(F.col("c") >= max(2, -(-total // (1 << bits)))).toArrow()  # at most 2^bits rows
     return Vocabulary(kept.column("h").to_numpy().astype(np.int64), kept.column("c").to_numpy().astype(np.int64), total)
 
 
-def _ngrams(ids, doc, order: int):
+def _ngrams(ids, doc, order: int, bits: int):
     """Keys of the n-grams inside documents, and the document of each;
     ``ids`` and ``doc`` are the tokens of several documents in a row."""
     n = len(ids) - order + 1
@@ -144,7 +143,7 @@ def _ngrams(ids, doc, order: int):
         return ids[:0], doc[:0]
     key = ids[:n].copy()
     for k in range(1, order):
-        key = (key << VOCAB_BITS + 1) | ids[k:n + k]
+        key = (key << bits + 1) | ids[k:n + k]
     same = doc[:n] == doc[order - 1:]
     return key[same], doc[:n][same]
 
@@ -154,9 +153,9 @@ def _bucket(key, buckets: int):
     return ((key.astype(np.uint64) * np.uint64(_MIX)) >> np.uint64(33)) % np.uint64(buckets)
 
 
-def _flushes(batches, words: WordIds):
+def _flushes(batches, words: WordIds, flush: int):
     """Token ids and rows of several documents at a time: ``(keys, lengths,
-    ids)`` with about ``FLUSH`` tokens."""
+    ids)`` with about ``flush`` tokens."""
     import numpy as np
     keys, parts, held = [], [], 0
     for batch in batches:
@@ -165,7 +164,7 @@ def _flushes(batches, words: WordIds):
             keys.append(key)
             parts.append(ids)
             held += len(ids)
-            if held >= FLUSH:
+            if held >= flush:
                 yield keys, np.array([len(p) for p in parts]), np.concatenate(parts)
                 keys, parts, held = [], [], 0
     if keys:
@@ -183,15 +182,16 @@ def _packed(o, bucket, arrays):
         names=["ord", "bucket", "keys", "counts"])
 
 
-def ngram_counts(df: DataFrame, vocab, order: int, buckets: int, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+def ngram_counts(df: DataFrame, vocab, order: int, buckets: int, text: str = "text", min_count: int = MIN_COUNT,
+                 bits: int = VOCAB_BITS, flush: int = FLUSH) -> DataFrame:
     """``(ord, bucket, key, c)``: count table of each order from 2 on."""
     def pack(batches):
         import numpy as np
         words = WordIds(vocab.value)
-        for _, lengths, ids in _flushes(batches, words):
+        for _, lengths, ids in _flushes(batches, words, flush):
             doc = np.repeat(np.arange(len(lengths)), lengths)
             for o in range(2, order + 1):
-                key, c = np.unique(_ngrams(ids, doc, o)[0], return_counts=True)
+                key, c = np.unique(_ngrams(ids, doc, o, bits)[0], return_counts=True)
                 yield _packed(o, _bucket(key, buckets), [key.astype("<i8"), c.astype("<u4")])
 
     def add(group: pa.Table) -> pa.Table:
@@ -212,10 +212,10 @@ def ngram_counts(df: DataFrame, vocab, order: int, buckets: int, text: str = "te
     return packed.groupBy("ord", "bucket").applyInArrow(add, "ord int, bucket int, key long, c long")
 
 
-def values(counts: DataFrame, vocab, order: int) -> DataFrame:
+def values(counts: DataFrame, vocab, order: int, bits: int = VOCAB_BITS) -> DataFrame:
     """``(ord, bucket, key, c, v)``: what each known n-gram adds to the score
     of a document that backs off."""
-    shift, mask = VOCAB_BITS + 1, (1 << VOCAB_BITS + 1) - 1
+    shift, mask = bits + 1, (1 << bits + 1) - 1
 
     def run(batches):
         import numpy as np
@@ -244,17 +244,19 @@ def values(counts: DataFrame, vocab, order: int) -> DataFrame:
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER,
-          min_count: int = MIN_COUNT) -> DataFrame:
-    """``(key, n_tokens, logprob, mean_logprob)`` for each row; natural logs."""
+          min_count: int = MIN_COUNT, bits: int = VOCAB_BITS, per_bucket: int = PER_BUCKET, flush_tokens: int = FLUSH) -> DataFrame:
+    """``(key, n_tokens, logprob, mean_logprob)`` for each row; natural logs.
+    ``bits`` bounds the vocabulary and the broadcast n-grams, the other two
+    set the size of a bucket and of a pack."""
     import numpy as np
-    if not 1 <= order <= 3 or min_count < 1:
-        raise ValueError("order is 1 to 3, min_count at least 1")
+    if not 1 <= order <= 3 or min_count < 1 or not 1 <= bits <= 20:
+        raise ValueError("order is 1 to 3, min_count at least 1, bits 1 to 20")
     sc = df.sparkSession.sparkContext
-    vocab = vocabulary(df, text)
+    vocab = vocabulary(df, text, bits)
     shared = sc.broadcast(vocab)
-    buckets = max(1, -(-vocab.total // PER_BUCKET))
-    known = written(values(written(ngram_counts(df, shared, order, buckets, text, min_count), "lm-counts"), shared, order), "lm-values")
-    hot = known.where(F.col("c") >= max(2, -(-vocab.total // (1 << VOCAB_BITS)))).select("ord", "key", "v").toArrow()
+    buckets = max(1, -(-vocab.total // per_bucket))
+    known = written(values(written(ngram_counts(df, shared, order, buckets, text, min_count, bits, flush_tokens), "lm-counts"), shared, order, bits), "lm-values")
+    hot = known.where(F.col("c") >= max(2, -(-vocab.total // (1 << bits)))).select("ord", "key", "v").toArrow()
     by_order = {}
     for o in range(2, order + 1):
         mine = hot.column("ord").to_numpy() == o
@@ -265,18 +267,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     kind = dict(df.dtypes)[key]
 
     def explode(batches):
-        words, uni, task, row = WordIds(shared.value), shared.value.unigram_units(), TaskContext.get().partitionId(), 0
-        for keys, lengths, ids in _flushes(batches, words):
-            n = len(keys)
+        words, uni, flush = WordIds(shared.value), shared.value.unigram_units(), TaskContext.get().partitionId() << 32
+        for keys, lengths, ids in _flushes(batches, words, flush_tokens):
+            n, flush = len(keys), flush + 1
             doc = np.repeat(np.arange(n), lengths)
-            uid = (task << 40) + row + np.arange(n)
-            row += n
             short = np.minimum(lengths, order - 1)  # tokens with fewer words before them
             steps = short * (short - 1) // 2 + (lengths - short) * (order - 1)
             local = _sum_by(doc, uni[ids], n) + steps * round(float(np.log(ALPHA)) * UNIT)
             packs = []
             for o in range(2, order + 1):
-                grams, at = _ngrams(ids, doc, o)
+                grams, at = _ngrams(ids, doc, o, bits)
                 hot_k, hot_v = table.value[o]
                 if len(hot_k):
                     place = np.minimum(np.searchsorted(hot_k, grams), len(hot_k) - 1)
@@ -288,48 +288,65 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
                 names, starts = np.unique(b[srt], return_index=True)
                 for name, s, e in zip(names, starts, np.append(starts[1:], len(srt))):
                     own = srt[s:e]
-                    packs.append((int(name), uid[0].item(), at[own].astype("<u4").tobytes(), _tagged(grams[own], o).tobytes()))
-            home = int(uid[0] // 7919 % buckets)
+                    packs.append((int(name), at[own].astype("<u4").tobytes(), _tagged(grams[own], o).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([home] * n, pa.int32()), pa.array(uid), _as_array(keys), pa.array(lengths.astype(np.int64)), pa.array(local),
-                 pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "uid", "k", "n", "s", "docs", "grams"])
+                [pa.array([flush % buckets] * n, pa.int32()), pa.array([flush] * n, pa.int64()), pa.array(np.arange(n)), _as_array(keys),
+                 pa.array(lengths.astype(np.int64)), pa.array(local), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                names=["bucket", *sums_names])
             if packs:
-                names, first, docs, grams = zip(*packs)
+                names, docs, grams = zip(*packs)
                 m = len(packs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array(first, pa.int64()), pa.nulls(m, keys[0].type), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.int64()), pa.array(docs, pa.binary()), pa.array(grams, pa.binary())],
-                    names=["bucket", "uid", "k", "n", "s", "docs", "grams"])
+                    [pa.array(names, pa.int32()), pa.array([flush] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, keys[0].type),
+                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(docs, pa.binary()), pa.array(grams, pa.binary())],
+                    names=["bucket", *sums_names])
 
     def look_up(asked: pa.Table, have: pa.Table) -> pa.Table:
-        plain = asked.filter(pa.compute.is_valid(asked.column("n"))).select(["uid", "k", "n", "s"])
-        packed = asked.filter(pa.compute.is_null(asked.column("n")))
-        parts = [plain]
-        if packed.num_rows and have.num_rows:
-            grams = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in packed.column("grams")])
-            docs = np.concatenate([np.frombuffer(x.as_py(), "<u4").astype(np.int64) + first.as_py()
-                                   for x, first in zip(packed.column("docs"), packed.column("uid"))])
-            keys = np.array(have.column("key"))
-            for o in range(2, order + 1):
-                of = np.asarray(have.column("ord")) == o
-                keys[of] = _tagged(keys[of], o)
-            at = np.argsort(keys)
-            keys, vals = keys[at], np.asarray(have.column("v"))[at]
+        """Documents' rows as they are; for each packed row the sums of its
+        documents, packed again."""
+        is_doc = pa.compute.is_valid(asked.column("n"))
+        plain, packed = asked.filter(is_doc), asked.filter(pa.compute.invert(is_doc))
+        if not packed.num_rows or not have.num_rows:
+            return plain.select(sums_names)
+        keys = have.column("key").to_numpy().copy()
+        for o in range(2, order + 1):
+            of = np.asarray(have.column("ord")) == o
+            keys[of] = _tagged(keys[of], o)
+        at = np.argsort(keys)
+        keys, vals = keys[at], np.asarray(have.column("v"))[at]
+        docs, sums = [], []
+        for own, grams in zip(packed.column("docs"), packed.column("grams")):
+            grams = np.frombuffer(grams.as_py(), "<i8")
             place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            hit = keys[place] == grams
-            uid, inv = np.unique(docs[hit], return_inverse=True)
-            sums = _sum_by(inv, vals[place[hit]], len(uid))
-            m = len(uid)
-            parts.append(pa.table({"uid": pa.array(uid), "k": pa.nulls(m, plain.schema.field("k").type),
-                                   "n": pa.array(np.zeros(m, np.int64)), "s": pa.array(sums)}))
-        return pa.concat_tables([p.combine_chunks() for p in parts])
-
+            hit = np.flatnonzero(keys[place] == grams)
+            row, inv = np.unique(np.frombuffer(own.as_py(), "<u4")[hit], return_inverse=True)
+            docs.append(row.tobytes())
+            sums.append(_sum_by(inv, vals[place[hit]], len(row)).tobytes())
+        m = len(docs)
+        back = pa.table({"flush": packed.column("flush"), "row": pa.nulls(m, pa.int64()), "k": pa.nulls(m, plain.schema.field("k").type),
+                         "n": pa.nulls(m, pa.int64()), "s": pa.nulls(m, pa.int64()), "docs": pa.array(docs, pa.binary()),
+                         "grams": pa.array(sums, pa.binary())})
+        return pa.concat_tables([plain.select(sums_names), back])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        """One flush: its documents with all their partial sums."""
+        is_doc = pa.compute.is_valid(group.column("n"))
+        plain, packed = group.filter(is_doc), group.filter(pa.compute.invert(is_doc))
+        s = plain.column("s").to_numpy().copy()
+        place = np.empty(len(s), np.int64)
+        place[np.asarray(plain.column("row"))] = np.arange(len(s))
+        for own, part in zip(packed.column("docs"), packed.column("grams")):
+            s[place[np.frombuffer(own.as_py(), "<u4")]] += np.frombuffer(part.as_py(), "<i8")
+        return pa.table({"k": plain.column("k"), "n_tokens": plain.column("n"), "s": pa.array(s)})
+
+    sums_names = ["flush", "row", "k", "n", "s", "docs", "grams"]
     asked = df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        explode, f"bucket int, uid long, k {kind}, n long, s long, docs binary, grams binary")
-    have = known.where(F.col("c") < max(2, -(-vocab.total // (1 << VOCAB_BITS)))).select("bucket", "ord", "key", "v")
-    sums = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(look_up, f"uid long, k {kind}, n long, s long")
-    out = sums.groupBy("uid").agg(F.max("k").alias("k"), F.sum("n").alias("n_tokens"), F.sum("s").alias("__s"))
-    logprob = F.col("__s") / F.lit(float(UNIT))
+        explode, f"bucket int, flush long, row long, k {kind}, n long, s long, docs binary, grams binary")
+    have = known.where(F.col("c") < max(2, -(-vocab.total // (1 << bits)))).select("bucket", "ord", "key", "v")
+    sums = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(
+        look_up, f"flush long, row long, k {kind}, n long, s long, docs binary, grams binary")
+    out = sums.groupBy("flush").applyInArrow(add_up, f"k {kind}, n_tokens long, s long")
+    logprob = F.col("s") / F.lit(float(UNIT))
     return out.select(F.col("k").alias(key), "n_tokens", logprob.alias("logprob"),
                       F.when(F.col("n_tokens") > 0, logprob / F.col("n_tokens")).alias("mean_logprob"))
 
