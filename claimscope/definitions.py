@@ -38,8 +38,10 @@ DATASET_ALIASES = {
     "provider_name": ["provider_name", "prov_name"],
 }
 # Display titles for result keys; other keys: '_' -> ' ', words capitalised.
-# The chart titles of the page.
 KEY_TITLES = {
+    "avg_fraud_score": "Average Fraud Score",
+    "fraud_percentage": "Fraud Percentage",
+    # The chart titles of the page.
     "fraud_pie": "Fraud Risk Distribution",
     "amount_hist": "Claim Amount Distribution by Risk Level",
     "suspicious_bar": "Top Suspicious Claims by Amount",

@@ -130,3 +130,47 @@ def test_write_and_load_partitioned(spark, imported, tmp_path):
 def test_invalid_amounts_on_raw(spark):
     raw = spark.createDataFrame([("1", "12.5"), ("2", "1,000"), ("3", "x")], "ADMIT_ID string, AMOUNT string")
     assert [r[0] for r in invalid_amounts(raw).collect()] == ["3"]
+
+
+ODD = [
+    ("1", '"Clinic ""A"" Ltd"', "12,000,000,000.00", "1"),
+    ("2", '"One, Two"', "5.00", "99999999999999"),
+    ("3", '"Line one\nline two"', "6.00", "2.0"),
+    ("4", "Caf\u00e9", "9,999,999,999.99", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    path = os.path.join(tmp_path_factory.mktemp("odd"), "claims.csv")
+    lines = [",".join(HEADERS)]
+    for admit, prov, amount, quantity in ODD:
+        v = _row(admit, f'"{amount}"', prov=prov)
+        v["QUANTITY"] = quantity
+        lines.append(",".join(v[h] for h in HEADERS))
+    with open(path, "wb") as f:
+        f.write(("\n".join(lines) + "\n").encode("iso-8859-1"))
+    return import_claims(spark, path, multi_line=True)
+
+
+def test_quotes_and_line_ends_inside_fields(odd):
+    rows = {r["admit_id"]: r for r in odd[0].collect()}
+    assert [rows[k]["prov_name"] for k in "1234"] == ['Clinic "A" Ltd', "One, Two", "Line one\nline two", "Caf\u00e9"]
+
+
+def test_numbers_out_of_range(odd):
+    rows = {r["admit_id"]: r for r in odd[0].collect()}
+    assert rows["1"]["amount"] == Decimal("0.00") and rows["4"]["amount"] == Decimal("9999999999.99")
+    assert [rows[k]["quantity"] for k in "1234"] == [1, None, 2, None]
+    assert [r["ADMIT_ID"] for r in odd[1].collect()] == ["1"]
+
+
+def test_export_doubles_quotes(spark, odd, tmp_path):
+    from claimscope.sources.catalog import export_csv
+    texts = ['say "hi"', "a,b", "two\nlines", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    path = export_csv(df, f"{tmp_path}/out", single_file=True)
+    part = next(p for p in os.listdir(path) if p.endswith(".csv"))
+    import csv
+    with open(os.path.join(path, part), newline="", encoding="utf-8") as f:
+        assert [r[0] for r in csv.reader(f)][1:] == texts
