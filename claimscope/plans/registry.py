@@ -64,13 +64,16 @@ def score_fresh(spark: SparkSession, sf: str) -> DataFrame:
                         amount_factor=D.TEST_RULE_AMOUNT_FACTOR, threshold=THRESHOLD)
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """One scoring run (R4) per application and parameter set, stored; the
-    fraud pages aggregate the stored run (score once, read many)."""
+def scored(spark: SparkSession, sf: str, month: bool = False) -> DataFrame:
+    """One scoring run (R4) per application and parameter set, stored by
+    service month; the fraud pages aggregate the stored run (score once, read
+    many).  ``month`` adds the partition column for the date filters."""
     from claimscope.plans.stored import data_key, stored
+    from claimscope.sources.csv_import import write_claims
     key = (f"scored|{data_key(sf)}|{D.TEST_RULE_MAX_LINES}|{D.TEST_RULE_AMOUNT_FACTOR}"
-           f"|{THRESHOLD}")
-    return stored(spark, key, lambda: score_fresh(spark, sf))
+           f"|{THRESHOLD}|{_NULLS.get()}")
+    out = stored(spark, key, lambda: score_fresh(spark, sf), write_claims)
+    return out if month else out.drop("claim_month")
 
 
 # ------------------------------------------------------------------ slice
@@ -773,7 +776,7 @@ def _r20d(spark, sf):
 @q("r21_potential_cases")
 def _r21(spark, sf):
     s = scored(spark, sf)
-    return R.potential_cases(s, R.derived_decisions(s, THRESHOLD), start="1996-01-01",
+    return R.potential_cases(scored(spark, sf, month=True), R.derived_decisions(s, THRESHOLD), start="1996-01-01",
                              end="2000-12-31", level="Medium").orderBy(*R.high_risk_order())
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.session import scratch_path
 
-_PATHS: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
 _LOCK = threading.RLock()  # builders may call stored() for their inputs
 
 
@@ -40,17 +40,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame],
            write: Callable[[DataFrame, str], object] | None = None) -> DataFrame:
-    """Build-and-write once per (application, key), then read."""
+    """Build-and-write once per (application, key), then read; the reader is
+    kept, so its folders are listed once."""
     app = spark.sparkContext.applicationId
     with _LOCK:
-        path = _PATHS.get((app, key))
-        if path is None:
-            tag = hashlib.sha1(f"{app}|{key}".encode()).hexdigest()[:16]
-            path = scratch_path(spark, f"stored-{tag}")
-            df = build()
-            if write is None:
-                df.write.mode("overwrite").parquet(path)
-            else:
-                write(df, path)
-            _PATHS[(app, key)] = path
-    return spark.read.parquet(path)
+        found = _TABLES.get((app, key))
+        if found is None or found[0] is not spark:
+            path = scratch_path(spark, f"stored-{hashlib.sha1(f'{app}|{key}'.encode()).hexdigest()[:16]}")
+            if found is None:
+                df = build()
+                if write is None:
+                    df.write.mode("overwrite").parquet(path)
+                else:
+                    write(df, path)
+            found = _TABLES[(app, key)] = (spark, spark.read.parquet(path))
+    return found[1]

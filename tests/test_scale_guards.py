@@ -82,7 +82,7 @@ def test_guard_catches_a_global_window_over_an_unbounded_grouping(spark):
     assert _bad_windows(bad._jdf.queryExecution().optimizedPlan(), [])
 
 
-DATED = ["f01_period_12m", "f02_calendar_year", "f03_last_90_days", "f04_date_range", "f08_custom_filter", "flagship_monthly_by_benefit_12m"]
+DATED = ["f01_period_12m", "f02_calendar_year", "f03_last_90_days", "f04_date_range", "f08_custom_filter", "r21_potential_cases", "a26_period_breakdown", "flagship_monthly_by_benefit_12m"]
 
 
 @pytest.mark.parametrize("name", DATED)
