@@ -53,8 +53,8 @@ MIN_COUNT = 2         # n-grams (n > 1) seen less often back off
 ALPHA = 0.4
 VOCAB_BITS = 20
 UNIT = 10 ** 9         # integer parts of a nat
-FLUSH = 2_000_000     # tokens packed together in a task
-PER_BUCKET = 4_000_000  # tokens a bucket is made for
+FLUSH = 1_000_000     # tokens packed together in a task
+PER_BUCKET = 1_000_000  # tokens a bucket is made for
 MEMO_WORDS = 400_000
 _MIX = 0x9E3779B97F4A7C15
 
