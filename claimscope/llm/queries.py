@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.llm import bpe, imi, langid, license, lm, packing, pii, quality, simhash, warc
 from claimscope.llm.common import table
+from claimscope.llm.oracle import ORACLE  # noqa: F401  (part of the registration)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,5 +59,3 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op5_boosted_pii, op6_license_compression, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
 )}
-
-ORACLE: dict[str, str] = {}

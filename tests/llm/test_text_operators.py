@@ -166,3 +166,15 @@ def test_labels_agree(spark):
     r = got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"), F.avg((F.col("kept") | F.col("base_failed")).cast("double")).alias("ok"))
     by = {x.quality: x for x in r.collect()}
     assert by[1].ok >= 0.99 and by[0].kept <= 0.05
+
+
+# --- DuckDB twins --------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["op8_line_first_quality", "op9_warc_salvage"])
+def test_twins(spark, duck, name):
+    from __spark_entry__ import oracle_sql
+    from tests.test_oracle import norm
+    df = QUERIES[name](spark, SF_SMALL)
+    cur = duck.execute(oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    assert norm(df.columns, [tuple(r) for r in df.collect()]) == norm(cols, cur.fetchall())
