@@ -40,7 +40,7 @@ SAMPLE_ROWS = 8000    # ... and of all languages together
 MAX_LANGS = 200       # languages learned: the most frequent ones
 SAMPLE_SUBWORDS = 2000  # distinct buckets kept per sampled row, most frequent first
 EPOCHS, RATE = 12, 0.5
-MAX_ERROR, MIN_SCORE = 0.01, 0.5
+MAX_ERROR, MIN_SCORE = 0.05, 0.4
 UND = "und"
 MEMO_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -207,11 +207,13 @@ def _softmax(z):
 _PREDICTORS: dict[str, Predictor] = {}
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, lang_pred, score, rejected)`` of every whole text."""
+def predict(df: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` with ``lang_pred, score, rejected`` of every whole
+    text; the text itself may be among them."""
     import uuid
     tag, shared = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(model)
-    schema = f"`{key}` {dict(df.dtypes)[key]}, lang_pred string, score double, rejected boolean"
+    kinds, sent = dict(df.dtypes), list(dict.fromkeys([*carry, text]))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches):
         if tag not in _PREDICTORS:
@@ -219,17 +221,17 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             _PREDICTORS[tag] = shared.value.predictor()
         p, limit = _PREDICTORS[tag], shared.value.threshold
         for batch in batches:
-            got = [p.predict(t.as_py()) for t in batch.column(1)]
+            got = [p.predict(t.as_py()) for t in batch.column(sent.index(text))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                [*(batch.column(i) for i in range(len(carry))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[0] == UND or g[1] < limit for g in got], pa.bool_())],
-                names=[key, "lang_pred", "score", "rejected"])
+                names=[*carry, "lang_pred", "score", "rejected"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(sent).mapInArrow(run, schema)
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
              per_lang: int = PER_LANG) -> DataFrame:
     """Train on the rows that are not held out, predict all rows."""
     model = train(df.where(~held_out(key)), key, text, label, per_lang)
-    return predict(df, model, key, text).select(key, held_out(key).alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(df, model, text, (key,)).select(key, held_out(key).alias("held_out"), "lang_pred", "score", "rejected")
