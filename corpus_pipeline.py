@@ -32,9 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = docs.select(COLUMNS)
     model = langid.train(docs.where(~langid.held_out()))
-    # The whole row travels with its text, so the decision needs no join.
-    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
-    return langid.predict(rows, model, "row").where("not rejected").select("row.*")
+    # The columns travel with the text, so the decision needs no join.
+    return langid.predict(docs, model, carry=tuple(COLUMNS)).where("not rejected").select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
