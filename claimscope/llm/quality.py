@@ -101,21 +101,18 @@ def line_fails(line: Column) -> Column:
     return let(n, lambda c: (c > 0) & rules(c))
 
 
-def line_loss(text: Column) -> Column:
-    """Share of the characters that failing lines take."""
+def clean_lines(text: Column) -> Column:
+    """Struct of ``loss``, the share of the characters that failing lines
+    take, and ``cleaned``, the text without them; each line is judged once."""
     size = lambda a: total(F.transform(a, lambda x: F.length(x).cast("long")))
-    return let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda a: F.coalesce(F.try_divide(size(F.filter(a, line_fails)), size(a)), F.lit(0.0)))
-
-
-def cleaned_text(text: Column) -> Column:
-    """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
+    return let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda a: let(F.filter(a, lambda x: ~line_fails(x)), lambda good: F.struct(
+        F.coalesce(F.try_divide(size(a) - size(good), size(a)), F.lit(0.0)).alias("loss"),
+        F.when(text.isNotNull(), F.array_join(good, "\n")).alias("cleaned"))))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, base counts, base_failed, loss, kept, cleaned)``."""
-    out = df.select(F.col(key), base_counts(F.col(text)).alias("__c"), line_loss(F.col(text)).alias("loss"),
-                    cleaned_text(F.col(text)).alias("cleaned"))
+    out = df.select(F.col(key), base_counts(F.col(text)).alias("__c"), clean_lines(F.col(text)).alias("__l"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return (out.select(key, "__c.*", "loss", "cleaned").withColumn("base_failed", failed)
+    return (out.select(key, "__c.*", "__l.*").withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= MAX_LOSS)))
