@@ -39,7 +39,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass, without their failing lines."""
     judged = quality.judge(docs.select(F.struct(*COLUMNS).alias("row"), "text"), "row")
-    return judged.where("kept").select(
+    # A filter would be pushed below the projection and judge every text again;
+    # taking the kept rows out of an array is evaluated once.
+    kept = judged.select(F.explode(F.filter(F.array(F.struct("row", "cleaned", "kept")), lambda x: x.kept)).alias("j"))
+    kept = kept.select("j.row", "j.cleaned")
+    return kept.select(
         "row.doc_id", F.col("cleaned").alias("text"), "row.lang", "row.source",
         F.when(F.col("cleaned") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("cleaned")).cast("long").alias("n_chars"))
 
