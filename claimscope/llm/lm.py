@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores, computed relationally (operator 1).
 
-Model.  Words are split at ASCII white space, A-Z lower-cased.  The
-vocabulary holds every word with at least ``2 ** -VOCAB_BITS`` of all tokens
-(so it has at most ``2 ** VOCAB_BITS`` words at any corpus size) and two
-occurrences; the others are the unknown word, whose count is theirs together.
+Model.  Words are split at ASCII white space, A-Z lower-cased, and every word
+keeps its own count.  A caller who passes ``bits`` asks for a bounded
+vocabulary instead: the words with ``2 ** -bits`` of all tokens and two
+occurrences, the others counted together as the unknown word.
 n-grams seen ``min_count`` times or more score ``log c(n-gram) - log
 c(prefix)``, others back off to the shorter n-gram at ``log ALPHA``; the
 unigram score is ``log c(word) - log N``.  All counts are over all documents.
@@ -19,12 +19,17 @@ one:
 exploded n-grams with a count table, summed per document:
 
 1. word counts: map-side sums, then an aggregate on the word's hash;
-2. n-gram counts: map-side sums, dealt to hash buckets, summed there;
-3. n-grams with ``2 ** -VOCAB_BITS`` of all tokens or more (at most
+2. n-gram counts: map-side sums, dealt to hash buckets, summed there; the
+   counts of their words come by a join on the word's hash;
+3. words and n-grams with ``2 ** -VOCAB_BITS`` of all tokens or more (at most
    ``2 ** VOCAB_BITS``) are broadcast and summed where the document is read,
-   so a hot n-gram never meets in one bucket;
-4. the rest of the exploded n-grams go to their bucket, are joined to its
-   count table there, and partial sums per document come back.
+   so a hot one never meets in one bucket;
+4. the rest of the words and exploded n-grams go to their bucket, are joined
+   to its count table there, and partial sums per document come back.
+
+A broadcast word is known by its place in the broadcast, any other by a 63-bit
+hash, and so is every n-gram; two of a billion keys meet with a probability
+of some per cent, and then share a count.
 
 n-grams travel as packed arrays (one row for a bucket and a few thousand
 documents), which keeps the shuffle near 8 bytes an n-gram.  Sums are in
@@ -56,7 +61,9 @@ UNIT = 10 ** 9         # integer parts of a nat
 FLUSH = 1_000_000     # tokens packed together in a task
 PER_BUCKET = 1_000_000  # tokens a bucket is made for
 MEMO_WORDS = 400_000
+RARE_MEMO = 100_000   # words that are not broadcast and yet memoised by a task
 _MIX = 0x9E3779B97F4A7C15
+_TOP = 1 << 63         # set in the hash of a word and of an n-gram: as a long it is negative
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -71,7 +78,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
         own: Counter = Counter()
 
         def rows():
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), np.uint64, len(own))
+            h = np.fromiter((xxhash.xxh64_intdigest(w) | _TOP for w in own), np.uint64, len(own))
             out = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(own.values()), pa.int64())], names=["h", "c"])
             own.clear()
             return out
@@ -87,14 +94,16 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Sorted word hashes; word id = place + 1, 0 is the unknown word."""
+    """Sorted hashes of the broadcast words; word id = place + 1.  Any other
+    word is its own hash or, if the vocabulary is bounded, 0, the unknown word."""
 
-    def __init__(self, hashes, counts, total: int):
+    def __init__(self, hashes, counts, total: int, bounded: bool):
         import numpy as np
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.counts = np.concatenate([[max(1, total - int(counts.sum()))], counts[order]])
-        self.total = total
+        # Without an unknown word id 0 stands for words summed elsewhere: log 1.
+        self.counts = np.concatenate([[max(1, total - int(counts.sum())) if bounded else max(1, total)], counts[order]])
+        self.total, self.bounded = total, bounded
 
     def logs(self):
         import numpy as np
@@ -106,20 +115,26 @@ class Vocabulary:
 
 
 class WordIds(dict):
-    """word -> id.  Known words are memoised (at most as many as the
-    vocabulary has); an unknown word costs a hash and a look-up each time."""
+    """word -> id.  Broadcast words are memoised (at most as many as there
+    are), and some of the others at a time."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         import numpy as np
         import xxhash
-        self.hash, self.np = xxhash.xxh64_intdigest, np
+        self.hash, self.np, self.bounded = xxhash.xxh64_intdigest, np, vocab.bounded
         self.ids = dict(zip(vocab.hashes.view(np.uint64).tolist(), range(1, len(vocab.hashes) + 1)))
 
     def __missing__(self, word: bytes) -> int:
-        out = self.ids.get(self.hash(word), 0)
-        if out:
-            self[word] = out
+        h = self.hash(word) | _TOP
+        out = self.ids.get(h, 0)
+        if not out:
+            if self.bounded:
+                return 0
+            out = h - (1 << 64)
+            if len(self) > len(self.ids) + RARE_MEMO:
+                self.clear()
+        self[word] = out
         return out
 
     def of(self, text: bytes | None):
@@ -127,25 +142,41 @@ class WordIds(dict):
         return self.np.fromiter(map(self.__getitem__, words), self.np.int64, len(words))
 
 
-def vocabulary(df: DataFrame, text: str = "text", bits: int = VOCAB_BITS) -> Vocabulary:
+def vocabulary(counts: DataFrame, bits: int | None = None) -> Vocabulary:
     import numpy as np
-    counts = written(word_counts(df, text), "lm-words")
     total = counts.agg(F.sum("c")).first()[0] or 0
-    kept = counts.where(F.col("c") >= max(2, -(-total // (1 << bits)))).toArrow()  # at most 2^bits rows
-    return Vocabulary(kept.column("h").to_numpy().astype(np.int64), kept.column("c").to_numpy().astype(np.int64), total)
+    kept = counts.where(F.col("c") >= _hot(total, bits)).toArrow()  # at most 2^bits rows
+    return Vocabulary(kept.column("h").to_numpy().astype(np.int64), kept.column("c").to_numpy().astype(np.int64), total, bits is not None)
+
 
+def _hot(total: int, bits: int | None) -> int:
+    """Occurrences from which on a word or n-gram is broadcast."""
+    return max(2, -(-total // (1 << (VOCAB_BITS if bits is None else bits))))
 
-def _ngrams(ids, doc, order: int, bits: int):
-    """Keys of the n-grams inside documents, and the document of each;
-    ``ids`` and ``doc`` are the tokens of several documents in a row."""
+
+def _key(ids):
+    """Hash of n-grams given as a list of their id arrays."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        x = ids[0].astype(np.int64).view(np.uint64) + np.uint64(len(ids) << 40)  # 0 alone would stay 0
+        for y in ids[1:]:
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX) + y.astype(np.int64).view(np.uint64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) | np.uint64(_TOP)).view(np.int64)
+
+
+def _ngrams(ids, doc, order: int):
+    """Keys of the n-grams inside documents, and the place of each one's first
+    word; ``ids`` and ``doc`` are the tokens of several documents in a row."""
+    import numpy as np
     n = len(ids) - order + 1
     if n <= 0:
-        return ids[:0], doc[:0]
-    key = ids[:n].copy()
-    for k in range(1, order):
-        key = (key << bits + 1) | ids[k:n + k]
-    same = doc[:n] == doc[order - 1:]
-    return key[same], doc[:n][same]
+        return ids[:0], np.arange(0)
+    at = np.flatnonzero(doc[:n] == doc[order - 1:])
+    return _key([ids[at + k] for k in range(order)]), at
 
 
 def _bucket(key, buckets: int):
@@ -183,80 +214,108 @@ def _packed(o, bucket, arrays):
 
 
 def ngram_counts(df: DataFrame, vocab, order: int, buckets: int, text: str = "text", min_count: int = MIN_COUNT,
-                 bits: int = VOCAB_BITS, flush: int = FLUSH) -> DataFrame:
-    """``(ord, bucket, key, c)``: count table of each order from 2 on."""
+                 flush: int = FLUSH) -> DataFrame:
+    """``(ord, bucket, key, c, pre, suf, mid)``: count table of each order
+    from 2 on, with the keys of the prefix, the suffix and what they share."""
     def pack(batches):
         import numpy as np
         words = WordIds(vocab.value)
         for _, lengths, ids in _flushes(batches, words, flush):
             doc = np.repeat(np.arange(len(lengths)), lengths)
             for o in range(2, order + 1):
-                key, c = np.unique(_ngrams(ids, doc, o, bits)[0], return_counts=True)
-                yield _packed(o, _bucket(key, buckets), [key.astype("<i8"), c.astype("<u4")])
+                key, at = _ngrams(ids, doc, o)
+                key, first, c = np.unique(key, return_index=True, return_counts=True)
+                own = np.stack([ids[at[first] + k] for k in range(o)], 1) if len(key) else np.empty((0, o), np.int64)
+                yield _packed(o, _bucket(key, buckets), [own.astype("<i8"), c.astype("<u4")])
 
     def add(group: pa.Table) -> pa.Table:
         import numpy as np
-        key = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<i8")
+        o = group.column("ord")[0].as_py()
+        ids = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<i8").reshape(-1, o)
         c = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
+        key = _key([ids[:, k] for k in range(o)])
         at = np.argsort(key)
         key, starts = np.unique(key[at], return_index=True)
         c = np.add.reduceat(c[at], starts) if len(key) else c
         ok = c >= min_count
         n = int(ok.sum())
-        return pa.table({"ord": pa.array([group.column("ord")[0].as_py()] * n, pa.int32()),
+        ids = ids[at[starts[ok]]]
+        if o == 2:
+            pre, suf, mid = ids[:, 0], ids[:, 1], np.zeros(n, np.int64)
+        else:
+            pre, suf, mid = _key([ids[:, 0], ids[:, 1]]), _key([ids[:, 1], ids[:, 2]]), ids[:, 1]
+        return pa.table({"ord": pa.array([o] * n, pa.int32()),
                          "bucket": pa.array([group.column("bucket")[0].as_py()] * n, pa.int32()),
-                         "key": pa.array(key[ok]), "c": pa.array(c[ok])})
+                         "key": pa.array(key[ok]), "c": pa.array(c[ok]), "pre": pa.array(pre), "suf": pa.array(suf), "mid": pa.array(mid)})
 
     packed = (df.select(F.lit(None).cast("int").alias("k"), F.col(text).cast("binary").alias("t"))
               .mapInArrow(pack, "ord int, bucket int, keys binary, counts binary"))
-    return packed.groupBy("ord", "bucket").applyInArrow(add, "ord int, bucket int, key long, c long")
+    return packed.groupBy("ord", "bucket").applyInArrow(add, "ord int, bucket int, key long, c long, pre long, suf long, mid long")
 
 
-def values(counts: DataFrame, vocab, order: int, bits: int = VOCAB_BITS) -> DataFrame:
+def values(counts: DataFrame, words: DataFrame, vocab, order: int, buckets: int) -> DataFrame:
     """``(ord, bucket, key, c, v)``: what each known n-gram adds to the score
-    of a document that backs off."""
-    shift, mask = bits + 1, (1 << bits + 1) - 1
-
+    of a document that backs off, and the unigram score of each word that is
+    not broadcast (order 1)."""
     def run(batches):
         import numpy as np
         logs, total = vocab.value.logs(), np.log(max(1, vocab.value.total))
         for batch in batches:
-            o, key, c, pre, suf = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4, 5))
-            # order 2: prefix and suffix are words, the middle is empty (N);
-            # order 3: their counts were joined, the middle is a word
-            two = o == 2
-            lp = np.where(two, logs[np.where(two, key >> shift, 0)], np.log(np.maximum(pre, 1)))
-            ls = np.where(two, logs[np.where(two, key & mask, 0)], np.log(np.maximum(suf, 1)))
-            mid = np.where(two, total, logs[np.where(two, 0, (key >> shift) & mask)])
+            o, key, c = (np.asarray(batch.column(i)) for i in (0, 2, 3))
+            # A word that is broadcast has its count at hand, the others' and
+            # the n-grams' counts were joined.
+            lp, ls, mid = (np.where(i >= 0, logs[np.maximum(i, 0)], np.log(np.maximum(n, 1))) for i, n in (
+                (np.asarray(batch.column(k)), np.asarray(batch.column(k + 3))) for k in (4, 5, 6)))
+            mid = np.where(o == 2, total, mid)  # the empty middle counts N
             v = np.rint((np.log(c) - lp - np.log(ALPHA) - ls + mid) * UNIT).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(v)],
                                              names=["ord", "bucket", "key", "c", "v"])
 
-    two = counts.where("ord = 2").withColumns({"pre": F.lit(0).cast("long"), "suf": F.lit(0).cast("long")})
-    rows = two
+    def alone(batches):
+        import numpy as np
+        total = np.log(max(1, vocab.value.total))
+        for batch in batches:
+            key, c = (np.asarray(x) for x in batch.columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(len(key), np.int32)), pa.array(_bucket(key, buckets).astype(np.int32)), *batch.columns,
+                 pa.array(np.rint((np.log(c) - total) * UNIT).astype(np.int64))], names=["ord", "bucket", "key", "c", "v"])
+
+    schema, bounded = "ord int, bucket int, key long, c long, v long", vocab.value.bounded
+    known = words.limit(0) if bounded else words
     if order >= 3:
-        three = counts.where("ord = 3").withColumns({"__p": F.shiftright("key", shift), "__s": F.col("key").bitwiseAND((1 << 2 * shift) - 1)})
-        lower = counts.where("ord = 2")
-        three = (three.join(lower.select(F.col("key").alias("__p"), F.col("c").alias("pre")), "__p")
-                 .join(lower.select(F.col("key").alias("__s"), F.col("c").alias("suf")), "__s"))
-        rows = two.union(three.select(two.columns))
-    return rows.select("ord", "bucket", "key", "c", "pre", "suf").mapInArrow(run, "ord int, bucket int, key long, c long, v long")
+        known = known.union(counts.where("ord = 2").select("key", "c"))
+    rows = counts
+    for x in ("pre", "suf", "mid"):
+        if (bounded and order == 2) or (x == "mid" and (bounded or order == 2)):
+            rows = rows.withColumn(f"c_{x}", F.lit(0).cast("long"))
+            continue
+        # Rows that ask for nothing take part with a key that matches nothing,
+        # their own, and so do not meet in one task.
+        asked = F.when(F.col(x) < 0, F.col(x)).otherwise(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)))
+        have = known.select(F.col(known.columns[0]).alias("__k"), F.col("c").alias(f"c_{x}"))
+        rows = rows.withColumn("__a", asked).join(have, F.col("__a") == F.col("__k"), "left").drop("__a", "__k")
+        rows = rows.withColumn(f"c_{x}", F.coalesce(f"c_{x}", F.lit(0).cast("long")))
+    out = rows.select("ord", "bucket", "key", "c", "pre", "suf", "mid", "c_pre", "c_suf", "c_mid").mapInArrow(run, schema)
+    return out if bounded else out.union(words.mapInArrow(alone, schema))
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER,
-          min_count: int = MIN_COUNT, bits: int = VOCAB_BITS, per_bucket: int = PER_BUCKET, flush_tokens: int = FLUSH) -> DataFrame:
+          min_count: int = MIN_COUNT, bits: int | None = None, per_bucket: int = PER_BUCKET, flush_tokens: int = FLUSH) -> DataFrame:
     """``(key, n_tokens, logprob, mean_logprob)`` for each row; natural logs.
-    ``bits`` bounds the vocabulary and the broadcast n-grams, the other two
-    set the size of a bucket and of a pack."""
+    ``bits`` bounds the vocabulary and the broadcast n-grams (without it every
+    word counts), the other two set the size of a bucket and of a pack."""
     import numpy as np
-    if not 1 <= order <= 3 or min_count < 1 or not 1 <= bits <= 20:
+    if not 1 <= order <= 3 or min_count < 1 or not (bits is None or 1 <= bits <= 20):
         raise ValueError("order is 1 to 3, min_count at least 1, bits 1 to 20")
     sc = df.sparkSession.sparkContext
-    vocab = vocabulary(df, text, bits)
+    counted = written(word_counts(df, text), "lm-words")
+    vocab = vocabulary(counted, bits)
+    limit = _hot(vocab.total, bits)
     shared = sc.broadcast(vocab)
     buckets = max(1, -(-vocab.total // per_bucket))
-    known = written(values(written(ngram_counts(df, shared, order, buckets, text, min_count, bits, flush_tokens), "lm-counts"), shared, order, bits), "lm-values")
-    hot = known.where(F.col("c") >= max(2, -(-vocab.total // (1 << bits)))).select("ord", "key", "v").toArrow()
+    grams = written(ngram_counts(df, shared, order, buckets, text, min_count, flush_tokens), "lm-counts")
+    known = written(values(grams, counted.where(F.col("c") < limit), shared, order, buckets), "lm-values")
+    hot = known.where(F.col("c") >= limit).select("ord", "key", "v").toArrow()
     by_order = {}
     for o in range(2, order + 1):
         mine = hot.column("ord").to_numpy() == o
@@ -273,22 +332,26 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
             doc = np.repeat(np.arange(n), lengths)
             short = np.minimum(lengths, order - 1)  # tokens with fewer words before them
             steps = short * (short - 1) // 2 + (lengths - short) * (order - 1)
-            local = _sum_by(doc, uni[ids], n) + steps * round(float(np.log(ALPHA)) * UNIT)
+            local = _sum_by(doc, uni[np.maximum(ids, 0)], n) + steps * round(float(np.log(ALPHA)) * UNIT)
             packs = []
-            for o in range(2, order + 1):
-                grams, at = _ngrams(ids, doc, o, bits)
-                hot_k, hot_v = table.value[o]
-                if len(hot_k):
-                    place = np.minimum(np.searchsorted(hot_k, grams), len(hot_k) - 1)
-                    is_hot = hot_k[place] == grams
-                    local += _sum_by(at[is_hot], hot_v[place[is_hot]], n)
-                    grams, at = grams[~is_hot], at[~is_hot]
+            for o in range(1, order + 1):
+                if o == 1:
+                    rare = np.flatnonzero(ids < 0)
+                    grams, at = ids[rare], doc[rare]
+                else:
+                    grams, at = _ngrams(ids, doc, o)
+                    at, (hot_k, hot_v) = doc[at], table.value[o]
+                    if len(hot_k):
+                        place = np.minimum(np.searchsorted(hot_k, grams), len(hot_k) - 1)
+                        is_hot = hot_k[place] == grams
+                        local += _sum_by(at[is_hot], hot_v[place[is_hot]], n)
+                        grams, at = grams[~is_hot], at[~is_hot]
                 b = _bucket(grams, buckets)
                 srt = np.argsort(b, kind="stable")
                 names, starts = np.unique(b[srt], return_index=True)
                 for name, s, e in zip(names, starts, np.append(starts[1:], len(srt))):
                     own = srt[s:e]
-                    packs.append((int(name), at[own].astype("<u4").tobytes(), _tagged(grams[own], o).tobytes()))
+                    packs.append((int(name), at[own].astype("<u4").tobytes(), grams[own].astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([flush % buckets] * n, pa.int32()), pa.array([flush] * n, pa.int64()), pa.array(np.arange(n)), _as_array(keys),
                  pa.array(lengths.astype(np.int64)), pa.array(local), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
@@ -308,10 +371,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         plain, packed = asked.filter(is_doc), asked.filter(pa.compute.invert(is_doc))
         if not packed.num_rows or not have.num_rows:
             return plain.select(sums_names)
-        keys = have.column("key").to_numpy().copy()
-        for o in range(2, order + 1):
-            of = np.asarray(have.column("ord")) == o
-            keys[of] = _tagged(keys[of], o)
+        keys = have.column("key").to_numpy()
         at = np.argsort(keys)
         keys, vals = keys[at], np.asarray(have.column("v"))[at]
         docs, sums = [], []
@@ -342,7 +402,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     sums_names = ["flush", "row", "k", "n", "s", "docs", "grams"]
     asked = df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(
         explode, f"bucket int, flush long, row long, k {kind}, n long, s long, docs binary, grams binary")
-    have = known.where(F.col("c") < max(2, -(-vocab.total // (1 << bits)))).select("bucket", "ord", "key", "v")
+    have = known.where(F.col("c") < limit).select("bucket", "key", "v")
     sums = asked.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(
         look_up, f"flush long, row long, k {kind}, n long, s long, docs binary, grams binary")
     out = sums.groupBy("flush").applyInArrow(add_up, f"k {kind}, n_tokens long, s long")
@@ -363,10 +423,5 @@ def _sum_by(group, value, n: int):
     return out
 
 
-def _tagged(keys, order: int):
-    """Keys of order 3 as negative numbers, so that both orders share an array."""
-    return (keys if order == 2 else -keys - 1).astype("<i8")
-
-
 def _as_array(scalars):
     return pa.array([x.as_py() for x in scalars], scalars[0].type)

@@ -58,6 +58,30 @@ def test_backoff_edge_rows(spark):
     assert lm.score(df.where("doc_id = 900003")).first().n_tokens == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_rare_words_keep_their_own_counts(spark, order):
+    # 1.2 million tokens and more: a floor that grows with the corpus would be 2 or more
+    data = [(i, f"the cat sat on rare{i} the cat rare{i} twice") for i in range(300)] + [(1000, "the cat sat on the mat " * 200_000)]
+    data += [(2000 + i, f"only{i} here{i}") for i in range(50)] + [(3000, ""), (3001, "the cat rare7 rare7")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in lm.score(df, order=order, per_bucket=50_000, flush_tokens=20_000).collect()}
+    toks = {i: t.split() for i, t in data}
+    n = sum(map(len, toks.values()))
+    c = {o: collections.Counter(tuple(t[i:i + o]) for t in toks.values() for i in range(len(t) - o + 1)) for o in (1, 2, 3)}
+
+    def s(g):
+        if len(g) == 1:
+            return math.log(c[1][g]) - math.log(n)
+        return math.log(c[len(g)][g]) - math.log(c[len(g) - 1][g[:-1]]) if c[len(g)][g] >= 2 else math.log(lm.ALPHA) + s(g[1:])
+
+    for i, t in toks.items():
+        want = sum(s(tuple(t[max(0, k - order + 1):k + 1])) for k in range(len(t)))
+        assert rows[i].n_tokens == len(t) and abs(rows[i].logprob - want) < 1e-6 * max(1, abs(want))
+    # a text of words that are nowhere else is less likely than any other
+    means = {i: r.mean_logprob for i, r in rows.items() if r.n_tokens}
+    assert max(means[i] for i in range(2000, 2050)) < min(m for i, m in means.items() if not 2000 <= i < 2050)
+
+
 # --- 4: language ID ------------------------------------------------------
 
 def test_language_of_held_out_rows(spark):
