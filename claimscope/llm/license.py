@@ -3,7 +3,8 @@
 Method.  Sentences with a license cue word, joined with near ones, are the
 candidate blocks of a text.  Each block is compressed by zstandard alone and
 once with every template as a raw dictionary; templates are ranked by the
-relative size reduction.  Every template that saves ``MIN_REDUCTION`` or more
+reduction: the bytes saved relative to the template's own compressed size, so
+that the rest of the block does not weigh.  Every template that saves anything
 is then compared word by word: it is confirmed if its words stand in the
 block in order, with at most ``MAX_DIFFS`` of them different, and none of the
 different ones carries the license's name or version.  The differences are
@@ -26,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_REDUCTION = 0.2
 MAX_DIFFS = 0.1
 LEVEL = 3
 NEAR = 1                # sentences without a cue that may lie between two of a block
@@ -111,6 +111,7 @@ class Scanner:
         self.alone = make()
         self.given = [make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
                       for _, t, _ in templates]
+        self.own = [len(self.alone.compress(t.encode())) for _, t, _ in templates]
         self.names = [n for n, _, _ in templates]
         self.words = [[w for w in map(normal, t.split()) if w] for _, t, _ in templates]
         self.fixed = [set(f.split()) for _, _, f in templates]
@@ -120,8 +121,8 @@ class Scanner:
         """``(reduction, template)``, largest reduction first."""
         raw = block.encode()
         size = len(self.alone.compress(raw))
-        found = [(1 - len(c.compress(raw)) / size, i) for i, c in enumerate(self.given)]
-        return sorted(((r, i) for r, i in found if r >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))
+        found = [((size - len(c.compress(raw))) / self.own[i], i) for i, c in enumerate(self.given)]
+        return sorted(((r, i) for r, i in found if r > 0), key=lambda x: (-x[0], x[1]))
 
     def differences(self, template: int, words: list[str]) -> tuple[float, list[str]] | None:
         """Share of the template's words that stand in the block in order, and

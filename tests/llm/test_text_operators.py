@@ -141,6 +141,28 @@ def test_license_wording():
     assert "MIT" in [f[0] for a, b in license.blocks(long) for f in s.scan(long[a:b])]
 
 
+def test_license_notices_among_other_words():
+    s = license.Scanner()
+    names = lambda t: sorted(f[0] for a, b in license.blocks(t) for f in s.scan(t[a:b]))
+    # The Mozilla notice is cut at its "v." before this step.
+    templates = [t for t in license.TEMPLATES if t[0] != "MPL-2.0"]
+    filler = ("after the long review of the northern harbour board every member agreed to print the revised figures beside older "
+              "tables while nobody objected and the clerk wrote down each remark with great care for readers who might later ask "
+              "why so many pages had changed colour during spring").split()
+    for n in (20, 45, 400):
+        words = [f"{w}{i // len(filler) or ''}" for i, w in enumerate(filler * 10)][:n]
+        for name, notice, _ in templates:
+            assert name in names(" ".join(words) + " " + notice[0].lower() + notice[1:]), (n, notice)
+    beside = ("Copyright 2019 The Harbour Authors.\nThis file comes without warranty of any kind.\n"
+              "Write to the licensing desk at the north pier.\n")
+    assert names(beside + "Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    for short in ([t for t in templates if len(t[1]) < 120], templates):
+        for at in range(len(short)):
+            order = short[at:] + short[:at]
+            assert names("\n".join(t for _, t, _ in order)) == sorted({n for n, _, _ in short})
+    assert names("Copyright is not a license, and permission to copy under the law is limited by version.") == []
+
+
 def test_license_edge_rows(spark):
     df = spark.createDataFrame(ODD + [(None, "Released under the MIT License."), (1, "Released under the MIT License.")] * 2,
                                "doc_id long, text string").withColumn("start", F.lit("x"))
