@@ -58,6 +58,7 @@ GENERATORS = (
 OWN_WORDS = {"email": r"mail|contact|write", "ip": r"\bip\b|host|server|address|login", "card": r"card|visa|master|amex|credit|payment",
              "phone": r"phone|tel|call|mobile|fax|cell|whatsapp"}
 OTHER_WORDS = r"version|isbn|issn|order|invoice|serial|part no|article|release|build|section|chapter|doi|ref\b|#$"
+WRITTEN_OUT = r" ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?"  # the dots of written-out addresses
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -102,7 +103,7 @@ def spans(text: Column, kind: str, pattern: str, need: str, base: bool) -> Colum
         ok = checks(kind, m)
         # A base candidate of valid emails needs a failing side to learn from:
         # a last label that is no top-level domain.
-        sound = ok & m.rlike(r"\.[A-Za-z]{2,}$") if kind == "email" else ok
+        sound = ok & F.regexp_replace(m, WRITTEN_OUT, ".").rlike(r"\.[A-Za-z]{2,}$") if kind == "email" else ok
         return let(features(kind, m, sound, before, after), lambda code: F.struct(
             start.cast("long").alias("start"), (start + F.length(m)).cast("long").alias("end"), ok.alias("ok"), code.alias("code")))
 

@@ -75,3 +75,17 @@ def test_trees_learn_and_calibrate():
     model = pii.calibrate(rows, pii.boost(rows))
     assert model[3][0b00101111] >= 0.9 > model[3][0b00101110] and all(0 <= p <= 1 for k in model for p in k)
     assert max(model[2]) < 0.9 or model[2][0] < 0.5
+
+
+def test_every_added_generator_yields_spans(spark):
+    model = pii.fit(docs(spark))
+    samples = [("email", "joe [at] mail [dot] com"), ("email", "joe(at)mail(dot)co(dot)uk"), ("email", "joe {at} mail {dot} com"),
+               ("email", "joe [at] mail . com"), ("ip", "2001:db8:0:0:0:0:0:1"), ("card", "4111.1111.1111.1111"),
+               ("phone", "(988) 555-2485"), ("phone", "0041 44 668 18 00")]
+    df = spark.createDataFrame([(i, f"Reach us: {s} today") for i, (_, s) in enumerate(samples)] + [(99, "left [at] noon [dot] 7")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(df, model).select("doc_id", "spans", pii.candidates(F.col("text")).alias("c")).collect()}
+    hit = set()
+    for i, (kind, s) in enumerate(samples):
+        assert [(pii.KINDS[x.kind], x.start, x.end) for x in rows[i].spans] == [(kind, 10, 10 + len(s))], s
+        hit |= {g for g, (_, _, _, base) in enumerate(pii.GENERATORS) if not base and rows[i].c[f"g{g}"]}
+    assert hit == {g for g, x in enumerate(pii.GENERATORS) if not x[3]} and rows[99].spans == []
