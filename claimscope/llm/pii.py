@@ -159,8 +159,8 @@ def cells(df: DataFrame, text: str = "text") -> list[tuple[int, int, float, floa
 
 def boost(rows: list[tuple[int, int, float, float]]) -> list[list[float]]:
     """Boosted depth-two trees on the counted cells; the raw score of every
-    possible cell, ``[kind][code]``.  The label bit itself is hidden from the
-    trees except as the feature 'checks' of candidates without a label."""
+    possible cell, ``[kind][code]``.  The label of the cells of ``fit`` is the
+    feature 'checks', which the trees may split on."""
     width = len(FEATURES)
     bit = lambda k, code, f: (code >> f & 1) if f < width else int(k == f - width)
     data = [(k, c, p, q + PRIOR * 0.01) for k, c, p, q in rows]
