@@ -37,8 +37,8 @@ NAV_WORDS = 3
 MAX_SYMBOLS = 0.2
 MAX_LOSS = 0.5
 SYMBOLS = "#*$%&|<>"
-CLOSING = r"""[.!?…:;,"'”’»)\]]\s*$"""
-SENTENCE = r"[.!?…]\s"
+CLOSING = r"""[.!?…।॥؟۔።။。！？｡：；，、؛،:;,"'”’»)」』）\]]\s*$"""
+SENTENCE = r"[.!?…।॥؟۔።။]\s|[。！？｡]"
 BOILERPLATE = ("all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use",
                "terms of service", "enable javascript", "skip to content", "subscribe to our newsletter",
                "click here to", "log in to your account")

@@ -206,6 +206,18 @@ def test_line_rules(spark):
     assert not got[3].kept and not got[4].kept
 
 
+def test_sentence_marks_of_other_scripts(spark):
+    ends = {1: "।", 2: "॥", 3: "؟", 4: "۔", 5: "።", 6: "။", 7: "。", 8: "！"}
+    inside = {10 + i: "\n".join(f"शब्द{k} पाठ{k} वाक्य{k}{e} और नया{k} शीर्षक{k}" for k in range(15)) for i, e in ends.items()}
+    words = {i: "\n".join(f"शब्द{k} पाठ{k} वाक्य{k} नया{k} अंत{k}{e}" for k in range(15)) for i, e in ends.items()}
+    open_ended = {99: "\n".join(f"शब्द{k} पाठ{k} वाक्य{k} नया{k} अंत{k}" for k in range(15))}
+    df = spark.createDataFrame(list({**words, **inside, **open_ended}.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    for i, t in {**words, **inside}.items():
+        assert got[i].kept and got[i].loss == 0 and got[i].cleaned == t, i
+    assert not got[99].kept
+
+
 def test_labels_agree(spark):
     sf = SF_SMALL.replace("0.001", "0.01")
     got = QUERIES["op8_line_first_quality"](spark, sf).join(table(spark, sf, "labels"), "doc_id")
