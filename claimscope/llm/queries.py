@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimscope.llm import bpe, imi, langid, license, lm, packing, pii, quality, simhash, warc
+from claimscope.llm import bpe, hardneg, imi, langid, license, lm, packing, pii, quality, simhash, warc
 from claimscope.llm.common import table
 from claimscope.llm.oracle import ORACLE  # noqa: F401  (part of the registration)
 
@@ -56,6 +57,12 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op11_kronecker_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op5_boosted_pii, op6_license_compression, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
+    op11_kronecker_hard_negatives,
 )}
