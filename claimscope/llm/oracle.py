@@ -99,4 +99,11 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
     "op12_four_russians_repair": _repair(),
+    "op13_difference_cover_dedup": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(ws) - 48)) AS u(i)),
+r AS (SELECT rid, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM r),
+w AS (SELECT rid, p, ws[p] AS word FROM d, unnest(range(1, len(ws) + 1)) AS u(p)),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM w ANTI JOIN c USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import bpe, conversations, hardneg, imi, langid, license, lm, packing, pii, quality, simhash, warc
+from claimscope.llm import bpe, conversations, hardneg, imi, langid, license, lm, packing, pii, quality, simhash, substring, warc
 from claimscope.llm.common import table
 from claimscope.llm.oracle import ORACLE  # noqa: F401  (part of the registration)
 
@@ -66,7 +66,11 @@ def op12_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), lost=F.col("lost"))
 
 
+def op13_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_backoff_lm, op2_concat_cut_packing, op3_multi_index_embeddings, op4_subword_langid, op5_boosted_pii, op6_license_compression, op7_gph_simhash, op8_line_first_quality, op9_warc_salvage, op10_forced_boundary_bpe,
-    op11_kronecker_hard_negatives, op12_four_russians_repair,
+    op11_kronecker_hard_negatives, op12_four_russians_repair, op13_difference_cover_dedup,
 )}
