@@ -1,8 +1,8 @@
 """Fraud rules, scores and roll-ups.
 
-The rule score (R4) joins per-key counts back to the lines instead of using
-windows: a group-by pre-aggregates map-side and a hot key (one member with a
-third of the lines) becomes a single row on the small side of the join,
+The rule score (R4) joins the keys whose rules fire back to the lines instead
+of using windows: a group-by pre-aggregates map-side and a hot key (one member
+with a third of the lines) becomes a single row on the small side of the join,
 where AQE's skew-join handling can split the big side.  One-row cut points
 (IQR fence, the quantity percentile) are broadcast.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from claimscope import definitions as D
 from claimscope.operators.filters import date_range, equals_or_all, risk_level
 from claimscope.operators.stats import age_years
-from claimscope.plans.distributed import null_safe_join, quantile_row
+from claimscope.plans.distributed import quantile_row
 from claimscope.plans.stored import cut
 
 MONEY = "decimal(22,2)"
@@ -84,16 +84,16 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
     5. amount above ``amount_factor`` x the diagnosis' mean amount.
     With ``threshold``, ``fraud_flag`` marks ``score >= threshold``.  Every
     line comes back; a rule whose input or key is null does not fire.  The
-    member-diagnosis-month counts are written when this is called.
+    counts per member, diagnosis and month are written when this is called;
+    the lines meet only the claims and keys whose rules fire.
     """
     w = dict(D.RULE_WEIGHTS if weights is None else weights)
-    month = F.date_trunc("month", F.col(DATE)).cast("date")
-    base = df.withColumn("__mon", month)
-
+    base = df.withColumn("__mon", F.date_trunc("month", F.col(DATE)).cast("date"))
     totals = base.groupBy("claim_ce").agg(F.sum("amount").alias("__claim_total"))
     fence = F.broadcast(quantile_row(totals, "__claim_total", {"__q1": 0.25, "__q3": 0.75})
-                        .select((F.col("__q3") + F.lit(iqr_k) * (F.col("__q3") - F.col("__q1")))
-                                .alias("__fence")))
+                        .select((F.col("__q3") + F.lit(iqr_k) * (F.col("__q3") - F.col("__q1"))).alias("__fence")))
+    over = (totals.where(F.col("claim_ce").isNotNull()).crossJoin(fence)
+            .where(F.col("__claim_total").cast("double") > F.col("__fence")).select("claim_ce", F.lit(True).alias("__over")))
     q99 = F.broadcast(quantile_row(base, "quantity", {"__qp": qty_pct}))
     # One narrow pre-aggregate per (member, diagnosis, month) feeds three
     # rules: its own count (repeats), the member-month line count (sum over
@@ -102,23 +102,24 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
     mdm = cut(base.groupBy("claim_me", "icd10_code", "__mon").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("amount").alias("__amt"),
         F.count("amount").alias("__amt_n")), "r04-member-diagnosis-month")
-    member_month = (mdm.where(F.col("claim_me").isNotNull() & F.col("__mon").isNotNull())
-                    .groupBy("claim_me", "__mon").agg(F.sum("__n").alias("__mm_n")))
+    # A null key is no group: its own rule stays silent, the others count on.
+    member = mdm.where(F.col("claim_me").isNotNull() & F.col("__mon").isNotNull())
+    busy = member.groupBy("claim_me", "__mon").agg(F.sum("__n").alias("__mm_n")).where(F.col("__mm_n") > max_lines)
     diag = (mdm.where(F.col("icd10_code").isNotNull()).groupBy("icd10_code")
             .agg((F.sum("__amt").cast("double") / F.sum("__amt_n")).alias("__diag_mean")))
-    whole = F.col("claim_me").isNotNull() & F.col("icd10_code").isNotNull() & F.col("__mon").isNotNull()
-    # A null key is no group: its own rule stays silent, the others count on.
-    keyed = (mdm.join(member_month, ["claim_me", "__mon"], "left").join(diag, "icd10_code", "left")
-             .select("claim_me", "icd10_code", "__mon", F.when(whole, F.col("__n")).alias("__rep_n"),
-                     "__mm_n", "__diag_mean"))
-
-    j = null_safe_join(base.join(totals, "claim_ce", "left"), keyed, ["claim_me", "icd10_code", "__mon"], "left")
-    j = j.crossJoin(fence).crossJoin(q99)
+    # Only keys whose rules fire meet the lines.  Structs are equal where
+    # their fields are, nulls included.
+    key = F.struct("claim_me", "icd10_code", "__mon")
+    repeated = (F.col("__n") > 1) & F.col("icd10_code").isNotNull()
+    fired = (member.join(busy, ["claim_me", "__mon"], "left").where(repeated | F.col("__mm_n").isNotNull())
+             .select(key.alias("__key"), F.coalesce(repeated, F.lit(False)).alias("__repeat"), F.col("__mm_n").isNotNull().alias("__busy")))
+    j = base.join(over, "claim_ce", "left").join(diag, "icd10_code", "left").withColumn("__own", key)
+    j = j.join(fired, F.col("__own") == F.col("__key"), "left").crossJoin(q99)
 
     rules = {
-        "claim_total_outlier": F.col("__claim_total").cast("double") > F.col("__fence"),
-        "member_diagnosis_repeat": F.col("__rep_n") > 1,
-        "member_month_lines": F.col("__mm_n") > max_lines,
+        "claim_total_outlier": F.col("__over"),
+        "member_diagnosis_repeat": F.col("__repeat"),
+        "member_month_lines": F.col("__busy"),
         "quantity_p99": F.col("quantity").cast("double") >= F.col("__qp"),
         "amount_vs_diagnosis_mean": F.col("amount").cast("double") > F.lit(amount_factor) * F.col("__diag_mean"),
     }
@@ -133,7 +134,7 @@ def rule_score(df: DataFrame, max_lines: int = D.RULE_MAX_LINES,
     out = out.withColumn("fraud_score", score.cast(SCORE))
     if threshold is not None:
         out = out.withColumn("fraud_flag", F.col("fraud_score") >= F.lit(threshold).cast(SCORE))
-    return out.drop("__mon", "__claim_total", "__rep_n", "__mm_n", "__diag_mean", "__fence", "__qp")
+    return out.select(*df.columns, *[f"rule_{name}" for name in rules], "fraud_score", *(["fraud_flag"] if threshold is not None else []))
 
 
 # ---------------------------------------------------------------- R5 - R9
@@ -292,7 +293,7 @@ def with_review_status(scored: DataFrame, decisions: DataFrame | None) -> DataFr
 
 def potential_cases(scored: DataFrame, decisions: DataFrame | None = None, start=None,
                     end=None, level: str | None = None, provider: str | None = None) -> DataFrame:
-    """Filtered scored lines with review status, score desc."""
+    """Filtered scored lines with review status (the caller orders)."""
     s = date_range(scored, start, end)
     if level and level.lower() != "all":
         s = s.where(risk_level("fraud_score") == level)
@@ -302,21 +303,6 @@ def potential_cases(scored: DataFrame, decisions: DataFrame | None = None, start
                     F.col("prov_name").alias("provider_name"), "amount", "fraud_score", "status")
 
 
-def derived_decisions(scored: DataFrame, threshold: float) -> DataFrame:
-    """A decisions table derived from a scoring run, for tests and the
-    registry: every flagged line is 'Flagged' on its service date; lines
-    with quantity >= 45 are also 'Approved' a week later."""
-    flagged = scored.where(_flag(threshold))
-    first = flagged.select(F.lit(1).cast("long").alias("decision_id"), "line_id",
-                           F.lit("Flagged").alias("status"),
-                           F.col(DATE).cast("timestamp").alias("decided_at"))
-    second = (flagged.where(F.col("quantity") >= 45)
-              .select(F.lit(2).cast("long").alias("decision_id"), "line_id",
-                      F.lit("Approved").alias("status"),
-                      F.date_add(DATE, 7).cast("timestamp").alias("decided_at")))
-    return first.unionByName(second)
-
-
 def monthly_fraud_trend(scored: DataFrame, threshold: float) -> DataFrame:
     """Per month the flagged cases and amount."""
     return (scored.groupBy(F.date_trunc("month", F.col(DATE)).cast("date").alias("month"))

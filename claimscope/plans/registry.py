@@ -65,17 +65,32 @@ def score_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str, month: bool = False) -> DataFrame:
-    """One scoring run (R4) per application and parameter set, stored by
-    service month; the fraud pages aggregate the stored run (score once, read
-    many).  ``month`` adds the partition column for the date filters."""
+    """One scoring run (R4) per parameter set and source, stored by service
+    month; the fraud pages aggregate the stored run (score once, read many).  ``month`` adds the partition column for the date filters."""
     from claimscope.plans.stored import data_key, stored
     from claimscope.sources.csv_import import write_claims
     key = (f"scored|{data_key(sf)}|{D.TEST_RULE_MAX_LINES}|{D.TEST_RULE_AMOUNT_FACTOR}"
            f"|{THRESHOLD}|{_NULLS.get()}")
-    out = stored(spark, key, lambda: score_fresh(spark, sf), write_claims)
+    out = stored(spark, key, lambda: score_fresh(spark, sf), write_claims, T.claim_sources(sf))
     return out if month else out.drop("claim_month")
 
 
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table of review decisions, made for the test data (FIXTURES.md):
+    every flagged line is 'Flagged' on its service date; lines with quantity
+    >= 45 are also 'Approved' a week later."""
+    from claimscope.plans.stored import data_key, stored
+
+    def build() -> DataFrame:
+        flagged = Fl.score_at_least(scored(spark, sf), THRESHOLD).select("line_id", "quantity", "claim_prov_date")
+        row = lambda n, status, day: F.struct(F.lit(n).cast("long").alias("decision_id"), F.lit(status).alias("status"), day.cast("timestamp").alias("decided_at"))
+        both = F.array(row(1, "Flagged", F.col("claim_prov_date")), row(2, "Approved", F.date_add("claim_prov_date", 7)))
+        return flagged.select("line_id", F.explode(F.when(F.col("quantity") >= 45, both).otherwise(F.slice(both, 1, 1))).alias("d")).select("line_id", "d.*")
+
+    key = f"decisions|{data_key(sf)}|{THRESHOLD}|{_NULLS.get()}"
+    return stored(spark, key, build, sources=T.claim_sources(sf))
+
+
 # ------------------------------------------------------------------ slice
 @q("flagship_monthly_by_benefit_12m")
 def _flagship(spark, sf):
@@ -775,15 +790,13 @@ def _r20d(spark, sf):
 
 @q("r21_potential_cases")
 def _r21(spark, sf):
-    s = scored(spark, sf)
-    return R.potential_cases(scored(spark, sf, month=True), R.derived_decisions(s, THRESHOLD), start="1996-01-01",
+    return R.potential_cases(scored(spark, sf, month=True), decisions(spark, sf), start="1996-01-01",
                              end="2000-12-31", level="Medium").orderBy(*R.high_risk_order())
 
 
 @q("r22_review_status")
 def _r22(spark, sf):
-    s = scored(spark, sf)
-    return R.with_review_status(s, R.derived_decisions(s, THRESHOLD)).groupBy("status").agg(
+    return R.with_review_status(scored(spark, sf), decisions(spark, sf)).groupBy("status").agg(
         F.count(F.lit(1)).alias("line_count"))
 
 

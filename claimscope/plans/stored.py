@@ -1,23 +1,26 @@
-"""Derived tables written once per Spark application.
+"""Derived tables written once and read by every later query.
 
 The dashboard imports its claims once and scores them once per run, then
 answers every page from the stored result.  ``stored`` does the same: the
-first caller builds the DataFrame and writes it as parquet into the shared
-checkpoint folder (``spark.checkpoint.dir``); later callers read it.  The
-write also cuts the lineage, so a lost executor re-reads files instead of
-recomputing joins.
+first caller builds the DataFrame and writes it as parquet below the shared
+folder (``spark.checkpoint.dir``); later callers read it, those of later
+applications too, as long as the source files and the building code are the
+same (see :mod:`claimscope.plans.versions`).  The write also cuts the lineage,
+so a lost executor re-reads files instead of recomputing joins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.session import scratch_path
+from claimscope.plans.versions import kept, source_state
+from claimscope.session import scratch_path, shared_root
 
 _TABLES: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
 _LOCK = threading.RLock()  # builders may call stored() for their inputs
@@ -38,20 +41,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _code() -> str:
+    """Fingerprint of the modules that decide what a stored table holds."""
+    from claimscope import definitions
+    from claimscope.operators import fraud
+    from claimscope.plans import distributed, registry
+    from claimscope.sources import csv_import, tables
+    text = "".join(inspect.getsource(m) for m in (definitions, fraud, distributed, registry, csv_import, tables))
+    return hashlib.sha1(text.encode()).hexdigest()
+
+
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame],
-           write: Callable[[DataFrame, str], object] | None = None) -> DataFrame:
-    """Build-and-write once per (application, key), then read; the reader is
-    kept, so its folders are listed once."""
+           write: Callable[[DataFrame, str], object] | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """The table ``key``, written if no application has done so from the same
+    files (``sources``) by the same code; a reader is kept per session, so its
+    folders are listed once."""
     app = spark.sparkContext.applicationId
     with _LOCK:
         found = _TABLES.get((app, key))
         if found is None or found[0] is not spark:
-            path = scratch_path(spark, f"stored-{hashlib.sha1(f'{app}|{key}'.encode()).hexdigest()[:16]}")
-            if found is None:
-                df = build()
-                if write is None:
-                    df.write.mode("overwrite").parquet(path)
-                else:
-                    write(df, path)
-            found = _TABLES[(app, key)] = (spark, spark.read.parquet(path))
+            root = f"{shared_root(spark)}/tables/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+            made_of = f"{source_state(spark, sources)}|{_code()}" if sources else app
+            found = _TABLES[(app, key)] = (spark, kept(spark, root, made_of, build, write))
     return found[1]

@@ -62,3 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables (lineage cuts, exports in tests)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of tables that outlive the application: below the configured
+    ``spark.checkpoint.dir`` itself, not the subfolder that Spark makes in it
+    for each application."""
+    own = ensure_checkpoint_dir(spark).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or own.rsplit("/", 1)[0]
+    return f"{base.rstrip('/')}/claimscope"

@@ -81,19 +81,18 @@ def import_claims(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
     return typed_claims(raw), rejects
 
 
-def write_claims(df: DataFrame, path: str, pieces: int = 8) -> str:
+def write_claims(df: DataFrame, path: str) -> str:
     """S3: full replace of the claims table, partitioned by service month so
     that date filters open only their months' folders.
 
-    Rows are dealt by (month, one of ``pieces`` hashes of the row), which
-    needs no sampling pass over the input, gives ``pieces`` files a month and
-    spreads a month that holds a large share of all lines.  Inside a file rows
-    are sorted by date, so row-group statistics skip too.
+    Rows are dealt by month with the ``rebalance`` hint: AQE splits a month
+    into as many tasks and files as its bytes ask for
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), also one that holds
+    a large share of all lines, and puts small months together in a task.
+    Inside a file rows are sorted by date, so row-group statistics skip too.
     """
     dated = df.withColumn("claim_month", F.date_format("claim_prov_date", "yyyy-MM"))
-    own = [F.col("line_id")] if "line_id" in df.columns else [F.col(c) for c in df.columns]
-    (dated.repartition("claim_month", F.pmod(F.xxhash64(*own), F.lit(pieces)))
-     .sortWithinPartitions("claim_month", "claim_prov_date")
+    (dated.hint("rebalance", "claim_month").sortWithinPartitions("claim_month", "claim_prov_date")
      .write.mode("overwrite").partitionBy("claim_month").parquet(path))
     return path
 

@@ -109,15 +109,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+CLAIM_SOURCES = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
+
+
+def claim_sources(sf_dir: str) -> list[str]:
+    """The files that the claims table is made of."""
+    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in CLAIM_SOURCES]
+
+
 def claims_table(spark: SparkSession, sf_dir: str, month: bool = False) -> DataFrame:
-    """The claims table, derived from the given tables once per Spark
-    application and stored (S3: parquet partitioned by service month, rows
-    range-ordered by date) in the shared checkpoint folder; later queries
-    read it like the dashboard reads its stored claims table.  Storing also
-    cuts the seven-table join out of every downstream plan and lineage.
-    ``month`` keeps the partition column ``claim_month``, which the date
-    filters use to skip whole folders."""
+    """The claims table, derived from the given tables and stored (S3: parquet
+    partitioned by service month, rows sorted by date inside a file) below the
+    shared folder; later queries, also of later applications, read it like the
+    dashboard reads its stored claims table.  Storing also cuts the seven-table
+    join out of every downstream plan and lineage.  ``month`` keeps the
+    partition column ``claim_month``, which the date filters use to skip whole
+    folders."""
     from claimscope.plans.stored import data_key, stored
     from claimscope.sources.csv_import import write_claims
     key = "claims|" + data_key(sf_dir)
-    return stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims).select(*CLAIM_COLUMNS, *(["claim_month"] if month else []))
+    out = stored(spark, key, lambda: claims_view(spark, sf_dir), write_claims, claim_sources(sf_dir))
+    return out.select(*CLAIM_COLUMNS, *(["claim_month"] if month else []))
