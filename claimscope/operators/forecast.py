@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope import definitions as D
+from claimscope.operators.linear import grouped_least_squares
 from claimscope.operators.temporal import dense_months, month_index
 from claimscope.plans.distributed import null_safe_join
 
@@ -153,6 +154,32 @@ def ar1_fit(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                                  F.count(F.lit(1)).alias("n"))
 
 
+def arima111(df: DataFrame, keys: Sequence[str] = (), long_lags: int = 3) -> DataFrame:
+    """M2 with the MA term: ARIMA(1,1,1) of every series by the two regressions
+    of Hannan and Rissanen.  A long autoregression (``long_lags`` lags of the
+    differenced month) gives residuals; the difference is then regressed on its
+    own lag and the lagged residual.  Returns ``keys + [ar, ma, intercept, n,
+    next_month, next_amount]``, the last being the one-step forecast of the
+    level.  A series too short or without variation has null coefficients (without
+    ``keys`` and any full row: no row)."""
+    lf = lag_features(df, keys, long_lags)
+    lags = [F.col(f"lag_{k}") for k in range(1, long_lags + 1)]
+    rows = lf.where(F.col(f"lag_{long_lags}").isNotNull())
+    far = grouped_least_squares(rows, keys, [F.lit(1.0), *lags], F.col("x")).select(*keys, "b")
+    guess = F.col("b")[0]
+    for k, lag in enumerate(lags):
+        guess = guess + F.col("b")[k + 1] * lag
+    w = Window.partitionBy(*keys).orderBy("month") if keys else Window.orderBy("month")
+    left = (null_safe_join(lf, far, keys, "left").withColumn("e", F.col("x") - guess).drop("b")
+            .withColumn("e_1", F.lag("e", 1).over(w)))
+    near = grouped_least_squares(left.where(F.col("e_1").isNotNull()), keys, [F.lit(1.0), F.col("lag_1"), F.col("e_1")], F.col("x"))
+    last = left.groupBy(*keys).agg(F.max_by(F.struct("month", "y", "x", "e"), "month").alias("l"))
+    b = F.col("b")
+    step = F.col("l.y") + b[0] + b[1] * F.col("l.x") + b[2] * F.col("l.e")
+    return null_safe_join(last, near, keys, "left").select(*keys, b[1].alias("ar"), b[2].alias("ma"), b[0].alias("intercept"), "n",
+                                                   F.add_months("l.month", 1).alias("next_month"), step.alias("next_amount"))
+
+
 def lag_contributions(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """M8: per month the lag's contribution coef * (x - mean x); for a
     linear model base + contribution = prediction exactly."""

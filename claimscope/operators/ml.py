@@ -1,9 +1,10 @@
-"""Fraud and claims models on ``pyspark.ml`` (L1-L8, M2 pooled, M12, M13).
+"""Fraud and claims models (L1-L8, M2 pooled, M12, M13).
 
-Training, scoring and every metric are distributed: the models are
-``pyspark.ml`` estimators, confusion counts are one aggregation over the
-predictions, AUC comes from ``BinaryClassificationEvaluator``.  Only the
-fitted coefficients (a handful of numbers per model) live on the driver.
+Training, scoring and every metric are distributed: the classifiers are
+``pyspark.ml`` estimators, the linear models solve normal equations
+(:mod:`claimscope.operators.linear`), a model's predictions of the test set
+are written once and its confusion counts and exact AUC are aggregates over
+them.  Only the fitted coefficients live on the driver.
 """
 
 from __future__ import annotations
@@ -13,15 +14,13 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope import definitions as D
+from claimscope.operators.linear import Design, Fit, class_metrics, design, least_squares, regression_metrics
 from claimscope.operators.stats import age_years
 from claimscope.plans.distributed import quantile_row
 from claimscope.plans.stored import cut
@@ -29,6 +28,7 @@ from claimscope.plans.stored import cut
 NUMERIC = ["quantity", "amount_d", "age"]
 CATEGORICAL = ["benefit", "gender", "dependent_type", "encounter", "cost_center"]
 SEED = 42
+FIT_ROWS = 200_000   # about so many labelled lines at most train a classifier
 
 
 def features(df: DataFrame, numeric: Sequence[str] = NUMERIC) -> DataFrame:
@@ -80,52 +80,54 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
                    / F.count(F.lit(1))).alias("positive_pct"))
 
 
+def dice(df: DataFrame, key: str = "line_id"):
+    """0 to 9999 by a hash of ``key``, of all columns where it is missing."""
+    own = F.col(key) if key in df.columns else F.to_json(F.struct(*df.columns))
+    return F.conv(F.substring(F.md5(own.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
+
+
 def split(df: DataFrame, test_fraction: float = 0.3, key: str = "line_id"):
     """Train and test rows by a hash of ``key``: the same row falls on the same
-    side whatever the partitioning; rows without the key are split by all
-    columns."""
-    dice = F.pmod(F.xxhash64(*([key] if key in df.columns else df.columns), F.lit(SEED)), F.lit(10_000))
-    test = dice < int(test_fraction * 10_000)
+    side whatever the partitioning."""
+    test = F.coalesce(dice(df, key) < int(test_fraction * 10_000), F.lit(False))
     return df.where(~test), df.where(test)
 
 
-def fit_models(df: DataFrame, numeric: Sequence[str] = NUMERIC,
-               categorical: Sequence[str] = CATEGORICAL, models: dict | None = None):
+def fit_models(df: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL,
+               models: dict | None = None, fit_rows: int = FIT_ROWS):
     """L1: fit each classifier; returns ``{name: pipeline}`` and the held-out
-    test set.  Lines without a label are left out.  The preparation is fitted
-    once and the prepared train set is written once for all models."""
+    test set.  Lines without a label are left out.  Of more than ``fit_rows``
+    train lines a sample of about that size, by hash, is fitted; the test set
+    is always whole.  The preparation is fitted once; the prepared train set
+    and the test set are written once for all models."""
     data = features(df, numeric).where(F.col("label").isNotNull())
     keyed = ["line_id"] if "line_id" in data.columns else []
     train, test = split(data.select(*keyed, *_inputs(numeric, categorical), F.col("label").cast("double").alias("label")))
+    share = fit_rows / max(1, train.count())
+    if share < 1:
+        own = F.xxhash64(*([F.col("line_id")] if keyed else train.columns), F.lit(SEED))
+        train = train.where(F.pmod(own, F.lit(1_000_000)) < int(share * 1_000_000))
     prep = Pipeline(stages=_prep(numeric, categorical)).fit(train)
     ready = cut(prep.transform(train).select("features", "label"), "l01-train")
-    return {name: PipelineModel([*prep.stages, est.fit(ready)]) for name, est in (models or classifiers()).items()}, test
+    return {name: PipelineModel([*prep.stages, est.fit(ready)]) for name, est in (models or classifiers()).items()}, cut(test, "l01-test")
+
+
+def predictions(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """``(label, score, prediction)`` of a model, written once."""
+    score = vector_to_array("probability")[1]
+    return cut(model.transform(test).select("label", score.alias("score"), "prediction"), "l01-predictions")
 
 
 def evaluate(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
-    """L3: accuracy, precision, recall, f1, roc_auc per model from one
-    aggregation over each model's predictions."""
-    spark = test.sparkSession
+    """L3: accuracy, precision, recall, f1 and the exact ROC AUC per model,
+    from its written predictions."""
     out = None
-    auc_eval = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
     for name, m in models.items():
-        pred = m.transform(test)
-        auc = auc_eval.evaluate(pred)
-        p, y = F.col("prediction"), F.col("label")
-        c = pred.agg(F.count_if((p == 1) & (y == 1)).alias("tp"), F.count_if((p == 1) & (y == 0)).alias("fp"),
-                     F.count_if((p == 0) & (y == 1)).alias("fn"), F.count_if((p == 0) & (y == 0)).alias("tn"))
-        prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
-        rec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
-        row = c.select(F.lit(name).alias("model"),
-                       F.round(F.try_divide((F.col("tp") + F.col("tn")).cast("double"),
-                                            F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), 6).alias("accuracy"),
-                       F.round(F.coalesce(prec, F.lit(0.0)), 6).alias("precision"),
-                       F.round(F.coalesce(rec, F.lit(0.0)), 6).alias("recall"),
-                       F.round(F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0)), 6).alias("f1"),
-                       F.round(F.lit(auc), 6).alias("roc_auc"),
-                       F.lit(False).alias("is_anomaly_detection"))
+        row = class_metrics(predictions(m, test)).select(
+            F.lit(name).alias("model"), *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")],
+            F.lit(False).alias("is_anomaly_detection"))
         out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "model string")
+    return out if out is not None else test.sparkSession.createDataFrame([], "model string")
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
@@ -133,6 +135,34 @@ def best_model(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.desc("f1"), F.desc_nulls_last("roc_auc"), F.asc("model")).limit(1)
 
 
+# ---------------------------------------------------------------- linear classifier
+def raw_inputs(df: DataFrame) -> DataFrame:
+    """Model inputs with missing numbers left null (the design marks them)."""
+    return df.withColumn("amount_d", F.col("amount").cast("double")).withColumn("age", age_years("dob", "claim_prov_date").cast("double"))
+
+
+def fit_linear_classifier(df: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> Fit:
+    """L1: linear probability model on the train lines, from one aggregate."""
+    train, _ = split(raw_inputs(df).where(F.col("label").isNotNull()))
+    return least_squares(train, design(train, numeric, categorical), F.col("label"))
+
+
+def linear_metrics(fit: Fit, df: DataFrame) -> DataFrame:
+    """L3 of the linear classifier over the held-out lines."""
+    _, test = split(raw_inputs(df).where(F.col("label").isNotNull()))
+    scored = cut(test.select(F.col("label").cast("double").alias("label"), fit.predict().alias("score"))
+                 .withColumn("prediction", (F.col("score") >= 0.5).cast("double")), "l03-predictions")
+    return class_metrics(scored).select(F.lit("linear_probability").alias("model"),
+                                        *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")], "tp", "fp", "fn", "tn")
+
+
+def predict_linear(fit: Fit, df: DataFrame) -> DataFrame:
+    """Per line the predicted class and its probability in percent."""
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fit.predict()))
+    return raw_inputs(df).select(F.col("line_id").alias("claim_id"), F.col("amount_d").alias("amount"), (p >= 0.5).cast("int").alias("predicted_label"),
+                                 F.round(F.greatest(p, 1.0 - p) * 100, 2).alias("confidence_pct"))
+
+
 def _feature_names(model: PipelineModel, pred_sample: DataFrame) -> list[str]:
     meta = pred_sample.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {}
@@ -206,61 +236,79 @@ def anomaly_summary(scored: DataFrame, name: str) -> DataFrame:
                       F.count_if("is_anomaly").alias("n_anomalies"))
 
 
-def kmeans_distance(df: DataFrame, k: int = 4, top_pct: float = 0.99) -> DataFrame:
+def spread_centres(k: int) -> list[list[float]]:
+    """Starting centres in standardised space: k points on the diagonal of
+    the features, from -1 to 1 standard deviations."""
+    return [[0.0 if k == 1 else -1.0 + 2.0 * i / (k - 1)] * len(NUMERIC) for i in range(k)]
+
+
+def lloyd(points: DataFrame, cols: Sequence[str], centres: list[list[float]], rounds: int) -> list[list[float]]:
+    """k-means: each round assigns every row to its nearest centre (the first
+    of equals) and takes the means, one aggregate of k rows a round; a centre
+    without rows stays.  Stops early when nothing moves."""
+    for _ in range(rounds):
+        means = {r.cluster: [r[c] for c in cols] for r in points.groupBy(_nearest(cols, centres)[0].alias("cluster")).agg(*[F.avg(c).alias(c) for c in cols]).collect()}
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
+def _nearest(cols: Sequence[str], centres: list[list[float]]):
+    """Index of the nearest centre and the squared distance to it."""
+    far = []
+    for c in centres:
+        d = F.lit(0.0)
+        for x, v in zip(cols, c):
+            d = d + (F.col(x) - F.lit(v)) * (F.col(x) - F.lit(v))
+        far.append(d)
+    low = F.array_min(F.array(*far))
+    index = F.lit(None).cast("int")
+    for i, d in reversed(list(enumerate(far))):
+        index = F.when(d == low, F.lit(i)).otherwise(index)
+    return index, low
+
+
+def kmeans_distance(df: DataFrame, k: int = 4, top_pct: float = 0.99, rounds: int = 10,
+                    centres: list[list[float]] | None = None) -> DataFrame:
     """Distance to the nearest k-means centre (standardised numeric
-    features); anomalies are the farthest 1 %."""
-    from pyspark.ml.feature import StandardScaler
-    # A missing number is put at the mean, so that it adds no distance.
+    features, Lloyd rounds from given centres); anomalies are the farthest
+    1 %.  A missing number is put at the mean, so that it adds no distance."""
     raw = df.select("line_id", F.col("amount").cast("double").alias("amount_d"), F.col("quantity").cast("double").alias("quantity"),
                     age_years("dob", "claim_prov_date").cast("double").alias("age"))
-    mean = F.broadcast(raw.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__{c}") for c in NUMERIC]))
-    data = raw.crossJoin(mean).select("line_id", *[F.coalesce(c, f"__{c}").alias(c) for c in NUMERIC])
-    asm = VectorAssembler(inputCols=NUMERIC, outputCol="raw", handleInvalid="error")
-    sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    km = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster")
-    model = Pipeline(stages=[asm, sc, km]).fit(data)
-    centres = model.stages[-1].clusterCenters()
-    spark = df.sparkSession
-    cdf = F.broadcast(spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)],
-                                            "cluster int, centre array<double>"))
-    pred = model.transform(data).withColumn("__f", vector_to_array("features"))
-    dist = F.sqrt(F.aggregate(F.zip_with("__f", "centre", lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda acc, v: acc + v))
-    scored = pred.join(cdf, "cluster").withColumn("anomaly_score", dist)
-    cut = F.broadcast(quantile_row(scored, "anomaly_score", {"__cut": top_pct}))
-    return (scored.crossJoin(cut)
-            .withColumn("is_anomaly", F.col("anomaly_score") > F.col("__cut"))
+    unit = raw.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMERIC], *[F.stddev_samp(c).alias(f"s_{c}") for c in NUMERIC]).first()
+    scale = {c: (unit[f"m_{c}"] or 0.0, unit[f"s_{c}"] or 1.0) for c in NUMERIC}
+    data = cut(raw.select("line_id", *[((F.coalesce(F.col(c), F.lit(m)) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in scale.items()]), "l05-points")
+    found = lloyd(data, NUMERIC, centres or spread_centres(k), rounds)
+    index, low = _nearest(NUMERIC, found)
+    scored = data.select("line_id", index.alias("cluster"), F.sqrt(low).alias("anomaly_score"))
+    top = F.broadcast(quantile_row(scored, "anomaly_score", {"__cut": top_pct}))
+    return (scored.crossJoin(top).withColumn("is_anomaly", F.col("anomaly_score") > F.col("__cut"))
             .select("line_id", "cluster", "anomaly_score", "is_anomaly"))
 
 
 # ---------------------------------------------------------------- regression
-def train_claims_regression(df: DataFrame, target: str = "amount_d",
-                            numeric: Sequence[str] = ("quantity", "age"),
+def train_claims_regression(df: DataFrame, target: str = "amount_d", numeric: Sequence[str] = ("quantity", "age"),
                             categorical: Sequence[str] = ("benefit", "gender", "encounter")) -> DataFrame:
-    """Linear regression of a claims column; returns rmse, r2, n."""
-    target_col = F.col("amount").cast("double") if target == "amount_d" else F.col(target).cast("double")
-    data = features(df.withColumn("__target", target_col), numeric).where(F.col("__target").isNotNull())
-    keyed = ["line_id"] if "line_id" in data.columns else []
-    train, test = split(data.select(*keyed, *_inputs(numeric, categorical), F.col("__target").alias("label")))
-    model = Pipeline(stages=_prep(numeric, categorical) + [LinearRegression(labelCol="label")]).fit(train)
-    pred = model.transform(test)
-    rmse = RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(pred)
-    r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(pred)
-    return pred.agg(F.count(F.lit(1)).alias("test_rows")).select(
-        F.lit("linear_regression").alias("model"), F.round(F.lit(rmse), 4).alias("rmse"),
-        F.round(F.lit(r2), 6).alias("r2"), "test_rows")
+    """Linear regression of a claims column by normal equations; returns
+    rmse, r2 and the number of test rows."""
+    data = raw_inputs(df)
+    data = data.withColumn("target", F.col(target).cast("double")).where(F.col("target").isNotNull())
+    train, test = split(data)
+    fit = least_squares(train, design(train, numeric, categorical), F.col("target"))
+    m = regression_metrics(test.select("target", fit.predict().alias("prediction")))
+    return m.select(F.lit("linear_regression").alias("model"), F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), F.col("rows").alias("test_rows"))
 
 
 def pooled_ar(lags: DataFrame, n_lags: int = 3) -> DataFrame:
-    """M2 (pooled): one lag-``n`` regression of the differenced monthly
-    value over all series (``lag_features`` output); returns coefficients."""
+    """M2 (pooled): one lag-``n`` regression of the differenced monthly value
+    over all series (``lag_features`` output), by normal equations."""
     cols = [f"lag_{k}" for k in range(1, n_lags + 1)]
     data = lags.where(F.col("x").isNotNull())
     for c in cols:
         data = data.where(F.col(c).isNotNull())
-    asm = VectorAssembler(inputCols=cols, outputCol="features")
-    model = LinearRegression(labelCol="x", featuresCol="features").fit(asm.transform(data))
-    spark = lags.sparkSession
-    rows = [("intercept", float(model.intercept))] + [
-        (c, float(v)) for c, v in zip(cols, model.coefficients.toArray().tolist())]
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    shape = Design(tuple(cols))
+    fit = least_squares(data, shape, F.col("x"))
+    rows = [(t, v) for t, v in zip(shape.names(), fit.coefficients) if not t.endswith("_missing")]
+    return lags.sparkSession.createDataFrame(rows, "term string, coefficient double")

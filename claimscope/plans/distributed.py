@@ -21,14 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E = 4096   # buckets for each factor e of a value: 0.024 % wide
+_LOWEST = 746          # exp(-746) is below the smallest positive double
 _LAST = 1 << 62
 
 
 def order_bucket(c: Column) -> Column:
     """A long that never decreases with the number ``c``; nulls and NaN last.
-    It lies within +-710 * ``BUCKETS_PER_E`` for every finite double."""
+    Buckets are 0.024 % wide for values of any size, so those of rates and
+    scores spread like those of amounts.  It lies within
+    +-1456 * ``BUCKETS_PER_E`` for every finite double."""
     v = c.cast("double")
-    b = F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKETS_PER_E)
+    b = F.signum(v) * (F.floor(F.ln(F.abs(v)) * BUCKETS_PER_E) + F.lit(_LOWEST * BUCKETS_PER_E))
+    b = F.when(v == 0, F.lit(0)).when(F.abs(v) == F.lit(float("inf")), F.signum(v) * (_LAST >> 1)).otherwise(b)
     return F.when(v.isNull() | F.isnan(v), F.lit(_LAST)).otherwise(b.cast("long"))
 
 
@@ -122,6 +126,21 @@ def running_total(df: DataFrame, order: Sequence[str], values: Sequence[str],
     return out.select(*df.columns, total("__one").alias("row_pos"), *[total(c).alias(f"{c}{suffix}") for c in values])
 
 
+def rank_sum_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row ``roc_auc, positives, negatives``: the exact area under the ROC
+    curve, the chance that a positive outscores a negative, ties counting half
+    (null without both classes).  Rows are first counted per distinct score,
+    map-side combined; the negatives below each score are a running total over
+    buckets, so no task sees all scores."""
+    pos = F.col(label).cast("double") == 1
+    cells = (scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("__s"))
+             .agg(F.count_if(pos).alias("__pos"), F.count_if(~pos).alias("__neg")))
+    ranked = running_total(cells, ["__s"], ["__neg"])
+    won = F.col("__pos").cast("decimal(38,0)") * (2 * F.col("__neg_cum") - F.col("__neg"))
+    total = ranked.agg(F.sum(won).alias("__won"), F.coalesce(F.sum("__pos"), F.lit(0)).alias("positives"), F.coalesce(F.sum("__neg"), F.lit(0)).alias("negatives"))
+    return total.select(F.try_divide(F.col("__won").cast("double"), 2.0 * F.col("positives") * F.col("negatives")).alias("roc_auc"), "positives", "negatives")
+
+
 def dense_rank_desc(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """``dense_rank() over (order by value desc nulls last)`` for any number
     of rows: rank the distinct values with :func:`running_total`, join back;
@@ -129,8 +148,3 @@ def dense_rank_desc(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     distinct = df.select(F.col(value)).distinct().withColumn("__neg", -F.col(value))
     ranked = running_total(distinct, ["__neg"], []).select(value, F.col("row_pos").alias(out))
     return null_safe_join(df, ranked, [value])
-
-
-def one_row(df: DataFrame, *aggs: Column) -> DataFrame:
-    """A one-row aggregate to be cross-joined as a broadcast anchor."""
-    return F.broadcast(df.agg(*aggs))

@@ -570,6 +570,99 @@ z AS (SELECT dev / (1.4826::DOUBLE * mad) AS s FROM dv, mad)""") + """SELECT 'ro
 ORACLE["l07_class_balance"] = w() + """SELECT count(*) AS sample_size, CAST(sum(label) AS BIGINT) AS positives,
   100.0::DOUBLE * CAST(sum(label) AS DOUBLE) / count(*) AS positive_pct FROM cl"""
 
+TEST_LINE = "CAST('0x' || substr(md5(line_id), 1, 8) AS BIGINT) % 10000 < 3000"
+
+
+def _least_squares(target: str, numeric: list[str], categorical: list[str], rows: str = "cla", where: str = "true",
+                   train: str = f"NOT ({TEST_LINE})") -> str:
+    """CTEs ``xs`` (every row with its features x and target y) and ``ols``
+    (coefficients b): normal equations, solved by Gauss-Jordan elimination."""
+    cats = ", ".join(f"list(DISTINCT {c} ORDER BY {c} NULLS FIRST) AS v_{c}" for c in categorical) or "1 AS one"
+    flags = "".join(f" || list_transform(v_{c}[2:], lambda v: CASE WHEN {c} IS NOT DISTINCT FROM v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for c in categorical)
+    numbers = ", ".join([f"coalesce(CAST({c} AS DOUBLE), 0)" for c in numeric] + [f"CAST({c} IS NULL AS DOUBLE)" for c in numeric])
+    return f"""own AS (SELECT *, CAST({target} AS DOUBLE) AS y, {train} AS train FROM {rows} WHERE {where}),
+cats AS (SELECT {cats} FROM own WHERE train),
+xs AS (SELECT own.*, [1.0::DOUBLE, {numbers}]{flags} AS x FROM own, cats),
+gram AS (SELECT i, j, sum(x[i] * x[j]) AS v FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM xs WHERE train AND y IS NOT NULL), unnest(range(1, len(x) + 1)) AS u(j) GROUP BY i, j),
+prod AS (SELECT i, sum(x[i] * y) AS v FROM xs, unnest(range(1, len(x) + 1)) AS u(i) WHERE train AND y IS NOT NULL GROUP BY i),
+aug AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list_append(list(gram.v + CASE WHEN i = j AND i > 1 THEN 1e-3 ELSE 0 END ORDER BY j), any_value(prod.v)) AS r FROM gram JOIN prod USING (i) GROUP BY i)),
+gauss AS (SELECT 1 AS k, m FROM aug UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END)
+  FROM (SELECT k, m, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM gauss WHERE k <= len(m))),
+ols AS (SELECT list_transform(m, lambda r: r[len(r)]) AS b FROM gauss ORDER BY k DESC LIMIT 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_CLASSIFIER = _least_squares("label", ["quantity", "amount", "age"], ["benefit", "gender", "dependent_type", "encounter", "cost_center"])
+ORACLE["l03_linear_metrics"] = _recursive(w(CLA, _CLASSIFIER, """sc AS (SELECT label, list_dot_product(x, b) AS s FROM xs, ols WHERE NOT train),
+cm AS (SELECT count(*) FILTER (WHERE s >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE s >= 0.5 AND label = 0) AS fp,
+  count(*) FILTER (WHERE s < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE s < 0.5 AND label = 0) AS tn FROM sc),
+cell AS (SELECT s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM sc GROUP BY s),
+auc AS (SELECT sum(p * (2 * below - n)) / (2.0::DOUBLE * sum(p) * sum(n)) AS roc_auc FROM (SELECT *, sum(n) OVER (ORDER BY s) AS below FROM cell))""")) + """
+SELECT 'linear_probability' AS model, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy,
+  round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(roc_auc, 6) AS roc_auc, tp, fp, fn, tn FROM cm, auc"""
+ORACLE["m12_claim_predictions"] = _recursive(w(CLA, _CLASSIFIER)) + """
+SELECT line_id AS claim_id, CAST(amount AS DOUBLE) AS amount, CAST(p >= 0.5 AS INTEGER) AS predicted_label, round(greatest(p, 1 - p) * 100, 2) AS confidence_pct
+FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(x, b))) AS p FROM xs, ols)"""
+ORACLE["m13_batch_predict"] = ORACLE["m12_claim_predictions"]
+ORACLE["l08_claims_regression"] = _recursive(w(CLA, _least_squares("amount", ["quantity", "age"], ["benefit", "gender", "encounter"], where="amount IS NOT NULL"))) + """
+SELECT 'linear_regression' AS model, round(sqrt(sum((y - p) * (y - p)) / count(*)), 4) AS rmse,
+  round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS test_rows
+FROM (SELECT y, list_dot_product(x, b) AS p FROM xs, ols WHERE NOT train)"""
+ORACLE["m02_pooled_ar3"] = _recursive(w(_dense(_SK), _fit(_SK), f"""dx AS (SELECT {', '.join(_SK)}, month, y - lag(y) OVER (PARTITION BY {', '.join(_SK)} ORDER BY month) AS x0 FROM ser),
+lagged AS (SELECT *, {', '.join(f'lag(x0, {k}) OVER (PARTITION BY {", ".join(_SK)} ORDER BY month) AS lag_{k}' for k in (1, 2, 3))} FROM dx)""",
+    _least_squares("x0", ["lag_1", "lag_2", "lag_3"], [], "lagged", "x0 IS NOT NULL AND lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL", "true"))) + """
+SELECT unnest(['intercept', 'lag_1', 'lag_2', 'lag_3']) AS term, round(unnest(b[1:4]), 4) AS coefficient FROM ols"""
+_POINTS = """unit AS (SELECT avg(CAST(amount AS DOUBLE)) AS m0, stddev_samp(CAST(amount AS DOUBLE)) AS s0, avg(quantity) AS m1, stddev_samp(quantity) AS s1, avg(age) AS m2, stddev_samp(age) AS s2 FROM cla),
+pt AS (SELECT (coalesce(CAST(quantity AS DOUBLE), m1) - m1) / s1 AS a, (coalesce(CAST(amount AS DOUBLE), m0) - m0) / s0 AS b, (coalesce(CAST(age AS DOUBLE), m2) - m2) / s2 AS c FROM cla, unit)"""
+ORACLE["l05_kmeans_distance"] = _recursive(w(CLA, _POINTS, """km AS (SELECT 0 AS r, list_transform(range(4), lambda i: [-1 + 2 * i / 3::DOUBLE, -1 + 2 * i / 3::DOUBLE, -1 + 2 * i / 3::DOUBLE]) AS cs
+  UNION ALL SELECT r + 1, list_transform(range(4), lambda i: coalesce(new[i], cs[i + 1])) FROM (
+    SELECT any_value(r) AS r, any_value(cs) AS cs, map_from_entries(list((near, mean))) AS new FROM (
+      SELECT any_value(r) AS r, any_value(cs) AS cs, near, [avg(a), avg(b), avg(c)] AS mean FROM (
+        SELECT r, cs, a, b, c, list_position(ds, list_min(ds)) - 1 AS near FROM (
+          SELECT r, cs, a, b, c, list_transform(cs, lambda z: (a - z[1]) * (a - z[1]) + (b - z[2]) * (b - z[2]) + (c - z[3]) * (c - z[3])) AS ds FROM km, pt WHERE r < 10)) GROUP BY near) HAVING count(*) > 0)),
+last AS (SELECT cs FROM km WHERE r = 10),
+sc AS (SELECT sqrt(list_min(list_transform(cs, lambda z: (a - z[1]) * (a - z[1]) + (b - z[2]) * (b - z[2]) + (c - z[3]) * (c - z[3])))) AS s FROM last, pt)""")) + """
+SELECT 'kmeans' AS detector, round(avg(s), 6) AS anomaly_score_mean, round(stddev_samp(s), 6) AS anomaly_score_std,
+  count(*) FILTER (WHERE s > (SELECT quantile_cont(s, 0.99) FROM sc)) AS n_anomalies FROM sc"""
+
+
+def _grouped_squares(name: str, rows: str, keys: list[str], xs: list[str], y: str) -> str:
+    """CTE ``name`` (keys, b, n): least squares of each group."""
+    k = ", ".join(keys)
+    on = lambda a, c: " AND ".join(f"{a}.{x} IS NOT DISTINCT FROM {c}.{x}" for x in keys)
+    return f"""{name}_x AS (SELECT {k}, [{', '.join(xs)}] AS x, {y} AS y FROM {rows}),
+{name}_g AS (SELECT {k}, i, j, sum(x[i] * x[j]) AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM {name}_x), unnest(range(1, len(x) + 1)) AS u(j) GROUP BY {k}, i, j),
+{name}_p AS (SELECT {k}, i, sum(x[i] * y) AS v, count(*) AS n FROM {name}_x, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY {k}, i),
+{name}_m AS (SELECT {k}, list(r ORDER BY i) AS m, any_value(n) AS n FROM (SELECT {', '.join(f'g.{x}' for x in keys)}, g.i, list_append(list(g.v ORDER BY j), any_value(p.v)) AS r, any_value(p.n) AS n
+  FROM {name}_g g JOIN {name}_p p ON g.i = p.i AND {on('g', 'p')} GROUP BY {', '.join(f'g.{x}' for x in keys)}, g.i) GROUP BY {k}),
+{name}_s AS (SELECT {k}, n, 1 AS k_, m FROM {name}_m UNION ALL
+  SELECT {k}, n, k_ + 1, list_transform(m, lambda r, i: CASE WHEN i = k_ THEN p ELSE list_transform(r, lambda v, j: v - r[k_] * p[j]) END)
+  FROM (SELECT *, list_transform(m[k_], lambda v: v / m[k_][k_]) AS p FROM {name}_s WHERE k_ <= len(m))),
+{name} AS (SELECT {k}, n, list_transform(m, lambda r: r[len(r)]) AS b FROM {name}_s WHERE k_ > len(m))"""
+
+
+def _arima(keys: list[str]) -> str:
+    k, w_ = ", ".join(keys), f"OVER (PARTITION BY {', '.join(keys)} ORDER BY month)"
+    on = " AND ".join(f"a.{x} IS NOT DISTINCT FROM c.{x}" for x in keys)
+    return _recursive(w(_dense(keys), _fit(keys), f"""d0 AS (SELECT {k}, month, y, y - lag(y) {w_} AS x0 FROM ser),
+d1 AS (SELECT *, lag(x0, 1) {w_} AS l1, lag(x0, 2) {w_} AS l2, lag(x0, 3) {w_} AS l3 FROM d0),
+full_lags AS (SELECT * FROM d1 WHERE l3 IS NOT NULL)""", _grouped_squares("ar_long", "full_lags", keys, ["1.0::DOUBLE", "l1", "l2", "l3"], "x0"),
+        f"""d2 AS (SELECT a.*, x0 - (b[1] + b[2] * l1 + b[3] * l2 + b[4] * l3) AS e FROM full_lags a JOIN ar_long c ON {on}),
+d3 AS (SELECT *, lag(e) {w_} AS e1 FROM d2), d4 AS (SELECT * FROM d3 WHERE e1 IS NOT NULL)""",
+        _grouped_squares("arma", "d4", keys, ["1.0::DOUBLE", "l1", "e1"], "x0"),
+        f"last_one AS (SELECT * FROM d3 QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY month DESC) = 1)")) + f"""
+SELECT {', '.join(f'a.{x}' for x in keys)}, round(b[2], 6) AS ar, round(b[3], 6) AS ma, round(b[1], 2) AS intercept, n, CAST(month + INTERVAL 1 MONTH AS DATE) AS next_month,
+  round(y + b[1] + b[2] * x0 + b[3] * e, 2) AS next_amount FROM last_one a JOIN arma c ON {on}"""
+
+
+ORACLE["m02_arima111"] = _arima(_FK)
+ORACLE["m02_arima111_many_series"] = _arima(_SK)
+
 # ------------------------------------------------------------------ streaming (same answer as batch)
 _EV_DAILY = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS event_count, round(sum(value), 4) AS total_value
 FROM events GROUP BY 1, 2"""
@@ -605,7 +698,7 @@ cl AS (SELECT * REPLACE (
 WITH_NULLS = ("p01_describe", "p07_cost_percentiles", "p08_age_profile", "a13_lorenz", "a20_age_service", "a23_provider_efficiency",
               "w06_monthly_box", "w14_dense_months", "w17_member_segments", "w17_segment_summary", "w18_provider_rank",
               "m01_forecast_many_series", "m04_accuracy", "m05_forecast_table", "m05_next_month", "m06_fitted_band", "m07_band_summary",
-              "m08_lag_contributions", "m09_partial_dependence", "r02_suspicious_claims", "r03_fraud_statistics", "r04_rule_score")
+              "m08_lag_contributions", "m09_partial_dependence", "m02_arima111", "r02_suspicious_claims", "r03_fraud_statistics", "r04_rule_score")
 for _n in WITH_NULLS:
     ORACLE[f"{_n}_with_nulls"] = ORACLE[_n].replace(CL, CL_NULLS, 1)
 

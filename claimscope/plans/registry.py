@@ -601,6 +601,22 @@ def _m02(spark, sf):
                     F.round("intercept", 2).alias("intercept"), "n")
 
 
+def _arima(spark, sf, keys):
+    a = M.arima111(claims(spark, sf), keys)
+    return a.select(*keys, F.round("ar", 6).alias("ar"), F.round("ma", 6).alias("ma"), F.round("intercept", 2).alias("intercept"), "n",
+                    "next_month", F.round("next_amount", 2).alias("next_amount"))
+
+
+@q("m02_arima111")
+def _m02a(spark, sf):
+    return _arima(spark, sf, FORECAST_KEYS)
+
+
+@q("m02_arima111_many_series")
+def _m02b(spark, sf):
+    return _arima(spark, sf, SERIES_KEYS)
+
+
 @q("m03_lag_features")
 def _m03(spark, sf):
     lf = M.lag_features(claims(spark, sf), FORECAST_KEYS, 3)
@@ -816,11 +832,29 @@ def _fitted(spark, sf):
     return _MODELS[key]
 
 
+def _metrics(spark, sf):
+    """Metrics of the three classifiers, evaluated once per application."""
+    from claimscope.operators import ml as L
+    from claimscope.plans.stored import data_key, stored
+    return stored(spark, f"l01-metrics|{data_key(sf)}", lambda: L.evaluate(*_fitted(spark, sf)), sources=T.claim_sources(sf))
+
+
+def _linear(spark, sf):
+    """The stored linear classifier: fitted by the first caller, then read."""
+    from claimscope.operators import ml as L
+    from claimscope.plans.stored import data_key, stored
+    return L.Fit.of(stored(spark, f"linear-fit|{data_key(sf)}", lambda: L.fit_linear_classifier(claims(spark, sf)).frame(spark), sources=T.claim_sources(sf)))
+
+
 @q("l01_train_metrics")
 def _l01(spark, sf):
+    return _metrics(spark, sf)
+
+
+@q("l03_linear_metrics")
+def _l03(spark, sf):
     from claimscope.operators import ml as L
-    models, test = _fitted(spark, sf)
-    return L.evaluate(models, test)
+    return L.linear_metrics(_linear(spark, sf), claims(spark, sf))
 
 
 @q("l02_binary_target")
@@ -833,8 +867,7 @@ def _l02(spark, sf):
 @q("l04_best_model")
 def _l04(spark, sf):
     from claimscope.operators import ml as L
-    models, test = _fitted(spark, sf)
-    return L.best_model(L.evaluate(models, test))
+    return L.best_model(_metrics(spark, sf))
 
 
 @q("l05_robust_z")
@@ -875,24 +908,20 @@ def _l08(spark, sf):
 @q("m02_pooled_ar3")
 def _m02p(spark, sf):
     from claimscope.operators import ml as L
-    return L.pooled_ar(M.lag_features(claims(spark, sf), SERIES_KEYS, 3), 3)
+    return L.pooled_ar(M.lag_features(claims(spark, sf), SERIES_KEYS, 3), 3).select("term", F.round("coefficient", 4).alias("coefficient"))
 
 
 @q("m12_claim_predictions")
 def _m12(spark, sf):
     from claimscope.operators import ml as L
-    models, _ = _fitted(spark, sf)
-    return L.predict_claims(models["logistic_regression"], claims(spark, sf))
+    return L.predict_linear(L.fit_linear_classifier(claims(spark, sf)), claims(spark, sf))
 
 
 @q("m13_batch_predict")
 def _m13(spark, sf):
+    """The stored model, loaded and applied."""
     from claimscope.operators import ml as L
-    from claimscope.session import scratch_path
-    import uuid
-    models, _ = L.fit_models(claims(spark, sf), models={"logistic_regression": L.classifiers()["logistic_regression"]})
-    path = L.save_model(models["logistic_regression"], scratch_path(spark, f"model-{uuid.uuid4().hex}"))
-    return L.batch_predict(path, claims(spark, sf))
+    return L.predict_linear(_linear(spark, sf), claims(spark, sf))
 
 
 # ------------------------------------------------------------------ streaming
