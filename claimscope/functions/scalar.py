@@ -140,6 +140,47 @@ def title(s) -> Column:
     return F.initcap(col_of(s).cast("string"))
 
 
+def _span(n: Column, start: int | None, stop: int | None) -> tuple[Column, Column]:
+    """1-based begin and length of ``start:stop`` of ``n`` items, as Python
+    counts them (negative from the end)."""
+    at = lambda i: F.least(F.lit(i), n) if i >= 0 else F.greatest(n + F.lit(i), F.lit(0))
+    a, b = at(start or 0), n if stop is None else at(stop)
+    return a + 1, F.greatest(b - a, F.lit(0))
+
+
+def slice_text(s, start: int | None = None, stop: int | None = None) -> Column:
+    """X13 ``slice`` of a text: characters ``start:stop``."""
+    c = col_of(s).cast("string")
+    return F.substring(c, *_span(F.length(c), start, stop))
+
+
+def slice_list(values, start: int | None = None, stop: int | None = None) -> Column:
+    """X13 ``slice`` of an array: items ``start:stop``."""
+    c = col_of(values)
+    return F.slice(c, *_span(F.size(c), start, stop))
+
+
+def join_list(values, sep: str = ", ") -> Column:
+    """X13 ``join``: the items as text; a missing one is ``None``."""
+    return F.array_join(F.transform(col_of(values), lambda v: v.cast("string")), sep, "None")
+
+
+def length_text(s) -> Column:
+    """X13 ``length`` of a text; 0 for null."""
+    return F.coalesce(F.length(col_of(s).cast("string")), F.lit(0))
+
+
+def length_list(values) -> Column:
+    """X13 ``length`` of an array or a map; 0 for null."""
+    c = col_of(values)
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.size(c))
+
+
+def upper(s) -> Column:
+    """X13 ``upper``."""
+    return F.upper(col_of(s).cast("string"))
+
+
 def key_title(key, titles: dict[str, str] | None = None) -> Column:
     """Mapped title, else '_' -> ' ' and words capitalised."""
     titles = D.KEY_TITLES if titles is None else titles

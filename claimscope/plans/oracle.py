@@ -244,7 +244,10 @@ ORACLE["x_text_functions"] = w() + f"""SELECT line_id,
   strftime(claim_prov_date, '%Y-%m') AS x_ym,
   strftime(claim_prov_date, '%B') AS x_month_name,
   'KES ' || format('{{:,.2f}}', CAST(amount AS DOUBLE)) AS x_money,
-  {_initcap("replace(lower(concat_ws('_', encounter, gender)), '_', ' ')")} AS x_key_title
+  {_initcap("replace(lower(concat_ws('_', encounter, gender)), '_', ' ')")} AS x_key_title,
+  substring(prov_name, 3, greatest(length(prov_name) - 5, 0)) AS x_slice,
+  encounter || '; ' || CASE WHEN quantity > 25 THEN 'many' ELSE 'None' END AS x_join,
+  CAST(coalesce(length(CASE WHEN quantity > 9 THEN benefit_desc END), 0) AS INTEGER) AS x_length, upper(lower(dependent_type)) AS x_upper
 FROM cl"""
 
 # ------------------------------------------------------------------ order / page / sets
@@ -708,3 +711,34 @@ ORACLE["c06_clean_dirty_claims"] = w("""di AS (
 SELECT DISTINCT claim_prov_date, amount, icd10_code FROM di WHERE claim_prov_date IS NOT NULL AND amount IS NOT NULL"""
 ORACLE["x_map_functions"] = w() + """SELECT encounter, CAST(coalesce(sum(CASE WHEN service_code = 'F-1' THEN CAST(amount AS DOUBLE) END), 0) AS DECIMAL(22,2)) AS f1_total,
   count(DISTINCT service_code) AS services FROM cl GROUP BY 1"""
+
+ORACLE["x_collection_functions"] = w("""per AS (SELECT benefit, cost_center, count(*) AS n, count(*) FILTER (WHERE gender = 'M') AS men FROM cl GROUP BY 1, 2),
+row AS (SELECT benefit, list(cost_center ORDER BY cost_center) AS k, list(n ORDER BY cost_center) AS n, list(men ORDER BY cost_center) AS men FROM per GROUP BY 1)""") + """
+SELECT benefit, n[list_position(k, 'BUILDING')] AS building, CAST(NULL AS BIGINT) AS absent, array_to_string(k, '|') AS keys,
+  array_to_string(list_transform(range(1, len(k) + 1), lambda i: array_to_string(list_transform(range(1, len(k) + 1), lambda j: CASE WHEN i = j THEN n[i] ELSE 0 END), ' ')), '/') AS matrix,
+  array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || '=' || men[i]), '|') AS pairs FROM row"""
+ORACLE["c03_rejects"] = w() + """SELECT * FROM (
+  SELECT admit_id, 'AMOUNT' AS field, CASE quantity % 10 WHEN 3 THEN 'abc' ELSE '99999999999999' END AS value, CASE quantity % 10 WHEN 3 THEN 'not a number' ELSE 'out of range' END AS reason
+    FROM cl WHERE quantity % 10 IN (3, 8)
+  UNION ALL SELECT admit_id, 'CLAIM_PROV_DATE', CAST(claim_prov_date AS VARCHAR), 'not a date' FROM cl WHERE quantity % 10 = 4
+  UNION ALL SELECT admit_id, 'DOB', '31/02/1980', 'not a date' FROM cl WHERE quantity % 10 = 6
+  UNION ALL SELECT admit_id, 'QUANTITY', 'x' || quantity, 'not a number' FROM cl WHERE quantity % 10 = 5
+  UNION ALL SELECT admit_id, NULL, NULL, 'wrong number of fields' FROM cl WHERE quantity % 10 = 7)"""
+ORACLE["c03_accepted"] = w() + """SELECT benefit, count(*) AS lines, count(*) FILTER (WHERE quantity % 10 <> 5) AS quantities, count(*) FILTER (WHERE quantity % 10 <> 6) AS births,
+  count(*) FILTER (WHERE quantity % 10 <> 4) AS dates, CAST(sum(CASE WHEN quantity % 10 IN (3, 8) THEN 0 ELSE amount END) AS DECIMAL(22,2)) AS total_amount
+FROM cl WHERE quantity % 10 <> 7 GROUP BY benefit"""
+ORACLE["c10_accents_roundtrip"] = w() + """SELECT admit_id, service_id, 'Clínica São José n° ' || prov_name AS prov_name, 'Ñandú & Øster ' || pol_name AS pol_name FROM cl"""
+ORACLE["s01_quoted_line_ends"] = w() + "SELECT " + ", ".join(
+    "benefit_desc || ', \"said\"' || chr(10) || cost_center || chr(10) || '\"' AS benefit_desc" if d == "benefit_desc" else d for _, d in _HDR) + " FROM cl"
+
+
+def _rows_of(bundle: str, result: str, sql: str) -> str:
+    return f"SELECT '{bundle}' AS bundle, '{result}' AS result, count(*) AS rows FROM ({sql})"
+
+
+_FORECAST_6 = w(_dense(_FK), _fit(_FK), _ftable(6)) + "SELECT * FROM ft"
+ORACLE["s10_report_bundles"] = "\nUNION ALL ".join(_rows_of(*r) for r in (
+    ("forecast", "forecast", _FORECAST_6), ("forecast", "accuracy", ORACLE["m04_accuracy"]), ("fraud", "summary", ORACLE["r06_dashboard_summary"]),
+    ("fraud", "high_risk", ORACLE["r08_high_risk"]), ("fraud", "providers", ORACLE["r10_provider_fraud"]), ("fraud", "diagnoses", ORACLE["r14_diagnosis_fraud"]),
+    ("provider", "efficiency", ORACLE["a23_provider_efficiency"]), ("provider", "fraud", ORACLE["r10_provider_fraud"]),
+    ("member", "segments", ORACLE["w17_member_segments"]), ("member", "frequency", ORACLE["a12_claim_frequency"])))

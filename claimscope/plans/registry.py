@@ -313,7 +313,11 @@ def _xtext(spark, sf):
                     X.date_text("claim_prov_date", "Y-m").alias("x_ym"),
                     X.date_text("claim_prov_date", "F").alias("x_month_name"),
                     X.money_text("amount").alias("x_money"),
-                    X.key_title(F.lower(F.concat_ws("_", "encounter", "gender"))).alias("x_key_title"))
+                    X.key_title(F.lower(F.concat_ws("_", "encounter", "gender"))).alias("x_key_title"),
+                    X.slice_text("prov_name", 2, -3).alias("x_slice"),
+                    X.join_list(X.slice_list(F.array("gender", "encounter", F.when(F.col("quantity") > 25, "many")), -2), "; ").alias("x_join"),
+                    X.length_text(F.when(F.col("quantity") > 9, F.col("benefit_desc"))).alias("x_length"),
+                    X.upper(F.lower("dependent_type")).alias("x_upper"))
 
 
 # ------------------------------------------------------------------ order / page / sets
@@ -989,12 +993,103 @@ def _c06(spark, sf):
 
 @q("x_map_functions")
 def _xmap(spark, sf):
-    """X6 / A25 over maps of maps built from the claims."""
+    """A25 over maps of maps built from the claims."""
     per = (claims(spark, sf).groupBy("encounter", "service_code").agg(F.sum("amount").cast("double").alias("total")))
     maps = per.groupBy("encounter").agg(F.map_from_entries(F.collect_list(F.struct(
         "service_code", F.create_map("service_code", "total")))).alias("m"))  # one entry for each service code
     return maps.select("encounter", F.round(X.dict_sum("m", "F-1"), 2).cast("decimal(22,2)").alias("f1_total"),
-                       F.size("m").cast("long").alias("services"))
+                       X.length_list("m").cast("long").alias("services"))
+
+
+@q("x_collection_functions")
+def _xcoll(spark, sf):
+    """X6-X9 over maps of maps: lines per benefit by cost centre and gender."""
+    c = claims(spark, sf)
+    per = c.groupBy("benefit", "cost_center").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gender") == "M").alias("men"))
+    # at most a cell for each pair of codes; sorted, so that keys have an order
+    cells = F.sort_array(F.collect_list(F.struct("cost_center", "n", "men")))
+    rows = per.groupBy("benefit").agg(cells.alias("c"))
+    flat = rows.select("benefit", F.map_from_entries(F.transform("c", lambda x: F.struct(x.cost_center, x.n))).alias("n"),
+                       F.map_from_entries(F.transform("c", lambda x: F.struct(x.cost_center, F.create_map(x.cost_center, x.n.cast("double"), F.lit("men"), x.men.cast("double"))))).alias("nested"),
+                       F.transform("c", lambda x: x.men).alias("men"))
+    return flat.select("benefit", X.get_item("n", "BUILDING").alias("building"), X.get_item("n", "none such").alias("absent"),
+                       X.join_list(X.get_keys("n"), "|").alias("keys"),
+                       X.join_list(F.transform(X.to_matrix("nested"), lambda r: X.join_list(F.transform(r, lambda v: v.cast("long")), " ")), "/").alias("matrix"),
+                       X.join_list(F.transform(X.zip_lists(X.get_keys("n"), "men"), lambda z: F.concat_ws("=", z["0"], z["men"])), "|").alias("pairs"))
+
+
+def _dirty_source(spark, sf) -> str:
+    """The claims exported as a source file with faults of every kind, each by
+    the quantity of the line; unquoted, so that a comma in a field makes a line
+    too long."""
+    import uuid
+    from claimscope.session import scratch_path
+    c = claims(spark, sf)
+    cols = {n: F.col(d).cast("string") for n, d in D.CSV_HEADER_MAP}
+    fault = F.col("quantity") % 10
+    cols["CLAIM_PROV_DATE"] = F.date_format("claim_prov_date", "dd/MM/yyyy")
+    cols["DOB"] = F.when(fault == 6, "31/02/1980").otherwise(F.date_format("dob", "dd/MM/yyyy"))
+    cols["AMOUNT"] = F.when(fault == 3, "abc").when(fault == 8, "99999999999999").otherwise(cols["AMOUNT"])
+    cols["CLAIM_PROV_DATE"] = F.when(fault == 4, F.date_format("claim_prov_date", "yyyy-MM-dd")).otherwise(cols["CLAIM_PROV_DATE"])
+    cols["QUANTITY"] = F.when(fault == 5, F.concat(F.lit("x"), cols["QUANTITY"])).otherwise(cols["QUANTITY"])
+    cols["BENEFIT_DESC"] = F.when(fault == 7, F.concat(cols["BENEFIT_DESC"], F.lit(",more"))).otherwise(cols["BENEFIT_DESC"])
+    path = scratch_path(spark, f"dirty-{uuid.uuid4().hex}")
+    c.select(*[v.alias(n) for n, v in cols.items()]).write.option("header", True).option("encoding", "ISO-8859-1").option("quote", "\u0000").csv(path)
+    return path
+
+
+@q("c03_rejects")
+def _c03(spark, sf):
+    """C3 over the whole claims with faults of every kind."""
+    from claimscope.sources.csv_import import import_claims
+    _, bad = import_claims(spark, _dirty_source(spark, sf))
+    return bad.select(F.col("ADMIT_ID").alias("admit_id"), "field", F.when(F.col("field").isNotNull(), F.col("value")).alias("value"), "reason")
+
+
+@q("c03_accepted")
+def _c03b(spark, sf):
+    """S3 of the same file: lines of the right length are claims."""
+    from claimscope.sources.csv_import import import_claims
+    typed, _ = import_claims(spark, _dirty_source(spark, sf))
+    return typed.groupBy("benefit").agg(F.count(F.lit(1)).alias("lines"), F.count("quantity").alias("quantities"), F.count("dob").alias("births"),
+                                        F.count("claim_prov_date").alias("dates"), F.sum("amount").cast("decimal(22,2)").alias("total_amount"))
+
+
+def _accented(c: DataFrame) -> DataFrame:
+    return c.withColumns({"prov_name": F.concat(F.lit("Clínica São José n° "), F.col("prov_name")), "pol_name": F.concat(F.lit("Ñandú & Øster "), F.col("pol_name"))})
+
+
+@q("c10_accents_roundtrip")
+def _c10(spark, sf):
+    """Latin-1 accents written into the source file and read back."""
+    import uuid
+    from claimscope.session import scratch_path
+    from claimscope.sources.csv_import import export_source_csv, import_claims
+    path = export_source_csv(_accented(claims(spark, sf)), scratch_path(spark, f"csv-{uuid.uuid4().hex}"))
+    return import_claims(spark, path)[0].select("admit_id", "service_id", "prov_name", "pol_name")
+
+
+@q("s01_quoted_line_ends")
+def _s01q(spark, sf):
+    """S1 with line ends, quotes and commas inside quoted fields, files split."""
+    import uuid
+    from claimscope.session import scratch_path
+    from claimscope.sources.csv_import import export_source_csv, import_claims
+    odd = claims(spark, sf).withColumn("benefit_desc", F.concat("benefit_desc", F.lit(', "said"\n'), "cost_center", F.lit("\n\"")))
+    path = export_source_csv(odd, scratch_path(spark, f"csv-{uuid.uuid4().hex}"))
+    return import_claims(spark, path, multi_line=True)[0]
+
+
+@q("s10_report_bundles")
+def _s10(spark, sf):
+    """Rows of each result of the downloadable reports."""
+    from claimscope.sources.catalog import report_bundle
+    s, out = scored(spark, sf), None
+    for kind in ("forecast", "fraud", "provider", "member"):
+        for name, df in report_bundle(s, kind, THRESHOLD).items():
+            one = df.agg(F.lit(kind).alias("bundle"), F.lit(name).alias("result"), F.count(F.lit(1)).alias("rows"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _with_nulls(name: str) -> Query:

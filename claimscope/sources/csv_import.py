@@ -9,26 +9,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from claimscope import definitions as D
-from claimscope.operators.clean import invalid_amounts
+from claimscope.sources.quoted_lines import records
+
+
+CORRUPT = "_ragged"   # column of the whole line where its number of fields is wrong
 
 
 def read_claims_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
-                    multi_line: bool = False) -> DataFrame:
+                    multi_line: bool = False, ragged: bool = False) -> DataFrame:
     """S1 + S2: every column as string, header names trimmed, pandas'
     missing tokens nulled (C10: Latin-1 text decoded by ``encoding``).  A
     doubled quote inside quotes is one quote.  ``multi_line`` lets quoted
-    fields hold line ends; such a file cannot be split, so one task reads it:
-    leave it off for files without them."""
-    raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("inferSchema", False).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    return raw.select(*[F.when(F.col(f"`{c}`").isin(D.NA_TOKENS), F.lit(None))
-                        .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    fields hold line ends; such files are split over tasks, too
+    (:mod:`claimscope.sources.quoted_lines`).  ``ragged`` adds the column
+    ``CORRUPT``: the line, where it has too few or too many fields."""
+    options = {"encoding": encoding, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    heads = spark.read.options(**options).option("header", True).option("inferSchema", False).csv(path).columns
+    schema = StructType([StructField(c, StringType()) for c in [*heads, CORRUPT]])
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
+    if multi_line:
+        raw = records(spark, path, encoding)
+        options["multiLine"] = True
+        raw = raw.select(F.from_csv("record", ", ".join(f"`{f.name}` string" for f in schema), {k: str(v) for k, v in options.items() if k not in ("encoding", "columnPruning")}).alias("r")).select("r.*")
+    else:
+        raw = spark.read.options(**options).option("header", True).schema(schema).csv(path)
+    raw = raw.toDF(*[c.strip() for c in heads], CORRUPT)
+    cols = [F.when(F.col(f"`{c.strip()}`").isin(D.NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{c.strip()}`")).alias(c.strip()) for c in heads]
+    # Spark refuses to read the column of whole lines alone, as a count of the
+    # accepted lines would; so it hangs on the first field, too.
+    line = F.when(F.length(F.coalesce(F.col(f"`{heads[0].strip()}`"), F.lit(""))) >= 0, F.col(CORRUPT)).alias(CORRUPT)
+    return raw.select(*cols, *([line] if ragged else []))
 
 
 def parse_date(c: Column) -> Column:
@@ -73,12 +86,34 @@ def typed_claims(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
+def rejects(raw: DataFrame, id_col: str = "ADMIT_ID") -> DataFrame:
+    """Everything that the import could not take as it stood, a row per
+    field: ``id_col, field, value, reason``.  A line with a wrong number of
+    fields is one reject (``field`` null, ``value`` the line); of the others
+    each amount that is no plain number or does not fit, each date that is
+    present but no day/month/year, and each quantity that is present but no
+    number."""
+    col = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
+    amount = normalise_amount(col("AMOUNT"))
+    plain = F.coalesce(amount.rlike(D.AMOUNT_PATTERN), F.lit(False))
+    found = [("AMOUNT", amount, F.when(~plain, "not a number").when(amount.try_cast("double").try_cast("decimal(12,2)").isNull(), "out of range"))] if "AMOUNT" in raw.columns else []
+    for c in ("CLAIM_PROV_DATE", "DOB"):
+        found.append((c, col(c), F.when(col(c).isNotNull() & parse_date(col(c)).isNull(), "not a date")))
+    found.append(("QUANTITY", col("QUANTITY"), F.when(col("QUANTITY").isNotNull() & convert_quantity(col("QUANTITY")).isNull(), "not a number")))
+    one = lambda field, value, reason: F.struct(F.lit(field).cast("string").alias("field"), value.alias("value"), reason.alias("reason"))
+    fields = F.filter(F.array(*[one(*f) for f in found]), lambda f: f.reason.isNotNull())
+    if CORRUPT in raw.columns:
+        whole = F.array(one(None, F.col(CORRUPT), F.lit("wrong number of fields")))
+        fields = F.when(F.col(CORRUPT).isNotNull(), whole).otherwise(fields)
+    return raw.select(col(id_col).alias(id_col), F.explode(fields).alias("f")).select(id_col, "f.field", "f.value", "f.reason")
+
+
 def import_claims(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False):
-    """Returns ``(claims, rejects)``; rejects are every row
-    whose amount text is not a plain number (C3) or does not fit."""
-    raw = read_claims_csv(spark, path, encoding, multi_line)
-    rejects = invalid_amounts(raw) if "AMOUNT" in raw.columns else None
-    return typed_claims(raw), rejects
+    """Returns ``(claims, rejects)``.  A line with a wrong number
+    of fields is only in the rejects, since its values stand in the wrong
+    columns; every other line is a claim, whatever was rejected of it."""
+    raw = read_claims_csv(spark, path, encoding, multi_line, ragged=True)
+    return typed_claims(raw.where(F.col(CORRUPT).isNull())), rejects(raw)
 
 
 def write_claims(df: DataFrame, path: str) -> str:
@@ -102,10 +137,8 @@ def load_claims(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_source_csv(claims: DataFrame, path: str, encoding: str = "ISO-8859-1") -> str:
-    """S8 in the source layout: the claims table written back as the import
-    file (source headers, day/month/year dates, amounts with thousands
-    commas), e.g. to hand a cleaned extract to the upstream system."""
+def source_columns(claims: DataFrame) -> list[Column]:
+    """The claims columns as texts under the source's headers."""
     cols = []
     for src, dst in D.CSV_HEADER_MAP:
         c = F.col(dst)
@@ -114,6 +147,13 @@ def export_source_csv(claims: DataFrame, path: str, encoding: str = "ISO-8859-1"
         elif dst == "amount":
             c = F.format_number(c.cast("double"), 2)
         cols.append(c.cast("string").alias(src))
-    (claims.select(*cols).write.mode("overwrite").option("header", True)
+    return cols
+
+
+def export_source_csv(claims: DataFrame, path: str, encoding: str = "ISO-8859-1") -> str:
+    """S8 in the source layout: the claims table written back as the import
+    file (source headers, day/month/year dates, amounts with thousands
+    commas), e.g. to hand a cleaned extract to the upstream system."""
+    (claims.select(*source_columns(claims)).write.mode("overwrite").option("header", True)
      .option("encoding", encoding).option("escape", '"').csv(path))
     return path
