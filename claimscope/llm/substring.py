@@ -135,11 +135,9 @@ def classes(docs: DataFrame, kind: str, texts: bool) -> DataFrame:
     """``(key, class, brief, n, words)``: ``words`` only with ``texts``."""
     def run(batches):
         for batch in batches:
-            words = list(_words(batch, 1))
-            own = [_class(w) for w in words]
-            yield _batch({"key": batch.column(0), "class": pa.array([c for c, _ in own], pa.binary()), "brief": pa.array([b for _, b in own], pa.int64()),
-                          "n": pa.array([len(w) for w in words], pa.int64()),
-                          "words": pa.array([b" ".join(w) if texts else None for w in words], pa.binary())})
+            own = [(*_class(w), len(w), b" ".join(w) if texts else None) for w in _words(batch, 1)]
+            yield _batch({"key": batch.column(0), "class": pa.array([o[0] for o in own], pa.binary()), "brief": pa.array([o[1] for o in own], pa.int64()),
+                          "n": pa.array([o[2] for o in own], pa.int64()), "words": pa.array([o[3] for o in own], pa.binary())})
 
     return docs.mapInArrow(run, f"key {kind}, class binary, brief long, n long, words binary")
 
@@ -252,7 +250,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     told = written(classes(docs, kind, texts), "substring-classes")
     reps = told.where((F.col("n") >= length) & F.col("key").isNotNull()).groupBy("class", "brief").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
 
-    marks = anchors(docs, length)
+    marks = written(anchors(docs, length), "substring-marks")
     shared = written(marks.groupBy("h").agg(F.min("brief").alias("a"), F.max("brief").alias("b")).where("a <> b").select("h"), "substring-anchors")
     places = marks.join(shared, "h").groupBy("brief").agg(F.collect_set("at").alias("at"))
     asked = written(reps.join(places, "brief").select("class", F.col("rep").alias("key"), "at"), "substring-asked")
@@ -261,7 +259,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     again = classes(docs, kind, True).select("class", "words").join(only, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
     found = written(again.join(asked, "class").withColumn("uid", F.monotonically_increasing_id()), "substring-texts")
 
-    grams = windows(found, length)
+    grams = written(windows(found, length), "substring-windows")
     first = written(grams.groupBy("h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("h1", "h2", "a"), "substring-first")
     repeats = grams.join(first, ["h1", "h2"]).where("key > a").groupBy("uid").agg(F.collect_list("at").alias("at"))
     cut = removed(found.drop("at").join(repeats, "uid"), length, texts)
