@@ -47,12 +47,25 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SEED = 42
 
 
+class _Grams(dict):
+    """n-gram -> CRC-32, for the short n-grams that most words share."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        h = self[gram] = zlib.crc32(gram.encode())
+        return h
+
+
+_GRAMS = _Grams()
+
+
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Hash buckets of the n-grams of one lower-case word and the word."""
-    w = f"<{word}>"
-    grams = [w[i:i + n] for n in NGRAMS for i in range(len(w) - n + 1)]
-    grams.append(w)
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
+    w, seen = f"<{word}>", _GRAMS
+    hashes = [seen[w[i:i + n]] for n in NGRAMS for i in range(len(w) - n + 1)]
+    hashes.append(zlib.crc32(w.encode()))
+    return [h % buckets for h in hashes]
 
 
 def held_out(key: str = "doc_id"):
@@ -92,9 +105,10 @@ class Predictor(dict):
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        g = subwords(word, len(self.table))
-        self.rows[at, :-1] = self.table[g].sum(0)
-        self.rows[at, -1] = len(g)
+        if any(map(str.isalpha, word)):  # numerals such as a half or a superscript are no letters
+            g = subwords(word, len(self.table))
+            np.add.reduce(self.table.take(g, 0), 0, out=self.rows[at, :-1])
+            self.rows[at, -1] = len(g)
         self[word] = at
         return at
 
@@ -110,6 +124,8 @@ class Predictor(dict):
             idx = np.fromiter(map(self.__getitem__, words[at:at + 100_000]), np.int64)
             total += np.bincount(idx, minlength=len(self)).astype(float) @ self.rows[:len(self)] \
                 if len(idx) > len(self) // 4 else self.rows[idx].sum(0)
+        if not total[-1]:
+            return UND, 0.0
         z = (total[:-1] / total[-1] + self.model.bias) / self.model.temperature
         e = np.exp(z - z.max())
         best = int(np.argmax(e))
