@@ -9,6 +9,7 @@ parameters (3 lines per member-month, factor 1.9, threshold 0.35).
 
 from __future__ import annotations
 
+from claimscope import definitions as _D
 from claimscope.sources.tables import CLAIM_COLUMNS
 
 CL = """cl AS (
@@ -742,3 +743,9 @@ ORACLE["s10_report_bundles"] = "\nUNION ALL ".join(_rows_of(*r) for r in (
     ("fraud", "high_risk", ORACLE["r08_high_risk"]), ("fraud", "providers", ORACLE["r10_provider_fraud"]), ("fraud", "diagnoses", ORACLE["r14_diagnosis_fraud"]),
     ("provider", "efficiency", ORACLE["a23_provider_efficiency"]), ("provider", "fraud", ORACLE["r10_provider_fraud"]),
     ("member", "segments", ORACLE["w17_member_segments"]), ("member", "frequency", ORACLE["a12_claim_frequency"])))
+_PCT = ", ".join(f"{p}::DOUBLE" for p in _D.COST_PERCENTILES)
+ORACLE["p07_sketched_percentiles"] = w(f"""sk AS (SELECT benefit, CAST(floor(ln(CAST(amount AS DOUBLE)) * 4096) AS BIGINT) AS bucket, count(*) AS n, min(CAST(amount AS DOUBLE)) AS low, max(CAST(amount AS DOUBLE)) AS high
+  FROM cl WHERE strftime(claim_prov_date, '%Y-%m') BETWEEN '1996-01' AND '1997-06' AND amount > 0 GROUP BY 1, 2),
+rk AS (SELECT *, sum(n) OVER (PARTITION BY benefit ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY benefit) AS total FROM sk)""") + f"""
+SELECT benefit, CAST(p * 100 AS INTEGER) AS pct, round(low, 2) AS low, round(high, 2) AS high FROM rk, (SELECT unnest([{_PCT}]) AS p)
+WHERE floor(p * (total - 1)) < upto AND floor(p * (total - 1)) >= upto - n"""

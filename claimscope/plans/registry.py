@@ -203,6 +203,24 @@ def _p07(spark, sf):
     return P.cost_percentiles(claims(spark, sf))
 
 
+def _amount_sketch(spark, sf):
+    """Amounts by month and benefit, sketched once and stored."""
+    from claimscope.operators import sketches
+    from claimscope.plans.stored import data_key, stored
+    return stored(spark, f"amount-sketch|{data_key(sf)}", lambda: sketches.build(claims(spark, sf, month=True), "amount", ["claim_month", "benefit"]),
+                  sources=T.claim_sources(sf))
+
+
+@q("p07_sketched_percentiles")
+def _p07s(spark, sf):
+    """P7 for a period and per benefit, from the stored sketches alone: the
+    bounds between which each percentile lies."""
+    from claimscope.operators import sketches
+    s = _amount_sketch(spark, sf).where(F.col("claim_month").between("1996-01", "1997-06"))
+    return (sketches.quantiles(s, D.COST_PERCENTILES, ["benefit"])
+            .select("benefit", (F.col("p") * 100).cast("int").alias("pct"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high")))
+
+
 @q("p08_age_profile")
 def _p08(spark, sf):
     return P.age_profile(claims(spark, sf))
