@@ -156,6 +156,32 @@ def linear_metrics(fit: Fit, df: DataFrame) -> DataFrame:
                                         *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")], "tp", "fp", "fn", "tn")
 
 
+def permutation_importance(score, df: DataFrame, features: Sequence[str], label: str = "label", key: str = "line_id") -> DataFrame:
+    """L6 for any model: ``feature, importance, rows``, the loss of accuracy on
+    ``df`` when one feature's values are dealt anew among the rows.  ``score``
+    is a Column over ``df`` (1 from 0.5 up).  The dealing is a permutation keyed
+    by hashes of ``key``: the row at place i of one hash order gets the value of
+    the row at place i of another; places are running totals over buckets, so
+    no task orders all rows, and the same rows are always dealt alike."""
+    from claimscope.plans.distributed import running_total
+    data = cut(df.where(F.col(label).isNotNull()), "l06-test")
+
+    def placed(rows: DataFrame, seed: str) -> DataFrame:
+        h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double")
+        return running_total(rows.withColumn("__h", h), ["__h", key], []).drop("__h").withColumnRenamed("row_pos", "__at")
+
+    right = lambda s: F.count_if((s >= 0.5) == (F.col(label) == 1))
+    base = data.agg(right(score).alias("__base"), F.count(F.lit(1)).alias("rows"))
+    to, out = cut(placed(data, "to"), "l06-places"), None
+    for c in features:
+        values = placed(data.select(key, F.col(c).alias("__new")), c).select("__at", "__new")
+        dealt = to.join(values, "__at").withColumn(c, F.col("__new"))
+        one = dealt.agg(F.lit(c).alias("feature"), right(score).alias("__right"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(base)).select(
+        "feature", F.try_divide((F.col("__base") - F.col("__right")).cast("double"), "rows").alias("importance"), "rows")
+
+
 def predict_linear(fit: Fit, df: DataFrame) -> DataFrame:
     """Per line the predicted class and its probability in percent."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fit.predict()))

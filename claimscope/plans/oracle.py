@@ -613,6 +613,29 @@ ORACLE["m12_claim_predictions"] = _recursive(w(CLA, _CLASSIFIER)) + """
 SELECT line_id AS claim_id, CAST(amount AS DOUBLE) AS amount, CAST(p >= 0.5 AS INTEGER) AS predicted_label, round(greatest(p, 1 - p) * 100, 2) AS confidence_pct
 FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(x, b))) AS p FROM xs, ols)"""
 ORACLE["m13_batch_predict"] = ORACLE["m12_claim_predictions"]
+_INPUTS = [("quantity", 1), ("amount", 2), ("age", 3), ("benefit", 0), ("gender", 0), ("dependent_type", 0), ("encounter", 0), ("cost_center", 0)]
+
+
+def _dealt(c: str, numeric: bool) -> str:
+    """Rows right with column ``c`` dealt anew: value i of one hash order goes
+    to row i of another."""
+    name = "amount_d" if c == "amount" else c
+    # first feature of this input and how many it has
+    value = {"quantity": "list_concat(list_concat(x[1:1], [new_x[2]]), x[3:])", "amount": "list_concat(list_concat(x[1:2], [new_x[3]]), x[4:])",
+             "age": "list_concat(list_concat(x[1:3], [new_x[4]]), x[5:])"}.get(c)
+    if not numeric:
+        before = [k for k, n in _INPUTS if not n][: [k for k, n in _INPUTS if not n].index(c)]
+        at = "7" + "".join(f" + len(v_{k}) - 1" for k in before)
+        value = f"list_concat(list_concat(x[1:{at}], new_x[{at} + 1:{at} + len(v_{c}) - 1]), x[{at} + len(v_{c}):])"
+    h = "CAST('0x' || substr(md5(line_id || ':{}'), 1, 12) AS BIGINT)"
+    return f"""SELECT '{name}' AS feature, count(*) FILTER (WHERE (list_dot_product({value}, b) >= 0.5) = (label = 1)) AS r FROM
+  (SELECT x, label, row_number() OVER (ORDER BY {h.format('to')}, line_id) AS i FROM xs WHERE NOT train) t
+  JOIN (SELECT x AS new_x, row_number() OVER (ORDER BY {h.format(name)}, line_id) AS i FROM xs WHERE NOT train) v USING (i), cats, ols"""
+
+
+ORACLE["l06_permutation_importance"] = _recursive(w(CLA, _CLASSIFIER)) + f"""
+SELECT feature, round((base - r)::DOUBLE / n, 6) AS importance, n AS rows FROM ({' UNION ALL '.join(_dealt(c, bool(n)) for c, n in _INPUTS)}),
+  (SELECT count(*) AS n, count(*) FILTER (WHERE (list_dot_product(x, b) >= 0.5) = (label = 1)) AS base FROM xs, ols WHERE NOT train)"""
 ORACLE["l08_claims_regression"] = _recursive(w(CLA, _least_squares("amount", ["quantity", "age"], ["benefit", "gender", "encounter"], where="amount IS NOT NULL"))) + """
 SELECT 'linear_regression' AS model, round(sqrt(sum((y - p) * (y - p)) / count(*)), 4) AS rmse,
   round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS test_rows

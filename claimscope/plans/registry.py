@@ -915,6 +915,16 @@ def _l06(spark, sf):
     return L.feature_importance(models, test)
 
 
+@q("l06_permutation_importance")
+def _l06p(spark, sf):
+    """L6 of the stored linear classifier over its held-out lines."""
+    from claimscope.operators import ml as L
+    _, test = L.split(L.raw_inputs(claims(spark, sf)))
+    inputs = [*L.NUMERIC, *L.CATEGORICAL]
+    return L.permutation_importance(_linear(spark, sf).predict(), test.select("line_id", "label", *inputs), inputs).select(
+        "feature", F.round("importance", 6).alias("importance"), "rows")
+
+
 @q("l07_class_balance")
 def _l07(spark, sf):
     from claimscope.operators import ml as L
@@ -973,9 +983,6 @@ def _s01(spark, sf):
     return typed
 
 
-# Service codes of the test data: line status F/O x priority 1-5 (fixed values).
-
-
 @q("a18_diagnosis_treatment_wide")
 def _a18w(spark, sf):
     return A.diagnosis_treatment(claims(spark, sf), wide=True)

@@ -114,3 +114,17 @@ def test_stored_model_is_loaded_not_trained(spark, monkeypatch):
     monkeypatch.setattr(ml, "fit_linear_classifier", None)  # a second training would fail
     again = registry.REGISTRY["m13_batch_predict"](spark, SF_SMALL)
     assert first.count() == again.count() > 0
+
+
+def test_permutation_importance(spark):
+    rng = random.Random(6)
+    rows = [(f"r{i}", rng.random(), rng.random(), 0) for i in range(800)]
+    rows = [(k, a, b, int(a > 0.5)) for k, a, b, _ in rows] + [("none", 0.1, 0.1, None)]
+    df = spark.createDataFrame(rows, "line_id string, a double, b double, label int")
+    got = {r.feature: r for r in ml.permutation_importance(F.col("a") + F.lit(0.0), df, ["a", "b"]).collect()}
+    assert got["b"].importance == 0.0 and got["a"].rows == 800
+    assert 0.4 < got["a"].importance < 0.6  # a coin's toss is left
+    again = {r.feature: r.importance for r in ml.permutation_importance(F.col("a") + F.lit(0.0), df.repartition(5), ["a", "b"]).collect()}
+    assert again == {k: r.importance for k, r in got.items()}
+    # dealing keeps the values: the mean of a score that is the feature itself stays
+    assert ml.permutation_importance(F.lit(1.0), df, ["a"]).first()["importance"] == 0.0
