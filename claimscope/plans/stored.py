@@ -11,8 +11,9 @@ so a lost executor re-reads files instead of recomputing joins.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import inspect
+import importlib.util
 import threading
 import uuid
 from collections.abc import Callable, Sequence
@@ -41,14 +42,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MAKERS = ("definitions", "operators.filters", "operators.fraud", "operators.linear", "operators.ml", "operators.sketches", "operators.stats",
+           "plans.distributed", "plans.registry", "sources.csv_import", "sources.tables")
+
+
+@functools.cache
 def _code() -> str:
     """Fingerprint of the modules that decide what a stored table holds."""
-    from claimscope import definitions
-    from claimscope.operators import fraud
-    from claimscope.plans import distributed, registry
-    from claimscope.sources import csv_import, tables
-    text = "".join(inspect.getsource(m) for m in (definitions, fraud, distributed, registry, csv_import, tables))
-    return hashlib.sha1(text.encode()).hexdigest()
+    sha = hashlib.sha1()
+    for name in _MAKERS:
+        spec = importlib.util.find_spec(f"claimscope.{name}")
+        sha.update(spec.loader.get_source(spec.name).encode())
+    return sha.hexdigest()
 
 
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame],
