@@ -28,12 +28,14 @@ exploded n-grams with a count table, summed per document:
    to its count table there, and partial sums per document come back.
 
 A broadcast word is known by its place in the broadcast, any other by a 63-bit
-hash, and so is every n-gram; two of a billion keys meet with a probability
+hash.  Two broadcast words side by side are known by their two places, any
+other n-gram by a 62-bit hash; two of a billion hashes meet with a probability
 of some per cent, and then share a count.
 
 n-grams travel as packed arrays (one row for a bucket and a few thousand
-documents), which keeps the shuffle near 8 bytes an n-gram.  Sums are in
-billionths of a nat as integers, so their order does not matter.
+documents): sorted, as differences, byte by byte and compressed, which takes 5
+to 8 bytes an n-gram.  Sums are in billionths of a nat as integers, so their
+order does not matter.
 
 Defined results.  Null, empty and wordless texts have no tokens, score 0 and
 a null mean.  Repeated rows are scored one by one (and counted one by one).
@@ -63,7 +65,9 @@ PER_BUCKET = 1_000_000  # tokens a bucket is made for
 MEMO_WORDS = 400_000
 RARE_MEMO = 100_000   # words that are not broadcast and yet memoised by a task
 _MIX = 0x9E3779B97F4A7C15
-_TOP = 1 << 63         # set in the hash of a word and of an n-gram: as a long it is negative
+_TOP = 1 << 63         # set in the hash of a word and the key of an n-gram: as a long it is negative
+_HASHED = 1 << 62      # set in an n-gram's key unless it holds the places of two broadcast words
+_PLACE = 21            # bits of a place, 1 to 2 ** VOCAB_BITS
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -155,7 +159,16 @@ def _hot(total: int, bits: int | None) -> int:
 
 
 def _key(ids):
-    """Hash of n-grams given as a list of their id arrays."""
+    """Keys of n-grams given as a list of their id arrays."""
+    import numpy as np
+    if len(ids) == 2:
+        a, b = (x.astype(np.int64) for x in ids)
+        places = ((a << _PLACE) | b).view(np.uint64) | np.uint64(_TOP)
+        return np.where((a >= 0) & (b >= 0), places.view(np.int64), _hash(ids))
+    return _hash(ids)
+
+
+def _hash(ids):
     import numpy as np
     with np.errstate(over="ignore"):
         x = ids[0].astype(np.int64).view(np.uint64) + np.uint64(len(ids) << 40)  # 0 alone would stay 0
@@ -165,7 +178,7 @@ def _key(ids):
             x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX) + y.astype(np.int64).view(np.uint64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return ((x ^ (x >> np.uint64(31))) | np.uint64(_TOP)).view(np.int64)
+    return ((x ^ (x >> np.uint64(31))) | np.uint64(_TOP | _HASHED)).view(np.int64)
 
 
 def _ngrams(ids, doc, order: int):
@@ -202,14 +215,62 @@ def _flushes(batches, words: WordIds, flush: int):
         yield keys, np.array([len(p) for p in parts]), np.concatenate(parts)
 
 
-def _packed(o, bucket, arrays):
+class Ints:
+    """Packs arrays of longs: signs folded into the lowest bit, only the bytes
+    that the largest needs, lowest bytes of all first, compressed."""
+
+    def __init__(self):
+        import zstandard
+        self.pack, self.unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+    def dumps(self, x) -> bytes:
+        import numpy as np
+        x = np.ascontiguousarray(x, "<i8")
+        u = ((x << 1) ^ (x >> 63)).view("<u8")
+        width = max(1, -(-int(u.max()).bit_length() // 8)) if len(u) else 1
+        return bytes([width]) + self.pack(u.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+    def loads(self, packed: bytes):
+        import numpy as np
+        width = packed[0]
+        planes = np.frombuffer(self.unpack(packed[1:]), np.uint8).reshape(width, -1)
+        out = np.zeros((planes.shape[1], 8), np.uint8)
+        out[:, :width] = planes.T
+        u = out.reshape(-1).view("<u8")
+        return ((u >> np.uint64(1)) ^ (np.uint64(0) - (u & np.uint64(1)))).view("<i8")
+
+    def dumps_rising(self, x) -> bytes:
+        return self.dumps(_steps(x))
+
+    def loads_rising(self, packed: bytes):
+        import numpy as np
+        return np.cumsum(self.loads(packed))
+
+
+def _steps(x):
+    """Differences, wrapping around; ``cumsum`` undoes them."""
+    import numpy as np
+    return np.diff(x, prepend=np.zeros(1, x.dtype)) if len(x) else x
+
+
+def _by_bucket(bucket, buckets: int):
+    """Each bucket present and the places of its rows, in their order."""
+    import numpy as np
+    at = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    names, starts = np.unique(bucket[at], return_index=True)
+    return [(int(b), at[s:e]) for b, s, e in zip(names, starts, np.append(starts[1:], len(at)))]
+
+
+def _packed(o, bucket, buckets, ids, counts, ints: Ints):
+    """Rows of n-grams (``ids``: one array a position) by bucket."""
     import numpy as np
-    at = np.argsort(bucket, kind="stable")
-    b, starts = np.unique(bucket[at], return_index=True)
-    ends = np.append(starts[1:], len(at))
-    cols = [[x[at[s:e]].tobytes() for s, e in zip(starts, ends)] for x in arrays]
+    names, keys, numbers = [], [], []
+    for b, own in _by_bucket(bucket, buckets):
+        names.append(b)
+        keys.append(ints.dumps(np.concatenate([_steps(ids[0][own]), *(x[own] for x in ids[1:])])))
+        numbers.append(ints.dumps(counts[own]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(b), o), pa.int32()), pa.array(b.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
+        [pa.array(np.full(len(names), o), pa.int32()), pa.array(names, pa.int32()), pa.array(keys, pa.binary()), pa.array(numbers, pa.binary())],
         names=["ord", "bucket", "keys", "counts"])
 
 
@@ -219,20 +280,29 @@ def ngram_counts(df: DataFrame, vocab, order: int, buckets: int, text: str = "te
     from 2 on, with the keys of the prefix, the suffix and what they share."""
     def pack(batches):
         import numpy as np
-        words = WordIds(vocab.value)
+        words, ints = WordIds(vocab.value), Ints()
         for _, lengths, ids in _flushes(batches, words, flush):
             doc = np.repeat(np.arange(len(lengths)), lengths)
             for o in range(2, order + 1):
                 key, at = _ngrams(ids, doc, o)
                 key, first, c = np.unique(key, return_index=True, return_counts=True)
-                own = np.stack([ids[at[first] + k] for k in range(o)], 1) if len(key) else np.empty((0, o), np.int64)
-                yield _packed(o, _bucket(key, buckets), [own.astype("<i8"), c.astype("<u4")])
+                # Keys of two places rise with the first; the others are put in the order of their first word.
+                hashed = np.flatnonzero(key.view(np.uint64) & np.uint64(_HASHED))
+                if len(hashed):
+                    at_hash = first[hashed]
+                    srt = np.argsort(ids[at[at_hash]])
+                    first[hashed], key[hashed], c[hashed] = at_hash[srt], key[hashed][srt], c[hashed][srt]
+                yield _packed(o, _bucket(key, buckets), buckets, [ids[at[first] + k] for k in range(o)], c, ints)
 
     def add(group: pa.Table) -> pa.Table:
         import numpy as np
-        o = group.column("ord")[0].as_py()
-        ids = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<i8").reshape(-1, o)
-        c = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
+        o, ints = group.column("ord")[0].as_py(), Ints()
+        parts = [ints.loads(x.as_py()).reshape(o, -1) for x in group.column("keys")]
+        for part in parts:
+            part[0] = np.cumsum(part[0])
+        ids = np.concatenate(parts, 1).T
+        del parts
+        c = np.concatenate([ints.loads(x.as_py()) for x in group.column("counts")])
         key = _key([ids[:, k] for k in range(o)])
         at = np.argsort(key)
         key, starts = np.unique(key[at], return_index=True)
@@ -289,12 +359,10 @@ def values(counts: DataFrame, words: DataFrame, vocab, order: int, buckets: int)
         if (bounded and order == 2) or (x == "mid" and (bounded or order == 2)):
             rows = rows.withColumn(f"c_{x}", F.lit(0).cast("long"))
             continue
-        # Rows that ask for nothing take part with a key that matches nothing,
-        # their own, and so do not meet in one task.
-        asked = F.when(F.col(x) < 0, F.col(x)).otherwise(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)))
-        have = known.select(F.col(known.columns[0]).alias("__k"), F.col("c").alias(f"c_{x}"))
-        rows = rows.withColumn("__a", asked).join(have, F.col("__a") == F.col("__k"), "left").drop("__a", "__k")
-        rows = rows.withColumn(f"c_{x}", F.coalesce(f"c_{x}", F.lit(0).cast("long")))
+        # Only rows that ask for a count are shuffled.
+        have = known.select(F.col(known.columns[0]).alias(x), F.col("c").alias(f"c_{x}"))
+        asking = rows.where(F.col(x) < 0).join(have, x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", F.lit(0).cast("long")))
+        rows = rows.where(F.col(x) >= 0).withColumn(f"c_{x}", F.lit(0).cast("long")).unionByName(asking)
     out = rows.select("ord", "bucket", "key", "c", "pre", "suf", "mid", "c_pre", "c_suf", "c_mid").mapInArrow(run, schema)
     return out if bounded else out.union(words.mapInArrow(alone, schema))
 
@@ -327,6 +395,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
 
     def explode(batches):
         words, uni, flush = WordIds(shared.value), shared.value.unigram_units(), TaskContext.get().partitionId() << 32
+        ints = Ints()
         for keys, lengths, ids in _flushes(batches, words, flush_tokens):
             n, flush = len(keys), flush + 1
             doc = np.repeat(np.arange(n), lengths)
@@ -346,12 +415,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
                         is_hot = hot_k[place] == grams
                         local += _sum_by(at[is_hot], hot_v[place[is_hot]], n)
                         grams, at = grams[~is_hot], at[~is_hot]
-                b = _bucket(grams, buckets)
-                srt = np.argsort(b, kind="stable")
-                names, starts = np.unique(b[srt], return_index=True)
-                for name, s, e in zip(names, starts, np.append(starts[1:], len(srt))):
-                    own = srt[s:e]
-                    packs.append((int(name), at[own].astype("<u4").tobytes(), grams[own].astype("<i8").tobytes()))
+                srt = np.argsort(grams)
+                grams, at = grams[srt], at[srt]
+                for name, own in _by_bucket(_bucket(grams, buckets), buckets):
+                    packs.append((name, ints.dumps(at[own]), ints.dumps_rising(grams[own])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([flush % buckets] * n, pa.int32()), pa.array([flush] * n, pa.int64()), pa.array(np.arange(n)), _as_array(keys),
                  pa.array(lengths.astype(np.int64)), pa.array(local), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
@@ -374,14 +441,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         keys = have.column("key").to_numpy()
         at = np.argsort(keys)
         keys, vals = keys[at], np.asarray(have.column("v"))[at]
-        docs, sums = [], []
+        docs, sums, ints = [], [], Ints()
         for own, grams in zip(packed.column("docs"), packed.column("grams")):
-            grams = np.frombuffer(grams.as_py(), "<i8")
+            grams = ints.loads_rising(grams.as_py())
             place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
             hit = np.flatnonzero(keys[place] == grams)
-            row, inv = np.unique(np.frombuffer(own.as_py(), "<u4")[hit], return_inverse=True)
-            docs.append(row.tobytes())
-            sums.append(_sum_by(inv, vals[place[hit]], len(row)).tobytes())
+            row, inv = np.unique(ints.loads(own.as_py())[hit], return_inverse=True)
+            docs.append(ints.dumps_rising(row))
+            sums.append(ints.dumps(_sum_by(inv, vals[place[hit]], len(row))))
         m = len(docs)
         back = pa.table({"flush": packed.column("flush"), "row": pa.nulls(m, pa.int64()), "k": pa.nulls(m, plain.schema.field("k").type),
                          "n": pa.nulls(m, pa.int64()), "s": pa.nulls(m, pa.int64()), "docs": pa.array(docs, pa.binary()),
@@ -392,11 +459,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         """One flush: its documents with all their partial sums."""
         is_doc = pa.compute.is_valid(group.column("n"))
         plain, packed = group.filter(is_doc), group.filter(pa.compute.invert(is_doc))
-        s = plain.column("s").to_numpy().copy()
+        s, ints = plain.column("s").to_numpy().copy(), Ints()
         place = np.empty(len(s), np.int64)
         place[np.asarray(plain.column("row"))] = np.arange(len(s))
         for own, part in zip(packed.column("docs"), packed.column("grams")):
-            s[place[np.frombuffer(own.as_py(), "<u4")]] += np.frombuffer(part.as_py(), "<i8")
+            s[place[ints.loads_rising(own.as_py())]] += ints.loads(part.as_py())
         return pa.table({"k": plain.column("k"), "n_tokens": plain.column("n"), "s": pa.array(s)})
 
     sums_names = ["flush", "row", "k", "n", "s", "docs", "grams"]
