@@ -170,13 +170,21 @@ def score_at_least(df: DataFrame, threshold: float, score: str = "fraud_score")
 def text_search(df: DataFrame, query: str, cols: Iterable[str] | None = None) -> DataFrame:
     """every whitespace-separated term must appear (case-insensitive)
     in the row's text."""
-    cols = list(cols) if cols is not None else df.columns
-    text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]))
-    for term in query.lower().split():
+    text = search_text(cols if cols is not None else df.columns)
+    for term in search_terms(query):
         df = df.where(text.contains(term))
     return df
 
 
+def search_text(cols: Iterable[str]) -> Column:
+    """The text of a row that F11 searches."""
+    return F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]))
+
+
+def search_terms(query: str) -> list[str]:
+    return query.lower().split()
+
+
 def claim_lookup(df: DataFrame, claim_id: str, key: str = "line_id") -> DataFrame:
     """one claim by id."""
     return df.where(F.col(key) == F.lit(claim_id))

@@ -206,6 +206,10 @@ ORACLE["f11_text_search"] = w() + """SELECT line_id FROM cl
 WHERE contains(lower(concat_ws(' ', line_id, icd10_code, benefit, prov_name)), 'brand#2')
   AND contains(lower(concat_ws(' ', line_id, icd10_code, benefit, prov_name)), 'promo')"""
 ORACLE["f14_claim_lookup"] = w() + "SELECT line_id, amount FROM cl WHERE claim_ce = '7'"
+ORACLE["f11_indexed_search"] = w() + """SELECT line_id, claim_prov_date, amount FROM cl
+WHERE contains(lower(concat_ws(' ', line_id, icd10_code, benefit, prov_name)), '115-1-')
+  AND contains(lower(concat_ws(' ', line_id, icd10_code, benefit, prov_name)), 'brand')"""
+ORACLE["f14_indexed_lookup"] = w() + "SELECT line_id, claim_prov_date, amount FROM cl WHERE claim_ce = '7'"
 ORACLE["f15_drilldown"] = w(SC) + """SELECT line_id AS claim_id, claim_prov_date AS date, claim_me,
   prov_name AS provider_name, icd10_code AS diagnosis, amount,
   CASE WHEN coalesce(fraud_flag, false) THEN 'Flagged' ELSE 'Approved' END AS status FROM scf"""

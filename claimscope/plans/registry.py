@@ -299,6 +299,36 @@ def _f14(spark, sf):
     return Fl.claim_lookup(claims(spark, sf), "7", key="claim_ce").select("line_id", "amount")
 
 
+_SEARCHED = ["line_id", "icd10_code", "benefit", "prov_name"]
+
+
+def _index(spark, sf, name, build):
+    """A lookup index over the claims, built once and stored."""
+    from claimscope.operators.lookup import write_index
+    from claimscope.plans.stored import data_key, stored
+    return stored(spark, f"index-{name}|{data_key(sf)}", build, write_index, T.claim_sources(sf))
+
+
+@q("f11_indexed_search")
+def _f11i(spark, sf):
+    """F11 for a part of a line's id: only the months that hold both terms
+    are opened."""
+    from claimscope.operators import lookup
+    lines = claims(spark, sf, month=True)
+    words = _index(spark, sf, "words", lambda: lookup.word_places(lines, _SEARCHED))
+    parts = _index(spark, sf, "grams", lambda: lookup.grams(words))
+    return lookup.search(lines, words, parts, "115-1- Brand", _SEARCHED).select("line_id", "claim_prov_date", "amount")
+
+
+@q("f14_indexed_lookup")
+def _f14i(spark, sf):
+    """F14 by the admission number: only its months are opened."""
+    from claimscope.operators import lookup
+    lines = claims(spark, sf, month=True)
+    ids = _index(spark, sf, "claim-ids", lambda: lookup.id_places(lines, "claim_ce"))
+    return lookup.lookup(lines, ids, "7", "claim_ce").select("line_id", "claim_prov_date", "amount")
+
+
 @q("f15_drilldown")
 def _f15(spark, sf):
     return Fl.drilldown(scored(spark, sf))

@@ -42,7 +42,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_MAKERS = ("definitions", "operators.filters", "operators.fraud", "operators.linear", "operators.ml", "operators.sketches", "operators.stats",
+_MAKERS = ("definitions", "operators.filters", "operators.fraud", "operators.linear", "operators.lookup", "operators.ml", "operators.sketches", "operators.stats",
            "plans.distributed", "plans.registry", "sources.csv_import", "sources.tables")
 
 
