@@ -17,14 +17,17 @@ once: if both vectors visit each other's cell, each credits itself, otherwise
 the visitor credits both.
 
 Defined results.  Null and zero vectors, and vectors with a null or
-non-finite component, have no links and are their own component.  So have
-vectors of another length than the most frequent one.  Repeated rows are
-other vectors, linked at cosine 1.  A null id is never the smallest.  Empty
-tables give empty results.  Only the id and vector columns are read.
+non-finite component, have no links and are their own component.  Vectors of
+different lengths never link; each length with a share of ``1 / GRIDS`` of all
+or more has a grid of its own, the vectors of rarer lengths are compared
+exactly, in blocks.  Repeated rows are other vectors, linked at cosine 1.  A
+null id is never the smallest.  Empty tables give empty results.  Only the id
+and vector columns are read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -40,6 +43,7 @@ MAX_K = 512           # codewords a half; both codebooks stay under a megabyte o
 PER_CELL = 16         # vectors a cell that K aims at
 BLOCK = 2048          # vectors of one grid row in one block
 ROUNDS = 12           # k-means rounds
+GRIDS = 64            # lengths with this part of all vectors have a grid, so there are at most as many
 _SEED = 42
 
 
@@ -261,6 +265,36 @@ def links(classes: DataFrame, grid, cosine: float = COSINE, block: int = BLOCK)
     return rows.groupBy("i", "ib", "qb").applyInArrow(verify, "uid long, credit long, root long")
 
 
+def rare_links(classes: DataFrame, counts: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """``(uid, credit, root)`` of vectors of the lengths in ``counts(w,
+    count)``: all pairs of blocks of one length, compared exactly.  A length
+    here has less than ``1 / GRIDS`` of all vectors."""
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    rows = (classes.withColumn("w", F.octet_length("v")).join(counts, "w").withColumn("blocks", blocks)
+            .withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("w", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "uid", "n", "v"))
+
+    def verify(group: pa.Table) -> pa.Table:
+        import numpy as np
+        bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
+        own, uid, n, v = *(np.asarray(group.column(c)) for c in ("own", "uid", "n")), _stack(group.column("v"))
+        first = np.flatnonzero(own == bi)
+        second = first if bi == bj else np.flatnonzero(own == bj)
+        a, b = np.nonzero(v[first] @ v[second].T >= cosine)
+        a, b = first[a], second[b]
+        if bi == bj:
+            a, b = a[a < b], b[a < b]
+        ids, at = np.unique(np.concatenate([uid[a], uid[b]]), return_inverse=True)
+        credit = np.zeros(len(ids), np.int64)
+        np.add.at(credit, at[:len(a)], n[b])
+        np.add.at(credit, at[len(a):], n[a])
+        root = ids[_local_roots(at[:len(a)], at[len(a):], len(ids))] if len(ids) else ids
+        return pa.table({"uid": pa.array(ids, pa.int64()), "credit": pa.array(credit), "root": pa.array(root, pa.int64())})
+
+    return rows.groupBy("w", "bi", "bj").applyInArrow(verify, "uid long, credit long, root long")
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE,
                     target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row."""
@@ -270,23 +304,29 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes = (rows.where("h is not null").groupBy("h").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min(key).alias("__first"))
                .withColumn("uid", F.monotonically_increasing_id()))
     classes = written(classes, "imi-classes")  # fixes the uid of each class
-    width = classes.groupBy(F.octet_length("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    widths = classes.groupBy(F.octet_length("v").alias("w")).count()
+    total = classes.count()
     alone = rows.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"),
                         F.lit(True).alias("kept"))
-    if width is None:
+    if not total:
         return alone
-    usable = classes.where(F.octet_length("v") == width.w)
-    sample = usable.select("v").orderBy(F.xxhash64("h"), "uid").limit(SAMPLE).collect()
-    grid = spark.sparkContext.broadcast(fit(np.frombuffer(b"".join(r.v for r in sample)).reshape(len(sample), -1), width["count"], cosine, target))
-    found = written(links(usable, grid, cosine, block), "imi-links")
+    parts = []
+    often = widths.where(F.col("count") * GRIDS >= total).collect()  # at most GRIDS rows
+    for width in often:
+        usable = classes.where(F.octet_length("v") == width.w)
+        sample = usable.select("v").orderBy(F.xxhash64("h"), "uid").limit(SAMPLE).collect()
+        grid = spark.sparkContext.broadcast(fit(np.frombuffer(b"".join(r.v for r in sample)).reshape(len(sample), -1), width["count"], cosine, target))
+        parts.append(links(usable, grid, cosine, block))
+    if sum(width["count"] for width in often) < total:
+        parts.append(rare_links(classes, widths.where(F.col("count") * GRIDS < total), cosine, block))
+    found = written(functools.reduce(DataFrame.union, parts), "imi-links")
     credit = found.groupBy("uid").agg(F.sum("credit").alias("credit"))
     comp = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     member = (classes.join(credit, "uid", "left").join(comp, F.col("uid") == F.col("node"), "left")
               .select("h", "__first", (F.col("n") - 1 + F.coalesce("credit", F.lit(0))).alias("n_links"),
-                      F.coalesce("component", "uid").alias("__root"),
-                      (F.octet_length("v") == width.w).alias("__ok")))
+                      F.coalesce("component", "uid").alias("__root")))
     root = member.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    per_class = member.where("__ok").join(root, "__root").select("h", "n_links", "component_id")
+    per_class = member.join(root, "__root").select("h", "n_links", "component_id")
     out = rows.select(key, "h").join(per_class, "h", "left")
     comp_id = F.when(F.col("n_links").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"),

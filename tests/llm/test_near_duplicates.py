@@ -151,3 +151,29 @@ def test_recall_on_the_table(spark):
     n, _ = brute([(r.vec_id, list(r.embedding)) for r in df.collect()])
     got = {r.vec_id: r.n_links for r in imi.near_duplicates(df).collect()}
     assert sum(got.values()) >= 0.9 * n.sum()
+
+
+@pytest.mark.parametrize("grids, block", [(64, 2048), (3, 16), (1, 7)])
+def test_vectors_of_several_lengths(spark, monkeypatch, grids, block):
+    """Each length links within itself, whether it has a grid or is rare."""
+    monkeypatch.setattr(imi, "GRIDS", grids)
+    rng = np.random.default_rng(5)
+    rows = []
+    for width, n in ((4, 120), (6, 60), (2, 25), (1, 9)):
+        base = rng.normal(size=(max(1, n // 4), width))
+        rows += [(base[i % len(base)] * rng.uniform(0.5, 2) + rng.normal(size=width) * rng.choice([0, 0.02])).tolist() for i in range(n)]
+    rows += [[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [], [0.0, 0.0], None]
+    order = rng.permutation(len(rows)).tolist()
+    table = [(i, rows[j]) for i, j in enumerate(order)]
+    got = {r.vec_id: r for r in imi.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>"), block=block).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in table if v and any(v)}
+    near = {i: {j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9} for i in unit}
+    assert len(got) == len(table)
+    for i, _ in table:
+        assert got[i].n_links == len(near.get(i, ()))
+        seen, todo = {i}, [i]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert got[i].component_id == min(seen) and got[i].kept == (i == min(seen))
