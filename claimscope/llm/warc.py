@@ -39,6 +39,7 @@ from claimscope.llm.common import scratch, ship
 
 VERSION = b"WARC/1.1\r\n"
 RECORDS_PER_FILE = 4000
+HOT = 4096            # payloads with 1 / HOT of all rows are joined by broadcast
 GZIP_LEVEL = 1
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -184,8 +185,14 @@ def with_roles(pages: DataFrame, key: str = "page_id", payload: str = "html", mi
     Payloads under ``min_bytes`` are always responses."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(key, body.alias("__body")).withColumn("__sha", F.sha1("__body"))
-    first = rows.groupBy("__sha").agg(F.min(key).alias("__first"))
-    return rows.join(first, "__sha").select(
+    # Payloads with 1 / HOT of all rows or more, at most HOT of them, are
+    # broadcast: their bodies stay in place and never meet in one task.
+    first = rows.groupBy("__sha").agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    limit = pages.count() / HOT
+    hot = F.broadcast(first.where(F.col("__n") >= max(2, limit)).drop("__n"))
+    others = first.where(F.col("__n") < max(2, limit)).drop("__n")
+    known = rows.join(hot, "__sha").unionByName(rows.join(hot, "__sha", "left_anti").join(others, "__sha"))
+    return known.select(
         key, "__body", (~F.col(key).eqNullSafe(F.col("__first")) & (F.octet_length("__body") >= min_bytes)).alias("__revisit"),
         "__first")
 

@@ -38,6 +38,15 @@ def test_round_trip(spark, min_bytes):
     assert sorted(map(tuple, got), key=str) == expect(df.collect(), min_bytes)
 
 
+@pytest.mark.parametrize("hot", [4096, 4, 1])
+def test_payloads_of_any_share(spark, monkeypatch, hot):
+    """Broadcast and joined payloads give the same roles, and no row of a hot
+    payload is shuffled with its body."""
+    monkeypatch.setattr(warc, "HOT", hot)
+    df = spark.createDataFrame([(i, "blank" if i % 3 else f"page {i // 6}") for i in range(5, 300)] + [(None, "blank"), (7, "blank")], "page_id long, html string")
+    assert sorted(map(tuple, warc.records(warc.round_trip(df)).collect()), key=str) == expect(df.collect())
+
+
 def test_plain_archives_keep_payloads(spark):
     path = scratch(spark, "warc-test")
     warc.write_archives(pages(spark), path, gzip=False)
