@@ -43,6 +43,7 @@ SHINGLE = 3
 MAX_DISTANCE = 3
 SEED = 42
 BLOCK = 1024          # classes of one key in one block
+HOT = 4096            # keys with more rows than a block and 1 / HOT of the fingerprints are joined by broadcast
 KEY_COST, PAIR_COST = 1.0, 0.02   # a shuffled key row against a verified pair
 _CHUNK = 1 << 16      # shingles voted at once
 _SMALL = 32           # groups up to this size are verified by shifted arrays
@@ -234,7 +235,12 @@ def links(classes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     crowd = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
-    met = (rows.join(crowd, ["part", "key"]).withColumn("blocks", blocks).withColumn("own", own)
+    # Rows of crowded keys stay where they are, so their blocks do not all
+    # leave one task; the table of these keys is bounded by HOT and the parts.
+    many = max(BLOCK, n // HOT)
+    hot = F.broadcast(crowd.where(F.col("n") > many))
+    others = rows.join(hot, ["part", "key"], "left_anti").join(crowd.where(F.col("n") <= many), ["part", "key"])
+    met = (rows.join(hot, ["part", "key"]).unionByName(others).withColumn("blocks", blocks).withColumn("own", own)
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .select("part", "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "fp"))
     cols = ["part", "key", "bi", "bj"]
