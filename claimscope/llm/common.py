@@ -55,8 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     a node without a row is its own component.  Alternates
     large-star and small-star steps: every step is an aggregate (minimum per
     node, map-side combined) and one join on the node.  The links of one node
-    meet in a task there; callers pass spanning forests, which have few of
-    them.  Each round is written to the shared folder; it stops when
+    meet in a task there: the smallest node of a component ends with one for
+    each member.  Each round is written to the shared folder; it stops when
     a round changes nothing, after O(log^2) rounds at most.
     """
     hi, lo = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
