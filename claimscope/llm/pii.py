@@ -5,12 +5,21 @@ Method.  High-recall generators propose spans of four kinds (email, ip, card,
 phone): the base patterns, and wider ones (written-out addresses, eight-group
 IPv6, other separators, numbers without a plus) that may overlap them and each
 other.  Every candidate gets binary format and context features.  One
-aggregate over the whole corpus counts valid and failing base candidates for
+aggregate over the whole corpus counts passing and failing base candidates for
 each feature cell; there are at most ``4 * 2 ** 8`` cells, and only they
-reach the driver, where boosted depth-two trees are fitted to them.  The
-scores of all cells are calibrated (isotonic over the labelled cells, with
-prior counts) and a candidate is selected where the calibrated precision
-reaches ``MIN_PRECISION``.  Valid base spans are always kept.
+reach the driver, where boosted depth-two trees are fitted to them.
+
+The trees answer what the hard check cannot: whether a candidate that passes
+it is personal.  They never see the check.  Their labels (``labelled``) are
+weak: a passing candidate after a word that speaks against it (version, invoice,
+serial; for addresses words of code) is a negative; of the others as many are negatives as pass by chance,
+``CHANCE`` for each failing candidate of the same cell; the rest are positives.  As one cue makes the label,
+each cell is given twice, once with both cue features hidden, so that edges
+and layout must carry weight too.  ``SEEDS`` adds fixed prior counts, so that a
+small or empty corpus selects by the same rules.  The scores of all cells are
+calibrated (isotonic over the labelled cells); an added candidate is selected
+where it passes its check and the calibrated precision reaches
+``MIN_PRECISION``.  Valid base spans are always kept.
 
 Spans are found with ``split`` and ``regexp_extract_all`` of the same
 pattern: the lengths of the pieces between the matches give the positions, in
@@ -19,9 +28,10 @@ of their first characters starts or right after a match, which finds the same
 leftmost matches in linear time.
 
 Defined results.  Null text is the empty text.  A base match that fails its
-check is dropped without retry.  Rows are judged one by one, so repeated rows
-and null ids do no harm; empty tables give empty results, without labelled
-candidates only base spans are kept.
+check is dropped without retry.  Texts of any length are searched whole.  Rows
+are judged one by one, so repeated rows and null ids do no harm; empty tables
+give empty results; without candidates to learn from the prior counts decide.
+Only the key and the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,11 +46,33 @@ from claimscope.llm.native import let, running, total
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_PRECISION = 0.9
-PRIOR = 2.0              # failing candidates each cell is taken to have seen
+PRIOR = 1.0              # a pool of cells is taken to have seen half as many negatives
+# Chance passes for each failing candidate: of random digits one in ten passes
+# Luhn, of four random numbers under 1000 one set in 230 is below 256; the
+# rates of addresses and phones are assumed.
+CHANCE = {"email": 1 / 20, "ip": 1 / 230, "card": 1 / 9, "phone": 1 / 20}
+CARD_CHARS = 12          # shorter runs of digits fail by their length, not by Luhn
+HIDDEN = 0.5             # weight of the copies of a cell without its cue features
 ROUNDS, RATE = 30, 0.4
 BEFORE, AFTER = 32, 2    # characters of context
 REDACT_BLOCK = 4096
 FEATURES = ("checks", "left_edge", "right_edge", "own_word", "other_word", "layout", "one_separator", "varied")
+OWN, OTHER = 1 << 3, 1 << 4  # the cue features among them
+# Prior counts of every kind: features, positives, negatives.  A sound
+# candidate between clean edges is personal with or without a cue, one after
+# a word for other numbers is not, nor is one that runs into other characters.
+SEEDS = (
+    (("left_edge", "right_edge", "layout", "one_separator", "varied"), 40.0, 1.0),
+    (("left_edge", "right_edge", "layout", "varied"), 40.0, 1.0),
+    (("left_edge", "right_edge", "own_word", "layout", "one_separator", "varied"), 40.0, 0.5),
+    (("left_edge", "right_edge", "own_word", "layout", "varied"), 40.0, 0.5),
+    (("left_edge", "right_edge", "other_word", "layout", "one_separator", "varied"), 1.0, 40.0),
+    (("left_edge", "right_edge", "other_word", "layout", "varied"), 1.0, 40.0),
+    (("left_edge", "right_edge", "layout", "one_separator"), 2.0, 8.0),
+    (("left_edge", "layout", "varied"), 4.0, 4.0),
+    (("right_edge", "layout", "varied"), 4.0, 4.0),
+    ((), 1.0, 8.0),
+)
 
 # kind, pattern, cheap test that a text needs to hold a match, base pattern?
 GENERATORS = (
@@ -55,9 +87,11 @@ GENERATORS = (
     ("phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9][ .-][0-9]", False),
     ("phone", r"(?<![0-9+.-])00[1-9][0-9]{0,2}[ ().-][ ().0-9-]+[0-9]", r"00[1-9]", False),
 )
-OWN_WORDS = {"email": r"mail|contact|write", "ip": r"\bip\b|host|server|address|login", "card": r"card|visa|master|amex|credit|payment",
-             "phone": r"phone|tel|call|mobile|fax|cell|whatsapp"}
-OTHER_WORDS = r"version|isbn|issn|order|invoice|serial|part no|article|release|build|section|chapter|doi|ref\b|#$"
+OWN_WORDS = {"email": r"\b(?:e-?mails?|contact|write)\b", "ip": r"\b(?:ip|host|server|address|login)\b",
+             "card": r"card\b|\b(?:visa|amex|credit|payment)\b", "phone": r"phone\b|\b(?:tel|call|mobile|fax|cell|whatsapp)\b"}
+# Words that speak against a kind: other numbers, and for addresses code.
+_NUMBERED = r"\b(?:version|isbn|issn|order|invoice|serial|part no|article|release|build|section|chapter|doi|ref)\b|#$"
+OTHER_WORDS = {"email": r"\b(?:git|ssh|package|import|clone)\b", "ip": _NUMBERED, "card": _NUMBERED, "phone": _NUMBERED}
 WRITTEN_OUT = r" ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?"  # the dots of written-out addresses
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -127,7 +161,7 @@ def features(kind: str, m: Column, sound: Column, before: Column, after: Column)
         (before == "") | before.rlike(r"[\s(\[{<\"':;,=/]$"),
         (after == "") | after.rlike(r"^[\s)\]}>\"',;:!?]") | after.rlike(r"^\.(?:\s|$)") | (after == "."),
         before.rlike(OWN_WORDS[kind]),
-        before.rlike(OTHER_WORDS),
+        before.rlike(OTHER_WORDS[kind]),
         layout,
         F.length(F.replace(marks, F.left(marks, F.lit(1)), F.lit(""))) == 0,
         F.length(F.replace(digits, F.left(digits, F.lit(1)), F.lit(""))) > 0 if kind != "email" else F.length(m) > 7,
@@ -149,25 +183,47 @@ def cells(df: DataFrame, text: str = "text") -> list[tuple[int, int, float, floa
     found = df.select(candidates(F.coalesce(F.col(text), F.lit(""))).alias("c"))
 
     def tagged(i: int, kind: int) -> Column:
-        return F.transform(F.col(f"c.g{i}"), lambda x: F.struct(F.lit(kind).alias("kind"), x.code.alias("code")))
+        long = CARD_CHARS if KINDS[kind] == "card" else 0
+        return F.transform(F.filter(F.col(f"c.g{i}"), lambda x: x.end - x.start >= long), lambda x: F.struct(F.lit(kind).alias("kind"), x.code.alias("code")))
 
     rows = F.concat(*[tagged(i, KINDS.index(g[0])) for i, g in enumerate(GENERATORS) if g[3]])
     got = (found.select(F.explode(rows).alias("x")).groupBy("x.kind", "x.code").agg(F.count("*").alias("n")).collect())
-    # 'checks' is bit 0: the label.
+    # 'checks' is bit 0.
     return [(r.kind, r.code, float(r.n if r.code & 1 else 0), float(0 if r.code & 1 else r.n)) for r in got]
 
 
+def labelled(rows: list[tuple[int, int, float, float]]) -> list[tuple[int, int, float, float]]:
+    """``(kind, features without the check, positives, negatives)`` of counted
+    cells ``(kind, code, passing, failing)`` and of the prior counts."""
+    cell: dict[tuple[int, int], list[float]] = {}
+    for k, code, p, q in rows:
+        n = cell.setdefault((k, code & ~1), [0.0, 0.0])
+        n[0], n[1] = n[0] + p, n[1] + q
+    out: dict[tuple[int, int], list[float]] = {}
+
+    def add(k: int, code: int, pos: float, neg: float) -> None:
+        for shown, weight in ((code, 1 - HIDDEN), (code & ~(OWN | OTHER), HIDDEN)):
+            n = out.setdefault((k, shown), [0.0, 0.0])
+            n[0], n[1] = n[0] + weight * pos, n[1] + weight * neg
+
+    for (k, code), (p, q) in cell.items():
+        neg = p if code & OTHER else min(p, q * CHANCE[KINDS[k]])
+        add(k, code, p - neg, neg)
+    for k in range(len(KINDS)):
+        for names, pos, neg in SEEDS:
+            n = out.setdefault((k, sum(1 << FEATURES.index(f) for f in names)), [0.0, 0.0])
+            n[0], n[1] = n[0] + pos, n[1] + neg
+    return [(k, code, p, q) for (k, code), (p, q) in sorted(out.items()) if p + q > 0]
+
+
 def boost(rows: list[tuple[int, int, float, float]]) -> list[list[float]]:
-    """Boosted depth-two trees on the counted cells; the raw score of every
-    possible cell, ``[kind][code]``.  The label of the cells of ``fit`` is the
-    feature 'checks', which the trees may split on."""
+    """Boosted depth-two trees on the labels of counted cells; the raw score of
+    every possible cell, ``[kind][code]``, whatever its check says."""
     width = len(FEATURES)
     bit = lambda k, code, f: (code >> f & 1) if f < width else int(k == f - width)
-    data = [(k, c, p, q + PRIOR * 0.01) for k, c, p, q in rows]
-    # Each kind fails without its check and without edges and layout: the prior.
-    data += [(k, c, 0.0, PRIOR) for k in range(len(KINDS)) for c in (0, 1, 1 << 4, 1 | 1 << 4)]
+    data = labelled(rows)
     score = [[0.0] * (1 << width) for _ in KINDS]
-    split_on = range(width + len(KINDS))
+    split_on = range(1, width + len(KINDS))  # not on the check
     for _ in range(ROUNDS):
         stats = []
         for k, c, p, q in data:
@@ -205,8 +261,9 @@ def boost(rows: list[tuple[int, int, float, float]]) -> list[list[float]]:
 
 
 def calibrate(rows: list[tuple[int, int, float, float]], score: list[list[float]]) -> list[list[float]]:
-    """Isotonic precision of every cell by its score, from the labelled cells."""
-    seen = sorted((score[k][c], p, q) for k, c, p, q in rows)
+    """Isotonic precision of every cell by its score, from the labels of the
+    counted cells; 0 where the check fails."""
+    seen = sorted((score[k][c], p, q) for k, c, p, q in labelled(rows))
     pools: list[list[float]] = []  # lowest score, valid, all
     for s, p, q in seen:
         pools.append([s, p, p + q + PRIOR / 2])
@@ -218,14 +275,12 @@ def calibrate(rows: list[tuple[int, int, float, float]], score: list[list[float]
         under = [x for x in pools if x[0] <= s + 1e-12]
         return under[-1][1] / under[-1][2] if under else 0.0
 
-    return [[precision(s) for s in kind] for kind in score]
+    return [[precision(s) if c & 1 else 0.0 for c, s in enumerate(kind)] for kind in score]
 
 
 def fit(df: DataFrame, text: str = "text") -> list[list[float]]:
     """Calibrated precision of every (kind, feature cell)."""
     rows = cells(df, text)
-    if not rows:
-        return [[0.0] * (1 << len(FEATURES)) for _ in KINDS]
     return calibrate(rows, boost(rows))
 
 
@@ -252,7 +307,7 @@ def select(c: Column, model: list[list[float]]) -> tuple[Column, Column]:
     more = []
     for i, g in enumerate(GENERATORS):
         if not g[3]:
-            good = [code for code, p in enumerate(model[KINDS.index(g[0])]) if p >= MIN_PRECISION and code & 1]
+            good = [code for code, p in enumerate(model[KINDS.index(g[0])]) if p >= MIN_PRECISION]
             if good:
                 more.append(typed(i, chosen(good)))
     both = let(F.sort_array(F.array_distinct(F.concat(base, *more))), resolve) if more else base

@@ -89,3 +89,49 @@ def test_every_added_generator_yields_spans(spark):
         assert [(pii.KINDS[x.kind], x.start, x.end) for x in rows[i].spans] == [(kind, 10, 10 + len(s))], s
         hit |= {g for g, (_, _, _, base) in enumerate(pii.GENERATORS) if not base and rows[i].c[f"g{g}"]}
     assert hit == {g for g, x in enumerate(pii.GENERATORS) if not x[3]} and rows[99].spans == []
+
+
+CUED = [("phone", "Please call me at {} today", "415-555-0100", True), ("phone", "Meet us, {}, today", "(988) 555-2485", True),
+        ("phone", "Invoice {} is paid", "555-123-4567", False), ("phone", "Order no {} is late", "415-555-0100", False),
+        ("phone", "the serial {} of it", "0044 20 7946 0958", False), ("phone", "phone 00{} today", "41 44 668 18 00", True),
+        ("card", "my credit card {}, thanks", "4111.1111.1111.1111", True), ("card", "section {} of it", "4111.1111.1111.1111", False),
+        ("card", "my credit card {}, thanks", "4111.1111.1111.1112", False), ("email", "write to {} now", "joe [at] mail [dot] com", True)]
+
+
+def test_cues_decide_whatever_the_size_of_the_corpus(spark):
+    """An added candidate that passes its check goes or stays by its context,
+    by the same verdict with no corpus, a small one and a larger one."""
+    df = spark.createDataFrame([(i, t.format(s)) for i, (_, t, s, _) in enumerate(CUED)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    for corpus in (none, df, table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL.replace("0.001", "0.01"), "documents")):
+        model = pii.fit(corpus)
+        rows = {r.doc_id: r.spans for r in pii.find(df, model).collect()}
+        for i, (kind, t, s, want) in enumerate(CUED):
+            assert [pii.KINDS[x.kind] for x in rows[i]] == [kind] * want, (t, s)
+
+
+def test_trees_never_see_the_check():
+    rows = [(3, 0b11100111, 500.0, 0.0), (3, 0b11100110, 0.0, 40.0), (2, 0b11110111, 70.0, 0.0), (1, 0b10100111, 9.0, 3.0)]
+    score = pii.boost(rows)
+    assert all(kind[c] == kind[c ^ 1] for kind in score for c in range(256))
+    model = pii.calibrate(rows, score)
+    assert all(model[k][c] == 0.0 for k in range(4) for c in range(0, 256, 2))
+
+
+def test_labels():
+    got = {(k, c): (p, n) for k, c, p, n in pii.labelled([(2, 1, 90.0, 0.0), (2, 0, 0.0, 90.0), (2, 1 | pii.OTHER, 6.0, 0.0)])}
+    seeds = {(k, c): (p, n) for k, c, p, n in pii.labelled([])}
+    p, n = got[2, 0]
+    # Ninety failing card numbers stand for ten chance passes; the cued cell
+    # gives half its weight to the cell without its cue.
+    assert abs(p - seeds[2, 0][0] - 80) < 1e-9 and abs(n - seeds[2, 0][1] - 10 - 3) < 1e-9
+    assert got[2, pii.OTHER] == (0.0, 3.0)
+
+
+def test_format_shows_without_a_cue():
+    """A layout in which most candidates fail their check is not trusted
+    although single ones pass."""
+    good, odd = 0b11100110, 0b10100110
+    rows = [(2, good | 1, 2000.0, 0.0), (2, good, 0.0, 100.0), (2, odd | 1, 200.0, 0.0), (2, odd, 0.0, 1700.0)]
+    model = pii.calibrate(rows, pii.boost(rows))
+    assert model[2][good | 1] >= pii.MIN_PRECISION > model[2][odd | 1]
