@@ -34,7 +34,7 @@ def fails(line):
 def plain(rows, model):
     """All stages but the last on a list of (doc_id, text, lang, source, n_chars)."""
     p = langid.Predictor(model)
-    rows = [r for r in rows if (lambda g: g[0] != "und" and g[1] >= model.threshold)(p.predict(r[1]))]
+    rows = [r for r in rows if not p.judge(r[1])[2]]
     out = []
     for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", r[1])
