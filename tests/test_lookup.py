@@ -82,3 +82,19 @@ def test_one_folder_of_the_index_is_read(made):
     hit = ids.where((F.col("piece") == lookup._piece(F.lit("3-1"), PIECES)) & (F.col("term") == "3-1"))
     plan = hit._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(piece" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,3-1)]" in plan
+
+
+def test_index_rows_are_few_and_months_exact_enough(spark):
+    """A word costs bits of the index, not a row for each of its parts; an id
+    names only its own month."""
+    rng = random.Random(5)
+    rows = [(f"{rng.randrange(10**7)}-{i % 7}-{rng.randrange(10**5)}-{rng.randrange(10**6) / 100}", f"20{20 + i % 2}-{1 + i % 12:02d}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id string, claim_month string").repartition(2).sortWithinPartitions("claim_month")
+    words = lookup.words(df, ["id"])
+    parts = lookup.grams(words).cache()
+    assert parts.count() < 3 * len(rows)  # about 20 rows a word as (gram, word) pairs
+    assert parts.select("gram", "claim_month", "block").distinct().count() == parts.count()
+    for word, month in rows[::6_000]:
+        assert lookup.search_months(words, parts, [word]) == [month]
+        assert month in lookup.search_months(words, parts, sorted([word[2:9], word[-4:]]))
+    parts.unpersist()
