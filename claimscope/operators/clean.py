@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope import definitions as D
+from claimscope.plans.stored import cut
 
 DATE = "claim_prov_date"
 
@@ -27,11 +28,24 @@ def clean(df: DataFrame, required: Sequence[str] = (DATE, "amount"),
     """C5 + C6: drop sparse columns, then exact duplicate rows, then rows
     missing a required field (those still present)."""
     drop = sparse_columns(df, limit)
-    out = df.drop(*drop).dropDuplicates()
+    out = distinct_rows(df.drop(*drop))
     keep = [c for c in required if c in out.columns]
     return out.na.drop(subset=keep) if keep else out
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``df.dropDuplicates()`` for rows that are wide and seldom repeated: the
+    64-bit hashes of the rows are counted, and only rows whose hash comes
+    twice or more are compared, by all their columns.  The repeated hashes are
+    written, so the planner knows their size: few are broadcast and the other
+    rows stay in place; with many, the rows move by hash, once."""
+    zeros = {c: F.col(c) + F.lit(0).cast(kind) for c, kind in df.dtypes if kind in ("float", "double")}  # -0.0 is 0.0, as in any grouping
+    rows = df.withColumns(zeros).withColumn("__hash", F.xxhash64(*df.columns))
+    again = cut(rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__hash"), "repeated-hashes")
+    alone = rows.join(again, "__hash", "left_anti")
+    return alone.unionByName(rows.join(again, "__hash", "left_semi").dropDuplicates()).drop("__hash")
+
+
 def cleaning_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """original_rows, final_rows, rows_removed, original_cols,
     final_cols, cols_removed, columns_dropped."""

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from claimscope.operators import fraud
+from claimscope.operators.clean import distinct_rows
 from claimscope.plans.registry import REGISTRY, scored
 from claimscope.session import scratch_path
 from claimscope.sources import tables as T
@@ -83,3 +84,20 @@ def test_compressed_source_files_come_back(spark):
     plain = export_source_csv(c, scratch_path(spark, "plain-csv"))
     assert _rows(import_claims(spark, path)[0]) == _rows(import_claims(spark, plain)[0])
     assert REGISTRY["c03_accepted"](spark, SF_SMALL).agg(F.sum("lines")).first()[0] > 0
+
+
+def test_wide_rows_that_come_once_stay_in_place(spark):
+    df = _lines(spark).withColumn("rate", F.when(F.col("quantity") % 5 != 0, F.col("quantity") / F.col("quantity") * F.lit(float("nan"))).otherwise(F.lit(-0.0)))
+    df = df.union(df.where("quantity = 10").withColumn("rate", F.lit(0.0)))
+    out = distinct_rows(df)
+    assert _rows(out) == _rows(df.dropDuplicates()) and out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("LeftAnti"):plan.index("LeftSemi")]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in alone
+    assert distinct_rows(df.limit(0)).count() == 0
+
+
+def test_all_rows_repeated(spark):
+    df = _lines(spark)
+    many = df.union(df).union(df)
+    assert _rows(distinct_rows(many)) == _rows(df.dropDuplicates())
