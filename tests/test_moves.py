@@ -101,3 +101,60 @@ def test_all_rows_repeated(spark):
     df = _lines(spark)
     many = df.union(df).union(df)
     assert _rows(distinct_rows(many)) == _rows(df.dropDuplicates())
+
+
+def test_hot_and_other_members_are_counted(spark):
+    """One member with a third of the lines, others with few, null keys."""
+    n = F.col("id")
+    df = spark.range(12000).select(
+        n.alias("payload"), (n % 3100).cast("string").alias("claim_ce"), F.when(n % 13 != 0, F.when(n % 3 == 0, "hot").otherwise((n % 611).cast("string"))).alias("claim_me"),
+        F.when(n % 11 != 0, F.concat(F.lit("D"), n * n % 7)).alias("icd10_code"), F.when(n % 19 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (n * 7 % 160).cast("int"))).alias("claim_prov_date"),
+        (n * n % 997).cast("decimal(12,2)").alias("amount"), (n % 50).cast("int").alias("quantity"))
+    base = df.withColumn("__mon", F.date_trunc("month", "claim_prov_date").cast("date"))
+    heavy = {r[0] for r in fraud._heavy(base.where("claim_me is not null and __mon is not null")).collect()}
+    buckets = {r["b"]: r["me"] for r in base.groupBy(fraud._bucket().alias("b")).agg(F.collect_set("claim_me").alias("me")).collect()}
+    assert heavy and all("hot" in buckets[b] for b in heavy) and len(heavy) < 12
+    plain = base.selectExpr(
+        "payload", "claim_me is not null and __mon is not null and icd10_code is not null and count(1) over (partition by claim_me, icd10_code, __mon) > 1 as repeated",
+        "claim_me is not null and __mon is not null and count(1) over (partition by claim_me, __mon) > 3 as busy")
+    got = fraud.rule_score(df, max_lines=3).select("payload", "rule_member_diagnosis_repeat", "rule_member_month_lines")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert 0 < plain.where("busy and claim_me <> 'hot'").count() < plain.where("claim_me <> 'hot'").count()
+
+
+def test_claim_totals_move_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the first plan names reused exchanges
+    try:
+        plan = fraud.rule_score(_lines(spark), max_lines=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"HashAggregate\(keys=\[claim_ce#\d+\], functions=\[partial_sum", plan)) == 1
+
+
+def test_stored_run_holds_what_the_pages_read(spark):
+    from claimscope.plans.registry import scored_lines
+    out = scored(spark, SF_SMALL)
+    files = spark.read.parquet(out.inputFiles()[0])
+    flags = [c for c in out.columns if c.startswith(("rule_", "fraud_"))]
+    assert sorted(files.columns) == sorted([*T.SCORED_LINE_COLUMNS, *flags])
+    assert set(out.columns) == (set(T.CLAIM_COLUMNS) - T.UNSCORED_CLAIM_COLUMNS) | set(flags)
+    whole = T.claim_columns(scored_lines(spark, SF_SMALL), *flags)
+    assert _rows(out) == _rows(whole.select(*out.columns))
+
+
+def test_suppliers_join_before_the_lines_grow_wide(spark):
+    plan = T.line_keys(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    on = re.findall(r"Join Inner, \((\w+)#", plan)  # the last join is printed first
+    assert on.index("l_orderkey") < on.index("l_suppkey") < on.index("l_partkey")
+
+
+def test_the_month_is_dealt_as_a_number(spark, monkeypatch):
+    from claimscope.sources import csv_import
+    seen = []
+    monkeypatch.setattr(csv_import, "write_by_month", lambda dealt, path: seen.append(dealt))
+    df = _lines(spark)
+    csv_import.write_claims(df, "unused")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "claim_month" not in plan[plan.index("RebalancePartitions"):]
+    want = df.withColumn("claim_month", F.date_format("claim_prov_date", "yyyy-MM"))
+    assert _rows(seen[0]) == _rows(want)
