@@ -1,5 +1,6 @@
 """What the stores move and write (bytes of shuffles and files at scale)."""
 
+import itertools
 import os
 import re
 
@@ -142,10 +143,31 @@ def test_stored_run_holds_what_the_pages_read(spark):
     assert _rows(out) == _rows(whole.select(*out.columns))
 
 
-def test_suppliers_join_before_the_lines_grow_wide(spark):
+def test_lines_carry_no_column_of_a_small_side(spark, monkeypatch):
+    """Large sides come before the lines grow wide, small ones where they lie
+    by month."""
     plan = T.line_keys(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     on = re.findall(r"Join Inner, \((\w+)#", plan)  # the last join is printed first
-    assert on.index("l_orderkey") < on.index("l_suppkey") < on.index("l_partkey")
+    assert on[:3] == ["order_key", "supp_key", "part_key"]
+    from claimscope.plans import stored as S
+    from claimscope.sources import csv_import
+    whole, seen = _rows(T.claims_view(spark, SF_SMALL)), []
+    monkeypatch.setattr(csv_import, "write_by_month", lambda dealt, path: seen.append(dealt))
+    monkeypatch.setattr(S, "stored", lambda spark, key, build, write, sources: write(build(), "unused"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most, small in (("10m", ("part_key", "supp_key", "cust_key")), ("-1", ())):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            assert T.small_sides(spark, SF_SMALL) == small
+            T.stored_lines(spark, SF_SMALL)
+            plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+            at = next(i for i, x in enumerate(plan) if "RebalancePartitions" in x)
+            depth = plan[at].index("RebalancePartitions")
+            moved = "\n".join(itertools.takewhile(lambda x: re.search("[A-Za-z]", x).start() > depth, plan[at + 1:]))
+            assert [c in moved for c in ("p_name", "s_name", "c_name")] == [not small] * 3
+            assert _rows(T.claim_columns(seen[-1])) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_the_month_is_dealt_as_a_number(spark, monkeypatch):
