@@ -180,3 +180,13 @@ def test_the_month_is_dealt_as_a_number(spark, monkeypatch):
     assert "claim_month" not in plan[plan.index("RebalancePartitions"):]
     want = df.withColumn("claim_month", F.date_format("claim_prov_date", "yyyy-MM"))
     assert _rows(seen[0]) == _rows(want)
+
+
+def test_lines_do_not_move_by_diagnosis(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fraud.rule_score(_lines(spark), max_lines=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not re.search(r"SortMergeJoin \[icd10_code", plan) and re.search(r"BroadcastHashJoin \[icd10_code", plan)
