@@ -16,8 +16,9 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from claimscope import definitions as D
 from claimscope.operators.linear import Design, Fit, class_metrics, design, least_squares, regression_metrics
@@ -28,6 +29,8 @@ from claimscope.plans.stored import cut
 NUMERIC = ["quantity", "amount_d", "age"]
 CATEGORICAL = ["benefit", "gender", "dependent_type", "encounter", "cost_center"]
 SEED = 42
+HASH = 1 << 48        # hashes that deal values anew
+GROUP_PLACES = 50_000   # places of rows that are dealt in one group
 FIT_ROWS = 200_000   # about so many labelled lines at most train a classifier
 
 
@@ -156,30 +159,63 @@ def linear_metrics(fit: Fit, df: DataFrame) -> DataFrame:
                                         *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")], "tp", "fp", "fn", "tn")
 
 
-def permutation_importance(score, df: DataFrame, features: Sequence[str], label: str = "label", key: str = "line_id") -> DataFrame:
+def permutation_importance(score, df: DataFrame, features: Sequence[str], label: str = "label", key: str = "line_id", places: int = GROUP_PLACES) -> DataFrame:
     """L6 for any model: ``feature, importance, rows``, the loss of accuracy on
     ``df`` when one feature's values are dealt anew among the rows.  ``score``
     is a Column over ``df`` (1 from 0.5 up).  The dealing is a permutation keyed
     by hashes of ``key``: the row at place i of one hash order gets the value of
-    the row at place i of another; places are running totals over buckets, so
-    no task orders all rows, and the same rows are always dealt alike."""
-    from claimscope.plans.distributed import running_total
+    the row at place i of another, so the same rows are always dealt alike (rows
+    without a key come last, in any order).
+
+    Counts by buckets of the hashes tell between which places a row lies.  A row
+    goes to the group of these places once for its own place and once for each
+    feature, with that feature's value alone and packed; groups have about
+    ``places`` places, and what the edge of two groups cuts goes to both.  There
+    the exact places are numbered and the values meet, so no task orders all
+    rows and all features are dealt in one move."""
+    from claimscope.plans.packed import Field, Packing
     data = cut(df.where(F.col(label).isNotNull()), "l06-test")
-
-    def placed(rows: DataFrame, seed: str) -> DataFrame:
-        h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double")
-        return running_total(rows.withColumn("__h", h), ["__h", key], []).drop("__h").withColumnRenamed("row_pos", "__at")
-
-    right = lambda s: F.count_if((s >= 0.5) == (F.col(label) == 1))
-    base = data.agg(right(score).alias("__base"), F.count(F.lit(1)).alias("rows"))
-    to, out = cut(placed(data, "to"), "l06-places"), None
-    for c in features:
-        values = placed(data.select(key, F.col(c).alias("__new")), c).select("__at", "__new")
-        dealt = to.join(values, "__at").withColumn(c, F.col("__new"))
-        one = dealt.agg(F.lit(c).alias("feature"), right(score).alias("__right"))
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(base)).select(
-        "feature", F.try_divide((F.col("__base") - F.col("__right")).cast("double"), "rows").alias("importance"), "rows")
+    n, orders = data.count(), ["to", *features]
+    groups = max(1, n // places)
+    size, buckets = max(1, -(-n // groups)), 16 * groups
+
+    def hashed(text, seed):
+        return F.conv(F.substring(F.md5(F.concat(text, F.lit(":"), seed).cast("binary")), 1, 12), 16, 10).cast("long")
+
+    own = lambda seed: F.xxhash64(seed, *data.columns).bitwiseAND(F.lit(HASH - 1)) + F.lit(HASH)  # noqa: E731  without a key
+    seeds = list(map(F.lit, orders))
+    dealt = data.select("*", F.posexplode(F.array(*[F.coalesce(hashed(F.col(key).cast("string"), x), own(x)) for x in seeds])).alias("__order", "__hash"))
+    dealt = dealt.withColumn("__bucket", F.shiftright(F.shiftright("__hash", 20) * F.lit(buckets), 28))
+    counts = dealt.groupBy("__order", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__order").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = lambda place: F.floor(place / F.lit(size))
+    start = F.coalesce(F.sum("__n").over(before), F.lit(0))
+    cells = cut(counts.withColumn("__start", start).select(
+        "__order", "__bucket", "__start", F.sequence(group(F.col("__start")), group(F.col("__start") + F.col("__n") - 1)).alias("__groups")), "l06-buckets")
+    begin = cells.select("__order", F.explode("__groups").alias("__group"), "__start").groupBy("__order", "__group").agg(F.min("__start").alias("__start"))
+
+    at = {c: orders.index(c) for c in features}
+    value = lambda c: F.when((F.col("__order") == 0) | (F.col("__order") == at.get(c, 0)), F.col(c)).alias(c)
+    rows = (dealt.join(F.broadcast(cells.drop("__start")), ["__order", "__bucket"])
+            .select(F.explode("__groups").alias("__group"), "__order", F.when(F.col(key).isNull(), F.col("__hash")).alias("__hash"), F.col(key).alias("__key"), *[value(c) for c in data.columns if c != key]))
+    carry = (Packing.fit(data, [c for c in features if data.schema[c].dataType == StringType()])
+             | Packing({"__order": Field(IntegerType(), 0, len(features)), "__hash": Field(LongType(), 0, 2 * HASH)}))
+    moved = carry.values(carry.through(carry.numbers(rows), ["__group"], lambda r: r.repartition("__group")))
+    moved = moved.withColumn("__hash", F.coalesce(hashed(F.col("__key").cast("string"), F.get(F.array(*seeds), F.col("__order"))), "__hash"))  # follows from the key
+    place = F.row_number().over(Window.partitionBy("__group", "__order").orderBy("__hash", "__key"))
+    placed = (moved.withColumn("__rank", place).join(F.broadcast(begin), ["__order", "__group"])
+              .withColumn("__at", F.col("__start") + F.col("__rank") - 1).where(group(F.col("__at")) == F.col("__group")))
+    one = lambda i, *cols: F.first(F.when(F.col("__order") == i, F.struct(*cols)), ignorenulls=True)
+    names = [c for c in data.columns if c != key]
+    met = placed.groupBy("__group", "__at").agg(one(0, F.col("__key").alias(key), *names).alias("__row"), *[one(i, c).alias(f"__new{i}") for c, i in at.items()])
+    # the row itself and, for each feature, the row with the value that it was dealt
+    dealings = [F.struct(F.lit(i).alias("__order"), *[(F.col(f"__new{i}")[c] if i == at.get(c) else F.col("__row")[c]).alias(c) for c in data.columns]) for i in range(len(orders))]
+    scored = met.select(F.explode(F.array(*dealings)).alias("r")).select("r.*")
+    right = F.coalesce((score >= 0.5) == (F.col(label) == 1), F.lit(False))
+    counted = scored.select("__order", right.alias("__right")).agg(
+        F.count_if(F.col("__order") == 0).alias("rows"), *[F.count_if((F.col("__order") == i) & F.col("__right")).alias(f"__right{i}") for i in range(len(orders))])
+    lost = lambda i: F.try_divide((F.col("__right0") - F.col(f"__right{i}")).cast("double"), "rows")
+    return counted.select("rows", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), lost(i).alias("importance")) for c, i in at.items()]))).select("feature", "importance", "rows")
 
 
 def predict_linear(fit: Fit, df: DataFrame) -> DataFrame:

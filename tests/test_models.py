@@ -169,3 +169,42 @@ def test_permutation_importance(spark):
     assert again == {k: r.importance for k, r in got.items()}
     # dealing keeps the values: the mean of a score that is the feature itself stays
     assert ml.permutation_importance(F.lit(1.0), df, ["a"]).first()["importance"] == 0.0
+
+
+def test_permutation_over_many_groups_equals_plain_sorting(spark):
+    """Values meet by place whatever the groups; repeated and missing values."""
+    import hashlib
+    rng = random.Random(8)
+    rows = [(f"r{i}", None if i % 11 == 0 else rng.random(), rng.choice(["x", "y", None, "z"]), rng.randrange(5), rng.randrange(2)) for i in range(700)]
+    df = spark.createDataFrame(rows, "line_id string, a double, b string, c int, label int")
+    score = F.coalesce(F.col("a"), F.lit(0.2)) + F.when(F.col("b") == "x", 0.3).when(F.col("b").isNull(), -0.2).otherwise(0.0) + F.col("c") * 0.05
+    plain = lambda a, b, c: (0.2 if a is None else a) + (0.3 if b == "x" else -0.2 if b is None else 0.0) + c * 0.05
+
+    def order(seed):
+        return sorted(range(700), key=lambda i: (int(hashlib.md5(f"r{i}:{seed}".encode()).hexdigest()[:12], 16), f"r{i}"))
+
+    right = lambda values: sum((plain(*v) >= 0.5) == (r[4] == 1) for r, v in zip(rows, values))
+    base, to, want = right([r[1:4] for r in rows]), order("to"), {}
+    for k, name in enumerate("abc"):
+        values = [list(r[1:4]) for r in rows]
+        for i, j in zip(to, order(name)):
+            values[i][k] = rows[j][1 + k]
+        want[name] = (base - right(values)) / 700
+    for places in (13, 100, 10_000):
+        got = ml.permutation_importance(score, df, ["a", "b", "c"], places=places).collect()
+        assert {r.feature: r.importance for r in got} == pytest.approx(want) and {r.rows for r in got} == {700}
+
+
+def test_permutation_of_nothing_and_without_keys(spark):
+    df = spark.createDataFrame([(None, float(i % 2), i % 2, i) for i in range(300)], "line_id string, a double, label int, n int")
+    got = ml.permutation_importance(F.col("a"), df, ["a"], places=20).first()
+    assert got.rows == 300 and 0.3 < got.importance < 0.7
+    assert tuple(ml.permutation_importance(F.col("a"), df.limit(0), ["a"]).first()) == ("a", None, 0)
+
+
+def test_features_are_dealt_in_one_move(spark):
+    df = spark.createDataFrame([(f"r{i}", float(i), i % 2, i % 2) for i in range(50)], "line_id string, a double, b int, label int")
+    plan = ml.permutation_importance(F.col("a") + F.col("b"), df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    start = plan[plan.index("AdaptiveSparkPlan"):]
+    moves = [x for x in start.splitlines() if "Exchange hashpartitioning(__group" in x and "__order" not in x]
+    assert len(moves) == 1 and "SortMergeJoin" not in start
